@@ -7,7 +7,12 @@ is safe whatever the corpus size.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+import functools
+import glob
+import os
+import zipfile
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +31,22 @@ SYSTEM_PROMPTS = {
 }
 
 
+@functools.lru_cache(maxsize=None)
+def _spark_stop_list(name: str) -> tuple[str, ...]:
+    """The list ``StopWordsRemover.loadDefaultStopWords(name)`` returns, read from
+    the Spark ML jar directly so no JVM is needed to build SQL text."""
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
+    return tuple(w for w in raw.splitlines() if w)
+
+
 def stop_words(lang: str) -> list[str]:
     """Spark's built-in list for the language (Dutch gets five extra words)."""
     name = STOP_WORD_LANGS.get(lang)
     if name is None:
         return []
-    words = StopWordsRemover.loadDefaultStopWords(name)
+    words = list(_spark_stop_list(name))
     if lang == "nl":
         words = sorted(set(words) | set(EXTRA_STOP_WORDS_NL))
     return list(words)
