@@ -92,9 +92,8 @@ def ensemble_confusion(masks_gold: DataFrame, defs: list[tuple[str, int, int]])
 
     cm = per.groupBy("model", "members").agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"),
                                              cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
-    return cm.select("*", totals.select("n").scalar().alias("n"),
-                     totals.select("t0").scalar().alias("t0"),
-                     totals.select("t1").scalar().alias("t1"))
+    tot = totals.select(F.struct("n", "t0", "t1")).scalar()
+    return cm.select("*", tot["n"].alias("n"), tot["t0"].alias("t0"), tot["t1"].alias("t1"))
 
 
 def majority_vote(first: DataFrame, priority: list[str] = TIE_BREAK_PRIORITY,

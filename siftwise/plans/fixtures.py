@@ -20,14 +20,18 @@ def _flip(doc_id, q, k):
     return F.when(doc_id % k == 0, 1 - q).otherwise(q).cast("string")
 
 
-def rule_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long votes table ``(id, model, model_rank, label STRING, text, seq)``."""
+def rule_votes(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    """Long votes table ``(id, model, model_rank, label STRING, text, seq)``.
+
+    ``with_text=False`` leaves the text out of the exploded ballots (NULL), so
+    vote-only queries do not copy every document seven times.
+    """
     d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     gold = table(spark, sf_dir, "labels", "doc_id", "quality")
     base = d.join(gold, "doc_id", "left")
     doc = F.col("doc_id")
     q = F.coalesce(F.col("quality"), (doc % 2).cast("int"))
-    text = F.col("text")
+    text = F.col("text") if with_text else F.lit(None).cast("string")
     flip7 = _flip(doc, q, 7)
 
     def vote(model, rank, label, txt, seq, keep):
@@ -41,7 +45,7 @@ def rule_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         vote("a/flip5", 2, _flip(doc, q, 5), F.substring(text, 1, 2040), 1, F.lit(True)),
         vote("b/long", 3, F.when(F.col("n_chars") >= 1500, F.lit(" 1")).otherwise(F.lit(" 0")),
              text, 1, F.lit(True)),
-        vote("b/words", 4, F.when(word_count(text) >= 100, F.lit("1")).otherwise(F.lit("0")),
+        vote("b/words", 4, F.when(word_count(F.col("text")) >= 100, F.lit("1")).otherwise(F.lit("0")),
              text, 1, doc % 11 != 0),
         vote("c/flip3", 5, F.when(doc % 17 == 0, F.lit(None).cast("string")).otherwise(_flip(doc, q, 3)),
              text, 1, F.lit(True)),

@@ -15,7 +15,7 @@ from .registry import query
 
 
 def fixture_first_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = V.first_votes(rule_votes(spark, sf_dir))
+    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False))
     return first.withColumn("pred", V.numeric_label("label"))
 
 
@@ -29,7 +29,7 @@ def gold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"max(CASE WHEN model = {S.q(m)} THEN label END) AS \"{m}\"" for m in FIXTURE_MODELS)
     + " FROM first_votes GROUP BY id")
 def vote_matrix(spark, sf_dir):
-    return V.vote_matrix(V.first_votes(rule_votes(spark, sf_dir)), FIXTURE_MODELS)
+    return V.vote_matrix(V.first_votes(rule_votes(spark, sf_dir, with_text=False)), FIXTURE_MODELS)
 
 
 # --------------------------------------------------------------------------- A2 / J2 / A12
@@ -73,17 +73,19 @@ def vote_consensus(spark, sf_dir):
     Items lacking any vote row from the first k annotators are not items of
     that prefix (an item-less model run would not have produced them).
     """
-    votes = rule_votes(spark, sf_dir)
+    votes = rule_votes(spark, sf_dir, with_text=False)
     first = V.first_votes(votes)
     ranks = S.FIXTURE_RANKS
     per_item = V.item_vote_counts(first, ranks)
     stacked = per_item.select("id", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"pos_{k}").alias("n_pos"), F.col(f"has_{k}").alias("present"))
         for k in ranks])).alias("s")).where("s.present").select("id", "s.k", "s.n_pos")
+    # distinct annotators per prefix: one scalar subquery (an array, one entry per prefix)
+    counts = votes.select(F.array(*[F.count_distinct(F.when(F.col("model_rank") <= k, F.col("model")))
+                                    for k in ranks]).alias("n")).scalar()
     n_models = F.lit(None).cast("long")
-    for k in ranks:   # number of distinct annotators per prefix: scalar subqueries
-        nk = votes.where(F.col("model_rank") <= k).select(F.count_distinct("model")).scalar()
-        n_models = F.when(F.col("k") == k, nk).otherwise(n_models)
+    for i, k in enumerate(ranks):
+        n_models = F.when(F.col("k") == k, F.element_at(counts, i + 1)).otherwise(n_models)
     stacked = stacked.withColumn("n_models", n_models)
     return V.consensus(stacked, F.col("n_models"), CONSENSUS_THRESHOLD, group_cols=["k", "n_models"]) \
         .select("k", "n_models", F.lit(CONSENSUS_THRESHOLD).alias("threshold"), "n_items", "relevant",
@@ -121,7 +123,7 @@ SELECT count(*) AS n_items,
   count(*) FILTER (WHERE n_pos >= {_LO} AND n_pos <= {_HI}) AS conflict
 FROM per_item""")
 def consensus_fixed_bounds(spark, sf_dir):
-    first = V.first_votes(rule_votes(spark, sf_dir)).where(F.col("model_rank") <= 5)
+    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False)).where(F.col("model_rank") <= 5)
     return V.consensus_bounds(V.item_vote_counts(first), _LO, _HI)
 
 
