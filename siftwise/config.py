@@ -89,7 +89,7 @@ METRIC_DIGITS = 3
 CV_DIGITS = 4
 
 # Active learning.
-QUERY_BATCH_REDDIT = 25
+QUERY_BATCH_FORUM = 25
 QUERY_BATCH_NEWSPAPER = 50
 SEED_SIZE = 25
 SEED_MIN_DISTINCT_HITS = 4

@@ -7,7 +7,7 @@ import uuid
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from ..config import QUERY_BATCH_REDDIT, SEED_SIZE
+from ..config import QUERY_BATCH_FORUM, SEED_SIZE
 from ..functions import text as X
 from ..functions.normalise import normalise_unicode
 from ..operators import classify as C
@@ -158,7 +158,7 @@ def al_round(spark, sf_dir):
     for rnd in (2, 3):
         log_probs, priors = NB.fit(w, labelled.select("id", "label"), vocab, NB_ALPHA)
         pool = docs.select("id").join(labelled, "id", "left_anti")
-        queue = NB.least_confident(NB.log_odds(w, pool, log_probs, priors), QUERY_BATCH_REDDIT)
+        queue = NB.least_confident(NB.log_odds(w, pool, log_probs, priors), QUERY_BATCH_FORUM)
         if rnd == 3:
             return (labelled.select("round", "id", "label", F.lit("labelled").alias("status"))
                     .unionByName(queue.select(F.lit(rnd).alias("round"), "id",
