@@ -33,18 +33,25 @@ def numeric_label(col) -> Column:
     return F.coalesce(v.try_cast("int"), F.lit(-1))
 
 
-def first_votes(votes: DataFrame, order_col: str = "seq") -> DataFrame:
+def first_votes(votes: DataFrame, order_col: str = "seq", keep_label: bool = True) -> DataFrame:
     """A1: the first non-null vote per (id, model); duplicates resolved by ``order_col``.
 
     Output ``(id, model, model_rank, label STRING, vote INT)`` where ``label`` is
-    the stripped raw label and ``vote`` its canonical 0/1 value.
+    the stripped raw label and ``vote`` its canonical 0/1 value.  With
+    ``keep_label=False`` only integers are aggregated (``vote`` and ``pred``, the
+    X16 coercion), which plans as a hash aggregate instead of a sort aggregate.
     """
     keep = [c for c in ("model_rank",) if c in votes.columns]
-    agg = [F.min_by(strip_ws(F.col("label").cast("string")), F.col(order_col)).alias("label")]
+    lab = strip_ws(F.col("label").cast("string"))
+    order = F.col(order_col)
+    if keep_label:
+        agg = [F.min_by(lab, order).alias("label")]
+    else:
+        agg = [F.min_by(canonical_label(lab), order).alias("vote"),
+               F.min_by(numeric_label(lab), order).alias("pred")]
     agg += [F.min(c).alias(c) for c in keep]
-    return (votes.where(F.col("label").isNotNull())
-            .groupBy("id", "model").agg(*agg)
-            .withColumn("vote", canonical_label("label")))
+    out = votes.where(F.col("label").isNotNull()).groupBy("id", "model").agg(*agg)
+    return out.withColumn("vote", canonical_label("label")) if keep_label else out
 
 
 def vote_matrix(first: DataFrame, models: list[str]) -> DataFrame:

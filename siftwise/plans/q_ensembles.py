@@ -142,4 +142,4 @@ ranked_labels AS (
   FROM counts)""") + "SELECT id, label AS majority, top_count, n_voters FROM ranked_labels WHERE rn = 1")
 def majority_vote(spark, sf_dir):
     """Generic majority over every annotator's label string, tie to "0"."""
-    return E.majority_vote(fixture_first_votes(spark, sf_dir))
+    return E.majority_vote(fixture_first_votes(spark, sf_dir, keep_label=True))

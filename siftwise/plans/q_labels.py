@@ -14,6 +14,8 @@ from ..operators import votes as V
 from ..sources.config_tables import lang_config
 from ..sources.tables import items, table
 from . import sql as S
+from ..operators.classify import score_with
+from ..functions.scorers import length_parity_scorer
 from .fixtures import RESPONSE_CASES, raw_responses, rule_votes
 from .q_text import ITEMS_CTE, LANG_CTE
 from .registry import query
@@ -120,6 +122,28 @@ def prompt_messages(spark, sf_dir):
                     F.md5(rendered).alias("prompt_md5")))
 
 
+@query("scored_responses", S.with_ctes(ITEMS_CTE, LANG_CTE, f"""msgs AS (
+  SELECT i.id, list_concat([{{'role': 'system', 'content': l.system_prompt}}], {_FEWSHOT_SQL},
+                           [{{'role': 'user', 'content': i.text}}]) AS m
+  FROM items i JOIN lang_config l ON i.lang = l.lang)""") + f"""
+SELECT id, length({_render_sql('m')}) AS prompt_chars, CAST(length({_render_sql('m')}) % 2 AS INTEGER) AS label_01,
+       'stub' AS reasoning
+FROM msgs""")
+def scored_responses(spark, sf_dir):
+    """L13 -> X13: rendered prompts scored in Arrow batches by a pluggable batch
+    scorer (here a deterministic stub), then parsed like any model response."""
+    it = items(spark, sf_dir)
+    shots = P.few_shot_block(table(spark, sf_dir, "benchmark", "item_id", "text"))
+    prompts = (it.join(lang_config(spark), "lang")
+               .select("id", P.build_messages("system_prompt", shots, "text").alias("m"))
+               .select("id", P.render_chat("m").alias("prompt")))
+    scored = score_with(length_parity_scorer, prompts, "prompt")
+    p = scored.select("id", F.length("prompt").cast("long").alias("prompt_chars"),
+                      parse_response("raw_response").alias("r"))
+    return p.select("id", "prompt_chars", V.canonical_label("r.label").alias("label_01"),
+                    F.col("r.reasoning").alias("reasoning"))
+
+
 _BUDGET_VALUES = ", ".join(
     f"({S.q(m)}, {c if c is not None else 'NULL'}, {t if t is not None else 'NULL'})"
     for m, c, t in TRUNCATION_BUDGETS) + f", ('default', NULL, {DEFAULT_MAX_TOKENS})"
@@ -213,7 +237,7 @@ WHERE u.id NOT IN (SELECT doc_id FROM labels) AND d.text IS NOT NULL""")
 def unanimous_train(spark, sf_dir):
     """Items both named runs label identically, minus gold items, with text."""
     votes = rule_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS))
-    agreed = V.unanimous(V.first_votes(votes), UNANIMOUS_MODELS)
+    agreed = V.unanimous(V.first_votes(votes, keep_label=False), UNANIMOUS_MODELS)
     gold = table(spark, sf_dir, "labels", "doc_id").withColumnRenamed("doc_id", "id")
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
     return (agreed.join(gold, "id", "left_anti").join(docs, "id")

@@ -53,7 +53,7 @@ def embedding_split(spark, sf_dir):
 def llm_text_split(spark, sf_dir):
     """Unanimous annotator labels (gold excluded) for training; gold for test."""
     votes = rule_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS))
-    agreed = V.unanimous(V.first_votes(votes), UNANIMOUS_MODELS)
+    agreed = V.unanimous(V.first_votes(votes, keep_label=False), UNANIMOUS_MODELS)
     gold = table(spark, sf_dir, "labels", "doc_id", "quality").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \

@@ -14,9 +14,10 @@ from .fixtures import rule_votes
 from .registry import query
 
 
-def fixture_first_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False))
-    return first.withColumn("pred", V.numeric_label("label"))
+def fixture_first_votes(spark: SparkSession, sf_dir: str, keep_label: bool = False) -> DataFrame:
+    """First votes of the rule annotators; integer-only unless labels are needed."""
+    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False), keep_label=keep_label)
+    return first.withColumn("pred", V.numeric_label("label")) if keep_label else first
 
 
 def gold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ LEFT JOIN (SELECT id, count(*) AS n_models, count(*) FILTER (WHERE vote = 1) AS
            FROM fv GROUP BY id) c ON t.id = c.id""")
 def longest_text(spark, sf_dir):
     votes = rule_votes(spark, sf_dir)
-    counts = V.item_vote_counts(V.first_votes(votes)).withColumnRenamed("n_votes", "n_models")
+    counts = V.item_vote_counts(V.first_votes(votes, keep_label=False)).withColumnRenamed("n_votes", "n_models")
     return (V.longest_text(votes).join(counts, "id", "left")
             .select("id", "text_len", "text", F.coalesce("n_models", F.lit(0)).alias("n_models"),
                     F.coalesce("n_pos", F.lit(0)).alias("n_pos")))
@@ -74,7 +75,7 @@ def vote_consensus(spark, sf_dir):
     that prefix (an item-less model run would not have produced them).
     """
     votes = rule_votes(spark, sf_dir, with_text=False)
-    first = V.first_votes(votes)
+    first = V.first_votes(votes, keep_label=False)
     ranks = S.FIXTURE_RANKS
     per_item = V.item_vote_counts(first, ranks)
     stacked = per_item.select("id", F.explode(F.array(*[
@@ -103,7 +104,7 @@ WHERE p.n_pos > 3 - {CONSENSUS_THRESHOLD} AND p.n_pos < {CONSENSUS_THRESHOLD}"""
 def vote_conflicts(spark, sf_dir):
     """conflict items among the first three annotators, with a text preview."""
     votes = rule_votes(spark, sf_dir)
-    first = V.first_votes(votes).where(F.col("model_rank") <= 3)
+    first = V.first_votes(votes, keep_label=False).where(F.col("model_rank") <= 3)
     per_item = V.item_vote_counts(first)
     conflicts = V.conflict_items(per_item, 3, CONSENSUS_THRESHOLD)
     return (conflicts.join(V.longest_text(votes), "id")
@@ -123,7 +124,8 @@ SELECT count(*) AS n_items,
   count(*) FILTER (WHERE n_pos >= {_LO} AND n_pos <= {_HI}) AS conflict
 FROM per_item""")
 def consensus_fixed_bounds(spark, sf_dir):
-    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False)).where(F.col("model_rank") <= 5)
+    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False), keep_label=False) \
+        .where(F.col("model_rank") <= 5)
     return V.consensus_bounds(V.item_vote_counts(first), _LO, _HI)
 
 

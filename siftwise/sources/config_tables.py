@@ -35,7 +35,12 @@ SYSTEM_PROMPTS = {
 def _spark_stop_list(name: str) -> tuple[str, ...]:
     """The list ``StopWordsRemover.loadDefaultStopWords(name)`` returns, read from
     the Spark ML jar directly so no JVM is needed to build SQL text."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    roots = [os.path.join(os.path.dirname(pyspark.__file__), "jars")]
+    if os.environ.get("SPARK_HOME"):
+        roots.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
+    jars = [j for r in roots for j in glob.glob(os.path.join(r, "spark-mllib_*.jar"))]
+    if not jars:
+        raise FileNotFoundError("Spark ML jar not found (looked in pyspark/jars and $SPARK_HOME/jars)")
     with zipfile.ZipFile(jars[0]) as z:
         raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
     return tuple(w for w in raw.splitlines() if w)
