@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..config import (KEYWORDS_EN, KEYWORDS_NL, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS, LEXICON_EN_WORDS,
+                      LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, LEXICON_NL_WORDS, NEWSPAPER_PHRASES)
 from ..config import (ADVERTISEMENT_TITLE, MIN_WORDS, QUERY_BATCH_NEWSPAPER, RANDOM_SEED,
                       SEED_MIN_CHARS, SEED_MIN_DISTINCT_HITS, SEED_SIZE, TEST_KEYWORDS,
                       TEST_LEXICON_ADJECTIVES, TEST_LEXICON_NOUNS, TEST_LEXICON_WORDS,
@@ -275,3 +277,37 @@ def label_queue(spark, sf_dir):
                     F.size(kw).cast("long").alias("n_keywords"),
                     K.highlight(X.clip("text", PREVIEW_CHARS), TEST_LEXICON_WORDS).alias("preview")))
 
+
+
+# ----------------------------------------------------------------- X6 F6 F7 F8 with the fixed lists
+_KW_NL_SINGLE, _KW_NL_PHRASES = K.split_keywords(KEYWORDS_NL)
+_KW_EN_SINGLE, _KW_EN_PHRASES = K.split_keywords(KEYWORDS_EN)
+_LEX_NL = {e: K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, e) for e in ("spark", "duckdb")}
+_LEX_EN = {e: K.lexicon_pattern(LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS, e) for e in ("spark", "duckdb")}
+_NEWS = {e: K.whole_word_pattern(NEWSPAPER_PHRASES, e) for e in ("spark", "duckdb")}
+
+
+def _list_sql(words):
+    return "[" + ", ".join(S.q(w) for w in words) + "]"
+
+
+@query("topic_screen", f"""
+SELECT doc_id AS id,
+  {_sql_hits('text', _list_sql(_KW_NL_SINGLE), _KW_NL_PHRASES)} AS hits_nl,
+  {_sql_hits('text', _list_sql(_KW_EN_SINGLE), _KW_EN_PHRASES)} AS hits_en,
+  {_sql_any('text', _LEX_NL['duckdb'])} AS lexicon_nl,
+  {_sql_any('text', _LEX_EN['duckdb'])} AS lexicon_en,
+  coalesce(regexp_matches(text, {S.q(_NEWS['duckdb'])}), false) AS newspaper_phrase
+FROM documents""")
+def topic_screen(spark, sf_dir):
+    """The configured topic lists on every document: distinct seed keywords (both
+    languages), the wide labelling lexicons with their proximity rules, and the
+    newspaper phrase screen."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select(
+        F.col("doc_id").alias("id"),
+        K.distinct_hits("text", keywords=KEYWORDS_NL).cast("long").alias("hits_nl"),
+        K.distinct_hits("text", keywords=KEYWORDS_EN).cast("long").alias("hits_en"),
+        K.matches_any("text", _LEX_NL["spark"]).alias("lexicon_nl"),
+        K.matches_any("text", _LEX_EN["spark"]).alias("lexicon_en"),
+        F.coalesce(F.col("text").rlike(_NEWS["spark"]), F.lit(False)).alias("newspaper_phrase"))

@@ -74,3 +74,11 @@ def test_json_feed_readers(spark):
     assert [(r["id"], r["text"]) for r in it] == [("a", "hello"), ("b", None)]
     art = read_articles_json(spark, f"{d}/articles.ndjson")
     assert len(art.columns) == 8 and art.first()["ocr_xml"] is None
+
+
+def test_verdict_stream_equals_batch_first_votes(spark):
+    from siftwise.operators import votes as V
+    from siftwise.plans.fixtures import rule_votes
+    stream = rows(QUERIES["stream_votes"](spark, SF_SMALL))
+    batch = rows(V.first_votes(rule_votes(spark, SF_SMALL)).select("id", "model", "label", "vote"))
+    assert stream == batch

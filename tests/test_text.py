@@ -50,3 +50,32 @@ def test_code_point_length_and_words(spark):
 
 def test_highlight_adjacent(spark):
     assert one(spark, "That this, THIS", K.highlight("t", ["this", "that"])) == "**That** **this**, **THIS**"
+
+
+def test_fixed_lists_on_hand_examples(spark):
+    import duckdb
+
+    from siftwise.config import (KEYWORDS_NL, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS, LEXICON_EN_WORDS,
+                                 LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, LEXICON_NL_WORDS, NEWSPAPER_PHRASES)
+    nl = K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS)
+    en = K.lexicon_pattern(LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS)
+    cases = [  # (text, nl lexicon, en lexicon, newspaper phrase)
+        ("Lekker STAMPPOT met worst", True, True, False),
+        ("De Nederlandse eetcultuur en de keuken", True, False, True),
+        ("de keuken, zei hij, is typisch hollandse", True, False, False),
+        ("Dutch\nkitchen", False, False, False),
+        ("Dutch food culture", False, True, False),
+        ("we had pea soup", False, True, False),
+        ("vaderlansd eten", True, False, True),
+        ("stamppotten", False, False, False),
+    ]
+    con = duckdb.connect()
+    for text, want_nl, want_en, want_news in cases:
+        got_nl = one(spark, text, K.matches_any("t", nl))
+        got_en = one(spark, text, K.matches_any("t", en))
+        got_news = one(spark, text, F.col("t").rlike(K.whole_word_pattern(NEWSPAPER_PHRASES)))
+        assert (got_nl, got_en, got_news) == (want_nl, want_en, want_news), text
+        duck = [con.execute("SELECT regexp_matches(?, ?)", [text, p]).fetchone()[0]
+                for p in K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, "duckdb")]
+        assert any(duck) == want_nl, text
+    assert one(spark, "Eten, eten en nog eens ETEN; haring!", K.distinct_hits("t", keywords=KEYWORDS_NL)) == 2
