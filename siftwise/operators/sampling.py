@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RANDOM_SEED
+from ..session import partitions_for
 
 
 def seeded_key(id_col, seed: int = RANDOM_SEED) -> Column:
@@ -30,8 +31,7 @@ def with_position(df: DataFrame, order_cols: list[str], partitions: int | None =
     ``spark.checkpoint.dir``) so positions stay fixed if an executor is lost
     and the range boundaries would otherwise be re-sampled.
     """
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or partitions_for(df)
     sorted_df = (df.repartitionByRange(n_parts, *order_cols)
                  .sortWithinPartitions(*order_cols)
                  .withColumn("_pid", F.spark_partition_id())

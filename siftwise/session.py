@@ -65,3 +65,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partition count for a shuffle that keeps the input's row volume per task:
+    at least ``spark.sql.shuffle.partitions``, and at least as many partitions as
+    the input has splits (``spark.sql.files.maxPartitionBytes`` sized), so the
+    count grows with the data instead of staying at a fixed number."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, df.rdd.getNumPartitions())
