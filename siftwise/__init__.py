@@ -6,4 +6,15 @@ driver except scalars and lists whose size is bounded by configuration (model
 names, ensemble combinations, grid points).
 """
 
+import sys as _sys
+
+# Python functions shipped to executors (encoders, scorers, UDF bodies) are
+# pickled by value, so workers need no copy of this package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001  (older cloudpickle: ship the package with --py-files)
+    pass
+
 __all__ = ["session", "config"]
