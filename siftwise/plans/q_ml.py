@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from ..config import QUERY_BATCH_FORUM, SEED_SIZE
+from ..config import EVAL_MIN_DF, QUERY_BATCH_FORUM, SEED_SIZE
+from ..operators import tfidf as T
 from ..functions import text as X
 from ..functions.normalise import normalise_unicode
 from ..operators import classify as C
@@ -50,6 +52,36 @@ def embedding_split(spark, sf_dir):
     return train, data.where(F.col("split") == "test")
 
 
+def llm_label_sets(spark, sf_dir):
+    """(train, test) as (id, label, text): unanimous annotator labels minus
+    gold items for training, the gold items for testing."""
+    votes = rule_votes(spark, sf_dir, with_text=False).where(F.col("model").isin(UNANIMOUS_MODELS))
+    agreed = V.unanimous(V.first_votes(votes, keep_label=False), UNANIMOUS_MODELS)
+    gold = table(spark, sf_dir, "labels", "doc_id", "quality").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
+        .where(X.has_text("text"))
+    return agreed.join(gold.select("id"), "id", "left_anti").join(docs, "id"), gold.join(docs, "id")
+
+
+def tfidf_split(spark, sf_dir):
+    """TF-IDF branch: (1,2)-gram sublinear TF-IDF fitted on the training texts only,
+    as sparse vectors for MLlib."""
+    train, test = llm_label_sets(spark, sf_dir)
+    train_terms = T.doc_terms(train, ngrams=(1, 2)).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = T.fit_vocabulary(train_terms, train.select(F.count("*")).scalar(), min_df=EVAL_MIN_DF).checkpoint()
+    index = T.vocabulary_index(vocab)
+
+    def vectors(df, terms):
+        v = T.to_sparse_vectors(T.transform(terms, vocab, sublinear=True), index, df)
+        return v.join(df.select("id", "label"), "id").checkpoint()
+
+    tr = vectors(train, train_terms)
+    te = vectors(test, T.doc_terms(test, ngrams=(1, 2)))
+    train_terms.unpersist()
+    return ML.fold_column(tr).checkpoint(), te
+
+
 def llm_text_split(spark, sf_dir):
     """Unanimous annotator labels (gold excluded) for training; gold for test."""
     votes = rule_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS))
@@ -78,7 +110,10 @@ def cv_table(spark, sf_dir):
     tr2, te2 = llm_text_split(spark, sf_dir)
     b = ML.evaluate_branch(tr2, te2, "hashed-text", "annotators",
                            names=["Logistic Regression", "SVM (Linear)"])
-    _CV_CACHE[key] = a.unionByName(b).checkpoint()
+    tr3, te3 = tfidf_split(spark, sf_dir)
+    c = ML.evaluate_branch(tr3, te3, "tfidf", "annotators",
+                           names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
+    _CV_CACHE[key] = a.unionByName(b).unionByName(c).checkpoint()
     return _CV_CACHE[key]
 
 
