@@ -311,3 +311,34 @@ def topic_screen(spark, sf_dir):
         K.matches_any("text", _LEX_NL["spark"]).alias("lexicon_nl"),
         K.matches_any("text", _LEX_EN["spark"]).alias("lexicon_en"),
         F.coalesce(F.col("text").rlike(_NEWS["spark"]), F.lit(False)).alias("newspaper_phrase"))
+
+
+# ----------------------------------------------------------------- F7 Q3 F12 Q5 X8 X9 X17 (newspaper queue)
+_QUEUE_WORDS = sorted({w for p in TEST_PHRASES for w in p.split()})
+
+
+@query("article_label_queue", S.with_ctes(ARTICLES_CTE) + f"""
+SELECT row_number() OVER (ORDER BY draw_key, article_id) AS ordinal, article_id, title_upper, preview FROM (
+  SELECT article_id, md5('{RANDOM_SEED}:' || CAST(article_id AS VARCHAR)) AS draw_key,
+         upper(replace(coalesce(title, ''), 'ß', 'ss')) AS title_upper,
+         {_sql_highlight(f'substr(plain_text, 1, {PREVIEW_CHARS})', _QUEUE_WORDS)} AS preview
+  FROM articles
+  WHERE (coalesce(regexp_matches(plain_text, {S.q(_PHRASE_DUCK)}), false)
+         OR regexp_matches(coalesce(title, ''), {S.q(_PHRASE_DUCK)}))
+    AND article_id % 4 <> 0
+  ORDER BY draw_key, article_id LIMIT {QUERY_BATCH_NEWSPAPER}) q""")
+def article_label_queue(spark, sf_dir):
+    """Newspaper labelling batch: phrase-screened articles (body or title), minus
+    those already labelled (every fourth article here), in seeded order, with the
+    upper-cased title and a highlighted preview.  Ordinals on the 50-row batch."""
+    a = articles_from_pages(spark, sf_dir)
+    hit = (F.coalesce(F.col("plain_text").rlike(_PHRASE_SPARK), F.lit(False))
+           | F.coalesce(F.col("title"), F.lit("")).rlike(_PHRASE_SPARK))
+    labelled = a.where(F.col("article_id") % 4 == 0).select("article_id")
+    batch = (a.where(hit).join(labelled, "article_id", "left_anti")
+             .withColumn("draw_key", Q.seeded_key("article_id"))
+             .orderBy("draw_key", "article_id").limit(QUERY_BATCH_NEWSPAPER))
+    w = Window.orderBy("draw_key", "article_id")   # over the 50-row batch only
+    return batch.select(F.row_number().over(w).cast("long").alias("ordinal"), "article_id",
+                        F.upper(F.coalesce("title", F.lit(""))).alias("title_upper"),
+                        K.highlight(X.clip("plain_text", PREVIEW_CHARS), _QUEUE_WORDS).alias("preview"))
