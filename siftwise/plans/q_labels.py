@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CONSENSUS_THRESHOLD  # noqa: F401  (documented parameter)
 from ..config import DEFAULT_MAX_TOKENS, RESPONSE_MAX_REASONING_WORDS, RESPONSE_PARSE_ERROR, TRUNCATION_BUDGETS
 from ..functions import prompts as P
 from ..functions import text as X

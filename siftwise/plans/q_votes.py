@@ -185,3 +185,26 @@ SELECT model, {S.rhe('f1_1')} AS f1_1,
 FROM scored""")
 def model_ranking(spark, sf_dir):
     return M.rank_models(M.leaderboard(fixture_scored(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- K1 K2 S4 -> M6
+@query("verdict_file_leaderboard", S.with_ctes(S.VOTES_CTE, S.GOLD_EVAL_CTE) + f"""
+SELECT model, {S.rhe('accuracy')} AS accuracy, {S.rhe('precision_1')} AS precision_1,
+  {S.rhe('recall_1')} AS recall_1, {S.rhe('f1_1')} AS f1_1, {S.rhe('kappa')} AS kappa, tn, fp, fn, tp
+FROM scored""")
+def verdict_file_leaderboard(spark, sf_dir):
+    """The evaluation run from verdict files: every annotator run is written as
+    NDJSON (one folder per model slug, full text kept), read back with the fixed
+    verdict schema (labels as text), and evaluated against gold."""
+    from ..operators.sinks import write_verdicts
+    from ..sources.tables import read_verdicts_json
+    from .q_ml import scratch_dir
+    base = scratch_dir(spark, "verdicts")
+    votes = rule_votes(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"), "model", "label", F.lit("").alias("reasoning"), "text", "seq")
+    write_verdicts(votes, base)
+    raw = read_verdicts_json(spark, f"{base}/*/*.json", extra="seq int")
+    first = (V.first_votes(raw.select("id", "model", "label", "seq"), keep_label=False)
+             .select(F.col("id").cast("long").alias("id"), "model", "vote", "pred"))
+    preds, eval_ids = M.predictions_vs_gold(first, gold_quality(spark, sf_dir))
+    return M.leaderboard(M.with_scores(M.confusion_counts(preds, eval_ids)))

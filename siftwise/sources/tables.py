@@ -67,9 +67,13 @@ def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE_SCHEMA).json(path)
 
 
-def read_verdicts_json(spark: SparkSession, path: str) -> DataFrame:
-    """Every verdict file under ``path``; the file name orders runs."""
-    return (spark.read.schema(VERDICT_SCHEMA).json(path)
+def read_verdicts_json(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
+    """Every verdict file under ``path``; the file name orders runs.
+
+    ``extra`` adds DDL fields a writer put next to the D3 fields (e.g. an order column)."""
+    schema = VERDICT_SCHEMA if not extra else T.StructType(
+        VERDICT_SCHEMA.fields + T.StructType.fromDDL(extra).fields)
+    return (spark.read.schema(schema).json(path)
             .withColumn("run_file", F.col("_metadata.file_name")))
 
 
