@@ -53,12 +53,17 @@ def model_bits(ranked: list[str]) -> Column:
     return F.create_map(*pairs)
 
 
-def vote_masks(first: DataFrame, ranked: list[str]) -> DataFrame:
-    """Per id: ``pos`` and ``present`` bitmasks over the ranked models."""
+def vote_masks(first: DataFrame, ranked: list[str], positive: Column | None = None,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per id: ``pos`` and ``present`` bitmasks over the ranked models.
+
+    ``positive`` marks a vote for class 1 (default ``vote = 1``); ``keep`` carries
+    per-id columns (e.g. the gold label) through the aggregation."""
     bit = model_bits(ranked)[F.col("model")]
+    pos = positive if positive is not None else (F.col("vote") == 1)
     return (first.where(F.col("model").isin(ranked))
-            .groupBy("id").agg(
-                F.bit_or(F.when(F.col("vote") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("pos"),
+            .groupBy("id", *keep).agg(
+                F.bit_or(F.when(pos, bit).otherwise(F.lit(0).cast("long"))).alias("pos"),
                 F.bit_or(bit).alias("present")))
 
 

@@ -79,9 +79,9 @@ def _ensemble_board(spark, sf_dir):
     defs = E.ensemble_definitions(ranked)
     first = fixture_first_votes(spark, sf_dir)
     gold = gold_quality(spark, sf_dir)
-    masks = E.vote_masks(first, ranked).join(gold, "id")
+    preds, eval_ids = M.predictions_vs_gold(first, gold)     # gold-sized, persisted
+    masks = E.vote_masks(preds, ranked, positive=F.col("pred") == 1, keep=("gold",))
     ens = M.with_scores(E.ensemble_confusion(masks, defs))
-    preds, eval_ids = M.predictions_vs_gold(first, gold)
     single = M.with_scores(M.confusion_counts(preds, eval_ids)).withColumn("members", F.lit(1).cast("long"))
     both = single.unionByName(ens)
     return (M.leaderboard(both).join(both.select("model", "members"), "model")
