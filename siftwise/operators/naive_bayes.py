@@ -1,8 +1,8 @@
 """Relational multinomial naive Bayes on TF-IDF weights (L1) and uncertainty (Q1).
 
-The fitted model is a table ``(label, term, log_prob)`` bounded by the
-vocabulary size times the number of classes, plus one prior per class; scoring
-is a broadcast join by term and a per-document sum.  Class priors are not
+The fitted model is a table ``(term, lp0, lp1)`` bounded by the vocabulary
+size, plus one prior per class; scoring is a broadcast join by term and a
+per-document sum.  Class priors are not
 smoothed (unlike Spark ML's NaiveBayes), matching the common reference formula.
 """
 
@@ -14,33 +14,42 @@ from pyspark.sql import functions as F
 CLASSES = [0, 1]
 
 
-def fit(weights: DataFrame, labels: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Return ``(log_probs (label, term, log_prob), priors (label, log_prior))``.
+def fit_wide(weights: DataFrame, labels: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Return ``(model (term, lp0, lp1), priors (label, log_prior))`` for classes 0/1.
 
     ``weights``: (id, term, weight); ``labels``: (id, label); ``vocab``: (term).
+    Both classes' feature sums come from one aggregation by term; class totals
+    and the vocabulary size are scalar subqueries.
     """
     lab = labels.select("id", "label")
-    fc = weights.join(lab, "id").groupBy("label", "term").agg(F.sum("weight").alias("fc"))
-    n_terms = vocab.select(F.count("*")).scalar()
-    grid = vocab.select("term", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("label"))
-    full = grid.join(fc, ["label", "term"], "left").select("label", "term", F.coalesce("fc", F.lit(0.0)).alias("fc"))
-    totals = full.groupBy("label").agg(F.sum("fc").alias("fc_total"))
-    log_probs = (full.join(F.broadcast(totals), "label")
-                 .select("label", "term",
-                         F.log((F.col("fc") + alpha) / (F.col("fc_total") + alpha * n_terms)).alias("log_prob")))
+    per_term = (weights.join(lab, "id").groupBy("term").agg(
+        *[F.sum(F.when(F.col("label") == c, F.col("weight")).otherwise(0.0)).alias(f"fc{c}") for c in CLASSES]))
+    full = vocab.select("term").join(per_term, "term", "left").select(
+        "term", *[F.coalesce(f"fc{c}", F.lit(0.0)).alias(f"fc{c}") for c in CLASSES])
+    sizes = full.select(F.struct(F.count("*").alias("v"),
+                                 *[F.sum(f"fc{c}").alias(f"t{c}") for c in CLASSES]).alias("s")).scalar()
+    model = full.select("term", *[F.log((F.col(f"fc{c}") + alpha) / (sizes[f"t{c}"] + alpha * sizes["v"]))
+                                  .alias(f"lp{c}") for c in CLASSES])
     counts = lab.groupBy("label").agg(F.count("*").alias("n_c"))
     priors = counts.select("label", F.log(F.col("n_c") / counts.select(F.sum("n_c")).scalar()).alias("log_prior"))
-    return log_probs, priors
+    return model, priors
+
+
+def fit(weights: DataFrame, labels: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Long form ``(log_probs (label, term, log_prob), priors)`` of :func:`fit_wide`."""
+    model, priors = fit_wide(weights, labels, vocab, alpha)
+    long = model.select("term", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("label"), F.col(f"lp{c}").alias("log_prob")) for c in CLASSES])).alias("x"))
+    return long.select("x.label", "term", "x.log_prob"), priors
 
 
-def log_odds(weights: DataFrame, docs: DataFrame, log_probs: DataFrame, priors: DataFrame) -> DataFrame:
+def log_odds(weights: DataFrame, docs: DataFrame, model: DataFrame, priors: DataFrame) -> DataFrame:
     """``(id, log_odds)`` = log P(1|d) - log P(0|d) for every row of ``docs`` (id).
 
-    Documents without any vocabulary term keep the prior difference.
+    ``model`` is the wide ``(term, lp0, lp1)`` table (vocabulary-sized, so it is
+    broadcast).  Documents without any vocabulary term keep the prior difference.
     """
-    diff = (log_probs.groupBy("term").agg(
-        (F.sum(F.when(F.col("label") == 1, F.col("log_prob")).otherwise(0.0))
-         - F.sum(F.when(F.col("label") == 0, F.col("log_prob")).otherwise(0.0))).alias("d")))
+    diff = model.select("term", (F.col("lp1") - F.col("lp0")).alias("d"))
     prior_d = (priors.select(F.sum(F.when(F.col("label") == 1, F.col("log_prior")).otherwise(0.0))
                      - F.sum(F.when(F.col("label") == 0, F.col("log_prior")).otherwise(0.0))).scalar())
     contrib = (weights.join(F.broadcast(diff), "term")   # vocabulary-sized: bounded by max_features

@@ -191,9 +191,9 @@ def al_round(spark, sf_dir):
     labelled.write.mode("overwrite").parquet(f"{base}/labels_v1")
     labelled = spark.read.parquet(f"{base}/labels_v1")
     for rnd in (2, 3):
-        log_probs, priors = NB.fit(w, labelled.select("id", "label"), vocab, NB_ALPHA)
+        model, priors = NB.fit_wide(w, labelled.select("id", "label"), vocab, NB_ALPHA)
         pool = docs.select("id").join(labelled, "id", "left_anti")
-        queue = NB.least_confident(NB.log_odds(w, pool, log_probs, priors), QUERY_BATCH_FORUM)
+        queue = NB.least_confident(NB.log_odds(w, pool, model, priors), QUERY_BATCH_FORUM)
         if rnd == 3:
             return (labelled.select("round", "id", "label", F.lit("labelled").alias("status"))
                     .unionByName(queue.select(F.lit(rnd).alias("round"), "id",
