@@ -15,8 +15,9 @@ from ..sources.tables import items, table
 from . import sql as S
 from ..operators.classify import score_with
 from ..functions.scorers import length_parity_scorer
-from .fixtures import RESPONSE_CASES, raw_responses, rule_votes
+from .fixtures import RESPONSE_CASES, raw_responses
 from .q_text import ITEMS_CTE, LANG_CTE
+from .q_votes import fixture_first_votes
 from .registry import query
 
 # ----------------------------------------------------------------- X13 X15 X16
@@ -235,8 +236,8 @@ JOIN documents d ON d.doc_id = u.id
 WHERE u.id NOT IN (SELECT doc_id FROM labels) AND d.text IS NOT NULL""")
 def unanimous_train(spark, sf_dir):
     """Items both named runs label identically, minus gold items, with text."""
-    votes = rule_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS))
-    agreed = V.unanimous(V.first_votes(votes, keep_label=False), UNANIMOUS_MODELS)
+    agreed = V.unanimous(fixture_first_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS)),
+                         UNANIMOUS_MODELS)
     gold = table(spark, sf_dir, "labels", "doc_id").withColumnRenamed("doc_id", "id")
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
     return (agreed.join(gold, "id", "left_anti").join(docs, "id")

@@ -20,7 +20,7 @@ from ..sources.tables import table
 from .q_labels import UNANIMOUS_MODELS
 from .q_models import NB_ALPHA, holdout_column, pool_features
 from .q_text import clean_articles
-from .q_votes import rule_votes
+from .q_votes import fixture_first_votes
 from .registry import query
 from ..operators import votes as V
 
@@ -55,8 +55,8 @@ def embedding_split(spark, sf_dir):
 def llm_label_sets(spark, sf_dir):
     """(train, test) as (id, label, text): unanimous annotator labels minus
     gold items for training, the gold items for testing."""
-    votes = rule_votes(spark, sf_dir, with_text=False).where(F.col("model").isin(UNANIMOUS_MODELS))
-    agreed = V.unanimous(V.first_votes(votes, keep_label=False), UNANIMOUS_MODELS)
+    agreed = V.unanimous(fixture_first_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS)),
+                         UNANIMOUS_MODELS)
     gold = table(spark, sf_dir, "labels", "doc_id", "quality").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
@@ -84,8 +84,8 @@ def tfidf_split(spark, sf_dir):
 
 def llm_text_split(spark, sf_dir):
     """Unanimous annotator labels (gold excluded) for training; gold for test."""
-    votes = rule_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS))
-    agreed = V.unanimous(V.first_votes(votes, keep_label=False), UNANIMOUS_MODELS)
+    agreed = V.unanimous(fixture_first_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS)),
+                         UNANIMOUS_MODELS)
     gold = table(spark, sf_dir, "labels", "doc_id", "quality").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \

@@ -11,13 +11,21 @@ from ..operators import votes as V
 from ..sources.tables import table
 from . import sql as S
 from .fixtures import rule_votes
+from .cache import memo, persisted
 from .registry import query
 
 
+def fixture_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text-free votes table, built once per application and persisted."""
+    return memo(spark, ("votes", sf_dir), lambda: persisted(rule_votes(spark, sf_dir, with_text=False)))
+
+
 def fixture_first_votes(spark: SparkSession, sf_dir: str, keep_label: bool = False) -> DataFrame:
     """First votes of the rule annotators; integer-only unless labels are needed."""
-    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False), keep_label=keep_label)
-    return first.withColumn("pred", V.numeric_label("label")) if keep_label else first
+    def build():
+        first = V.first_votes(fixture_votes(spark, sf_dir), keep_label=keep_label)
+        return persisted(first.withColumn("pred", V.numeric_label("label")) if keep_label else first)
+    return memo(spark, ("first_votes", sf_dir, keep_label), build)
 
 
 def gold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +38,7 @@ def gold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"max(CASE WHEN model = {S.q(m)} THEN label END) AS \"{m}\"" for m in FIXTURE_MODELS)
     + " FROM first_votes GROUP BY id")
 def vote_matrix(spark, sf_dir):
-    return V.vote_matrix(V.first_votes(rule_votes(spark, sf_dir, with_text=False)), FIXTURE_MODELS)
+    return V.vote_matrix(fixture_first_votes(spark, sf_dir, keep_label=True), FIXTURE_MODELS)
 
 
 # --------------------------------------------------------------------------- A2 / J2 / A12
@@ -74,8 +82,8 @@ def vote_consensus(spark, sf_dir):
     Items lacking any vote row from the first k annotators are not items of
     that prefix (an item-less model run would not have produced them).
     """
-    votes = rule_votes(spark, sf_dir, with_text=False)
-    first = V.first_votes(votes, keep_label=False)
+    votes = fixture_votes(spark, sf_dir)
+    first = fixture_first_votes(spark, sf_dir)
     ranks = S.FIXTURE_RANKS
     per_item = V.item_vote_counts(first, ranks)
     stacked = per_item.select("id", F.explode(F.array(*[
@@ -124,8 +132,7 @@ SELECT count(*) AS n_items,
   count(*) FILTER (WHERE n_pos >= {_LO} AND n_pos <= {_HI}) AS conflict
 FROM per_item""")
 def consensus_fixed_bounds(spark, sf_dir):
-    first = V.first_votes(rule_votes(spark, sf_dir, with_text=False), keep_label=False) \
-        .where(F.col("model_rank") <= 5)
+    first = fixture_first_votes(spark, sf_dir).where(F.col("model_rank") <= 5)
     return V.consensus_bounds(V.item_vote_counts(first), _LO, _HI)
 
 
