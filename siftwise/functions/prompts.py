@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_MAX_TOKENS, TRUNCATION_BUDGETS
-from .text import NON_WS_CLASS, WS_CLASS
+from .text import UNICODE_WS
+
+ASCII_WS = "[\\t\\n\\x0B\\f\\r ]"
 
 # Default chat layout; a model-specific template is a parameter of render_chat.
 CHAT_TEMPLATE = ("<|{role}|>\n", "\n", "<|assistant|>\n")
@@ -59,10 +61,19 @@ def render_chat(messages, template=CHAT_TEMPLATE) -> Column:
 
 
 def word_prefix(text_col, max_words) -> Column:
-    """The text up to and including its ``max_words``-th whitespace word."""
+    """The text from its first word up to and including its ``max_words``-th
+    whitespace word (and the whitespace after it).
+
+    Offsets are measured on a copy whose non-ASCII whitespace is folded to a
+    space by ``translate`` (one code point for one, so positions line up) and cut
+    from the original text: the short ASCII class keeps the regex fast.
+    """
     t = F.col(text_col) if isinstance(text_col, str) else text_col
-    runs = F.regexp_extract_all(t, F.lit(f"{NON_WS_CLASS}+{WS_CLASS}*"), 0)
-    return F.array_join(F.slice(runs, 1, max_words), "")
+    folded = F.translate(t, UNICODE_WS, " " * len(UNICODE_WS))
+    lead = F.length(F.regexp_extract(folded, f"^{ASCII_WS}*", 0))
+    runs = F.regexp_extract_all(folded, F.lit(f"[^{ASCII_WS[1:-1]}]+{ASCII_WS}*"), 0)
+    kept = F.length(F.array_join(F.slice(runs, 1, max_words), ""))
+    return F.substring(t, lead + 1, kept)
 
 
 def budget_structs() -> Column:

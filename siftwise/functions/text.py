@@ -41,14 +41,14 @@ def not_blank(col) -> Column:
 
 # Non-ASCII members of the whitespace set, folded to a space with ``translate``
 # (a per-character map) so the split below can use a short ASCII class.
-_UNICODE_WS = "".join(chr(c) for c in [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+UNICODE_WS = "".join(chr(c) for c in [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                                         0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _ASCII_WS_RUN = r"[\t\n\x0B\f\r ]+"
 
 
 def word_count(col) -> Column:
     """Whitespace-separated word count (Python ``len(text.split())``)."""
-    folded = F.translate(_c(col), _UNICODE_WS, " " * len(_UNICODE_WS))
+    folded = F.translate(_c(col), UNICODE_WS, " " * len(UNICODE_WS))
     return F.size(F.filter(F.split(folded, _ASCII_WS_RUN), lambda w: w != F.lit("")))
 
 

@@ -17,6 +17,7 @@ from ..operators import sampling as Q
 from ..sources.config_tables import SYSTEM_PROMPTS, lang_config
 from ..sources.tables import articles_from_pages, items, table
 from . import sql as S
+from .cache import memo, persisted
 from .registry import query
 
 HEAD_RATIO = 0.1
@@ -144,11 +145,16 @@ def lang_config_query(spark, sf_dir):
 
 # ----------------------------------------------------------------- X6 X7 F6 Q2
 def keyword_hit_table(spark, sf_dir):
-    it = items(spark, sf_dir)
-    cfg = lang_config(spark)
-    return (it.join(cfg, "lang", "left")
-            .withColumn("hits", K.distinct_hits("text", F.coalesce("keywords", F.array().cast("array<string>")),
-                                                SEED_PHRASES).cast("long")))
+    """``(id, lang, hits, n_chars)`` for every item, built once per application
+    (read by the hit report, the seed candidates and the seed draw)."""
+    def build():
+        it = items(spark, sf_dir)
+        cfg = lang_config(spark)
+        kw = F.coalesce("keywords", F.array().cast("array<string>"))
+        return persisted(it.join(cfg, "lang", "left").select(
+            "id", "lang", K.distinct_hits("text", kw, SEED_PHRASES).cast("long").alias("hits"),
+            F.length("text").cast("long").alias("n_chars")))
+    return memo(spark, ("keyword_hits", sf_dir), build)
 
 
 _HITS_SQL = _sql_hits("i.text", "coalesce(l.keywords, [])", SEED_PHRASES)
@@ -164,7 +170,7 @@ def keyword_hits(spark, sf_dir):
 
 def seed_candidate_table(spark, sf_dir):
     return (keyword_hit_table(spark, sf_dir)
-            .where((F.col("hits") >= SEED_MIN_DISTINCT_HITS) & (F.length("text") >= SEED_MIN_CHARS)))
+            .where((F.col("hits") >= SEED_MIN_DISTINCT_HITS) & (F.col("n_chars") >= SEED_MIN_CHARS)))
 
 
 _CAND_SQL = S.with_ctes(ITEMS_CTE, LANG_CTE, f"""cand AS (
@@ -176,8 +182,7 @@ _CAND_SQL = S.with_ctes(ITEMS_CTE, LANG_CTE, f"""cand AS (
 @query("seed_candidates", _CAND_SQL + "SELECT id, lang, hits, n_chars FROM cand")
 def seed_candidates(spark, sf_dir):
     """at least four distinct keywords and at least 150 characters."""
-    return seed_candidate_table(spark, sf_dir).select(
-        "id", "lang", "hits", F.length("text").cast("long").alias("n_chars"))
+    return seed_candidate_table(spark, sf_dir).select("id", "lang", "hits", "n_chars")
 
 
 @query("seed_sample", _CAND_SQL + f"""
@@ -188,7 +193,7 @@ SELECT id, md5('{RANDOM_SEED}:' || CAST(id AS VARCHAR)) AS draw_key FROM chosen
 ORDER BY draw_key, id LIMIT {SEED_SIZE}""")
 def seed_sample(spark, sf_dir):
     """Q2: 25 seeded draws from the candidates (or from the whole pool if too few)."""
-    return Q.seed_sample(seed_candidate_table(spark, sf_dir), items(spark, sf_dir), SEED_SIZE)
+    return Q.seed_sample(seed_candidate_table(spark, sf_dir), keyword_hit_table(spark, sf_dir), SEED_SIZE)
 
 
 # ----------------------------------------------------------------- F7 F8 X8 X9

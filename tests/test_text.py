@@ -79,3 +79,10 @@ def test_fixed_lists_on_hand_examples(spark):
                 for p in K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, "duckdb")]
         assert any(duck) == want_nl, text
     assert one(spark, "Eten, eten en nog eens ETEN; haring!", K.distinct_hits("t", keywords=KEYWORDS_NL)) == 2
+
+
+def test_word_prefix_keeps_original_characters(spark):
+    from siftwise.functions.prompts import word_prefix
+    text = "  a b c d"
+    assert one(spark, text, word_prefix("t", F.lit(2))) == "a b "
+    assert one(spark, text, word_prefix("t", F.lit(10))) == "a b c d"
