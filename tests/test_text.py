@@ -43,8 +43,8 @@ def test_entities_and_ligature():
 def test_code_point_length_and_words(spark):
     assert one(spark, "a😀é", F.length("t")) == 3
     assert one(spark, " ".join(["w"] * 99), X.word_count("t")) == 99
-    assert one(spark, " ".join(["w"] * 100) + " x", X.word_count("t")) == 101
-    assert one(spark, "    ", X.not_blank("t")) is False
+    assert one(spark, " ".join(["w"] * 100) + "\u00a0x", X.word_count("t")) == 101
+    assert one(spark, "  \u00a0 ", X.not_blank("t")) is False
     assert one(spark, "  ", X.has_text("t")) is True
 
 
@@ -83,6 +83,6 @@ def test_fixed_lists_on_hand_examples(spark):
 
 def test_word_prefix_keeps_original_characters(spark):
     from siftwise.functions.prompts import word_prefix
-    text = "  a b c d"
-    assert one(spark, text, word_prefix("t", F.lit(2))) == "a b "
-    assert one(spark, text, word_prefix("t", F.lit(10))) == "a b c d"
+    text = "  a\u00a0b c\u2003d"
+    assert one(spark, text, word_prefix("t", F.lit(2))) == "a\u00a0b "
+    assert one(spark, text, word_prefix("t", F.lit(10))) == "a\u00a0b c\u2003d"
