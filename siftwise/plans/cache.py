@@ -22,3 +22,13 @@ def memo(spark, key: tuple, build):
 
 def persisted(df):
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def clear(spark=None) -> None:
+    """Unpersist and forget the memoized intermediates (of one application, or all)."""
+    app = spark.sparkContext.applicationId if spark is not None else None
+    for k in [k for k in _MEMO if app is None or k[0] == app]:
+        v = _MEMO.pop(k)
+        for df in (v if isinstance(v, tuple) else (v,)):
+            if hasattr(df, "unpersist"):
+                df.unpersist()

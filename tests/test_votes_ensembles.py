@@ -51,3 +51,20 @@ def test_majority_tie_prefers_zero(spark):
                                   "id long, model string, label string")
     got = {r["id"]: r["majority"] for r in E.majority_vote(first).collect()}
     assert got == {1: "0", 2: "1"}
+
+
+def test_ranking_ties_at_three_decimals_go_alphabetical(spark):
+    from siftwise.operators import metrics as M
+    board = spark.createDataFrame([("b/x", 0.8004), ("a/y", 0.7996), ("c/z", 0.9)], "model string, f1_1 double")
+    rounded = board.select("model", (F.bround(F.col("f1_1") * 1000, 0) / 1000).alias("f1_1"))
+    got = [r["model"] for r in M.rank_models(rounded).orderBy("rank").collect()]
+    assert got == ["c/z", "a/y", "b/x"]      # 0.800 == 0.800: name order decides
+
+
+def test_two_two_tie_goes_to_zero(spark):
+    first = spark.createDataFrame([(1, m, v) for m, v in (("a/1", 1), ("b/2", 1), ("c/3", 0), ("d/4", 0))],
+                                  "id long, model string, vote int")
+    masks = E.vote_masks(first, ["a/1", "b/2", "c/3", "d/4"])
+    assert masks.select(E.mask_vote(F.col("pos"), F.col("present"), 15).alias("v")).first()["v"] == 0
+    none = masks.select(E.mask_vote(F.col("pos"), F.col("present"), 1 << 5).alias("v")).first()["v"]
+    assert none is None                      # no member voted -> NULL (evaluated as -1)
