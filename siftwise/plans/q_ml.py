@@ -21,6 +21,7 @@ from .q_labels import UNANIMOUS_MODELS
 from .q_models import NB_ALPHA, holdout_column, pool_features
 from .q_text import clean_articles
 from .q_votes import fixture_first_votes
+from .cache import memo
 from .registry import query
 from ..operators import votes as V
 
@@ -134,24 +135,34 @@ def best_model(spark, sf_dir):
 def learning_curve(spark, sf_dir):
     """Test quality as the number of training labels grows (label order = id)."""
     tr, te = embedding_split(spark, sf_dir)
+    ordered = Q.with_position(tr.drop("fold"), ["id"])          # label order, positions computed once
     rows = []
     for n in LEARNING_CURVE_SIZES:
-        part = ML.with_class_weights(Q.with_position(tr.drop("fold"), ["id"]).where(F.col("pos") < n).drop("pos"))
+        part = ML.with_class_weights(ordered.where(F.col("pos") < n).drop("pos")).coalesce(1).cache()
         k = part.count()
         lr = LogisticRegression(weightCol="weight", standardization=False, regParam=1.0 / max(k, 1), maxIter=100)
         s, rep = ML.test_scores(lr.fit(part).transform(te))
         r = s.select("f1_1", "kappa").first()
+        part.unpersist()
         rows.append((n, k, r["f1_1"], r["kappa"]))
     return spark.createDataFrame(rows, "n_labels long, n_train long, test_f1 double, kappa double")
 
 
 # ----------------------------------------------------------------- V3-V5 L10 K3 K8 J7
 def trained_text_model(spark, sf_dir):
-    tr, _ = llm_text_split(spark, sf_dir)
-    part = ML.with_class_weights(tr)
-    lr = LogisticRegression(weightCol="weight", standardization=False,
-                            regParam=1.0 / max(part.count(), 1), maxIter=100)
-    return lr.fit(part)
+    """L10 training: encoded unanimous-label texts (gold excluded) -> weighted
+    logistic regression.  Trained once per application and shared by the batch
+    and streaming classification queries."""
+    def build():
+        train, _ = llm_label_sets(spark, sf_dir)
+        enc = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text"))
+        part = ML.with_class_weights(enc).cache()
+        n = part.count()
+        lr = LogisticRegression(weightCol="weight", standardization=False, regParam=1.0 / max(n, 1), maxIter=100)
+        model = lr.fit(part.coalesce(max(1, -(-n // ML.ROWS_PER_TRAIN_PARTITION))))
+        part.unpersist()
+        return model
+    return memo(spark, ("text_model", sf_dir), build)
 
 
 def routed_documents(spark, sf_dir, model=None):
