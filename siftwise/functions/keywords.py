@@ -94,3 +94,48 @@ def highlight(text_col, keywords, open_mark: str = "**", close_mark: str = "**")
                          F.concat(F.lit(open_mark), r, F.lit(close_mark))).otherwise(r),
     )
     return F.array_join(marked, "")
+
+
+def _plain(word: str) -> bool:
+    return re.fullmatch(r"[^\W]+", word) is not None
+
+
+def lexicon_match(text_col, words, adjectives, nouns) -> tuple[Column, Column]:
+    """F8 as (word_hit, proximity_hit), same results as the three regexes of
+    :func:`lexicon_pattern` but cheaper on long texts:
+
+    * plain words are looked up in the row's token set (one hash probe per token
+      instead of one alternation per character);
+    * a proximity rule can only match when both an adjective and a noun occur as
+      tokens, so its ``.*`` regex runs only on those rows.
+    """
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    toks = _tokens(text, min_len=1)
+    plain = [w.lower() for w in words if _plain(w)]
+    other = [w for w in words if not _plain(w)]
+    hit = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in plain])) if plain else F.lit(False)
+    if other:
+        hit = hit | F.coalesce(text.rlike(whole_word_pattern(other)), F.lit(False))
+    both = (F.arrays_overlap(toks, F.array(*[F.lit(a.lower()) for a in adjectives]))
+            & F.arrays_overlap(toks, F.array(*[F.lit(n.lower()) for n in nouns])))
+    prox = F.when(both, F.coalesce(text.rlike(proximity_pattern(adjectives, nouns))
+                                   | text.rlike(proximity_pattern(nouns, adjectives)), F.lit(False))
+                  ).otherwise(F.lit(False))
+    return F.coalesce(hit, F.lit(False)), prox
+
+
+def phrase_match(text_col, phrases) -> Column:
+    """Any phrase as whole words (case-insensitive); the regex runs only on rows
+    whose token set holds every word of at least one phrase."""
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    toks = _tokens(text, min_len=1)
+    parts = [p.lower().split() for p in phrases]
+    possible = None
+    for ws in parts:
+        cond = None
+        for w in ws:
+            c = F.array_contains(toks, w)
+            cond = c if cond is None else (cond & c)
+        possible = cond if possible is None else (possible | cond)
+    return F.when(F.coalesce(possible, F.lit(False)),
+                  F.coalesce(text.rlike(whole_word_pattern(phrases)), F.lit(False))).otherwise(F.lit(False))

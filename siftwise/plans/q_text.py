@@ -197,7 +197,6 @@ def seed_sample(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- F7 F8 X8 X9
-_PHRASE_SPARK = K.whole_word_pattern(TEST_PHRASES, "spark")
 _PHRASE_DUCK = K.whole_word_pattern(TEST_PHRASES, "duckdb")
 
 
@@ -208,12 +207,10 @@ WHERE coalesce(regexp_matches(plain_text, {S.q(_PHRASE_DUCK)}), false)
 def phrase_screen(spark, sf_dir):
     """any phrase (case-insensitive, whole words) in the body OR the title."""
     a = articles_from_pages(spark, sf_dir)
-    hit = (F.coalesce(F.col("plain_text").rlike(_PHRASE_SPARK), F.lit(False))
-           | F.coalesce(F.col("title"), F.lit("")).rlike(_PHRASE_SPARK))
+    hit = K.phrase_match("plain_text", TEST_PHRASES) | K.phrase_match(F.coalesce("title", F.lit("")), TEST_PHRASES)
     return a.where(hit).select("article_id", "title")
 
 
-_LEX_SPARK = K.lexicon_pattern(TEST_LEXICON_WORDS, TEST_LEXICON_ADJECTIVES, TEST_LEXICON_NOUNS, "spark")
 _LEX_DUCK = K.lexicon_pattern(TEST_LEXICON_WORDS, TEST_LEXICON_ADJECTIVES, TEST_LEXICON_NOUNS, "duckdb")
 
 
@@ -225,8 +222,7 @@ FROM documents""")
 def lexicon_proximity(spark, sf_dir):
     """F8: word list OR adjective..noun / noun..adjective on one line."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    word = K.matches_any("text", _LEX_SPARK[:1])
-    prox = K.matches_any("text", _LEX_SPARK[1:])
+    word, prox = K.lexicon_match("text", TEST_LEXICON_WORDS, TEST_LEXICON_ADJECTIVES, TEST_LEXICON_NOUNS)
     return d.select(F.col("doc_id").alias("id"), word.alias("word_hit"),
                     prox.alias("proximity_hit"), (word | prox).alias("screened"))
 
@@ -287,9 +283,9 @@ def label_queue(spark, sf_dir):
 # ----------------------------------------------------------------- X6 F6 F7 F8 with the fixed lists
 _KW_NL_SINGLE, _KW_NL_PHRASES = K.split_keywords(KEYWORDS_NL)
 _KW_EN_SINGLE, _KW_EN_PHRASES = K.split_keywords(KEYWORDS_EN)
-_LEX_NL = {e: K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, e) for e in ("spark", "duckdb")}
-_LEX_EN = {e: K.lexicon_pattern(LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS, e) for e in ("spark", "duckdb")}
-_NEWS = {e: K.whole_word_pattern(NEWSPAPER_PHRASES, e) for e in ("spark", "duckdb")}
+_LEX_NL = {"duckdb": K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, "duckdb")}
+_LEX_EN = {"duckdb": K.lexicon_pattern(LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS, "duckdb")}
+_NEWS = {"duckdb": K.whole_word_pattern(NEWSPAPER_PHRASES, "duckdb")}
 
 
 def _list_sql(words):
@@ -309,13 +305,15 @@ def topic_screen(spark, sf_dir):
     languages), the wide labelling lexicons with their proximity rules, and the
     newspaper phrase screen."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
+    nl_word, nl_prox = K.lexicon_match("text", LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS)
+    en_word, en_prox = K.lexicon_match("text", LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS)
     return d.select(
         F.col("doc_id").alias("id"),
         K.distinct_hits("text", keywords=KEYWORDS_NL).cast("long").alias("hits_nl"),
         K.distinct_hits("text", keywords=KEYWORDS_EN).cast("long").alias("hits_en"),
-        K.matches_any("text", _LEX_NL["spark"]).alias("lexicon_nl"),
-        K.matches_any("text", _LEX_EN["spark"]).alias("lexicon_en"),
-        F.coalesce(F.col("text").rlike(_NEWS["spark"]), F.lit(False)).alias("newspaper_phrase"))
+        (nl_word | nl_prox).alias("lexicon_nl"),
+        (en_word | en_prox).alias("lexicon_en"),
+        K.phrase_match("text", NEWSPAPER_PHRASES).alias("newspaper_phrase"))
 
 
 # ----------------------------------------------------------------- F7 Q3 F12 Q5 X8 X9 X17 (newspaper queue)
@@ -337,8 +335,7 @@ def article_label_queue(spark, sf_dir):
     those already labelled (every fourth article here), in seeded order, with the
     upper-cased title and a highlighted preview.  Ordinals on the 50-row batch."""
     a = articles_from_pages(spark, sf_dir)
-    hit = (F.coalesce(F.col("plain_text").rlike(_PHRASE_SPARK), F.lit(False))
-           | F.coalesce(F.col("title"), F.lit("")).rlike(_PHRASE_SPARK))
+    hit = K.phrase_match("plain_text", TEST_PHRASES) | K.phrase_match(F.coalesce("title", F.lit("")), TEST_PHRASES)
     labelled = a.where(F.col("article_id") % 4 == 0).select("article_id")
     batch = (a.where(hit).join(labelled, "article_id", "left_anti")
              .withColumn("draw_key", Q.seeded_key("article_id"))

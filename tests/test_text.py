@@ -75,6 +75,10 @@ def test_fixed_lists_on_hand_examples(spark):
         got_en = one(spark, text, K.matches_any("t", en))
         got_news = one(spark, text, F.col("t").rlike(K.whole_word_pattern(NEWSPAPER_PHRASES)))
         assert (got_nl, got_en, got_news) == (want_nl, want_en, want_news), text
+        w, p = K.lexicon_match("t", LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS)
+        w2, p2 = K.lexicon_match("t", LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS)
+        assert one(spark, text, w | p) == want_nl and one(spark, text, w2 | p2) == want_en, text
+        assert one(spark, text, K.phrase_match("t", NEWSPAPER_PHRASES)) == want_news, text
         duck = [con.execute("SELECT regexp_matches(?, ?)", [text, p]).fetchone()[0]
                 for p in K.lexicon_pattern(LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, "duckdb")]
         assert any(duck) == want_nl, text
