@@ -76,7 +76,13 @@ def distinct_hits(text_col, keywords_col: Column | None = None, keywords=None) -
     if single:
         total = total + F.size(F.array_intersect(toks, F.array(*[F.lit(k) for k in single])))
     for p in phrases:
-        total = total + F.when(text.rlike(whole_word_pattern([re.escape(p).replace("\\ ", " ")])), 1).otherwise(0)
+        # the phrase regex can only match when each of its words is a token
+        present = None
+        for w in p.split():
+            c = F.array_contains(toks, w)
+            present = c if present is None else (present & c)
+        pat = whole_word_pattern([re.escape(p).replace("\\ ", " ")])
+        total = total + F.when(present & text.rlike(pat), 1).otherwise(0)
     return total
 
 
