@@ -75,3 +75,20 @@ def test_source_selector():
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_encoder_factory_and_failure_isolation(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from siftwise.operators.classify import encode, encoder_udf, hashing_encoder
+
+    def factory():
+        return lambda texts: hashing_encoder(texts, dim=8)
+
+    df = spark.createDataFrame([("ab cd ef",), ("!!!",), ("gh ij",)], "text string")
+    out = encode(df, encoder=encoder_udf(factory=factory, name="dim8")).orderBy("text").collect()
+    by_text = {r["text"]: r for r in out}
+    assert by_text["!!!"]["embedding"] is None and "no tokens" in by_text["!!!"]["error"]
+    assert len(by_text["ab cd ef"]["embedding"]) == 8 and by_text["ab cd ef"]["error"] is None
+    assert abs(np.linalg.norm(by_text["gh ij"]["embedding"]) - 1.0) < 1e-5
