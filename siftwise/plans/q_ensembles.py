@@ -83,10 +83,7 @@ def _ensemble_board(spark, sf_dir):
     masks = E.vote_masks(preds, ranked, positive=F.col("pred") == 1, keep=("gold",))
     ens = M.with_scores(E.ensemble_confusion(masks, defs))
     single = M.with_scores(M.confusion_counts(preds, eval_ids)).withColumn("members", F.lit(1).cast("long"))
-    both = single.unionByName(ens)
-    return (M.leaderboard(both).join(both.select("model", "members"), "model")
-            .select("model", "members", "accuracy", "precision_1", "recall_1", "f1_1", "kappa",
-                    "tn", "fp", "fn", "tp"))
+    return M.leaderboard(single.unionByName(ens), keep=("members",))
 
 
 @query("ensemble_leaderboard", S.with_ctes(S.VOTES_CTE, S.GOLD_EVAL_CTE, ENSEMBLE_CTE, ENS_EVAL_CTE)
