@@ -52,6 +52,15 @@ def word_count(col) -> Column:
     return F.size(F.filter(F.split(folded, _ASCII_WS_RUN), lambda w: w != F.lit("")))
 
 
+def word_count_at_least(col, n: int) -> Column:
+    """``word_count(col) >= n`` without splitting the whole text: a split limited
+    to n + 2 pieces holds at least n non-empty pieces exactly when the text has at
+    least n words (the last piece is the unsplit remainder)."""
+    folded = F.translate(_c(col), UNICODE_WS, " " * len(UNICODE_WS))
+    pieces = F.split(folded, _ASCII_WS_RUN, n + 2)
+    return F.size(F.filter(pieces, lambda w: w != F.lit(""))) >= n
+
+
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
     return F.regexp_replace(_c(col), f"^{WS_CLASS}+|{WS_CLASS}+$", "")

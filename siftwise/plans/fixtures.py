@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
+from ..functions.text import word_count_at_least
 from ..sources.tables import table
 
 
@@ -45,7 +45,7 @@ def rule_votes(spark: SparkSession, sf_dir: str, with_text: bool = True) -> Data
         vote("a/flip5", 2, _flip(doc, q, 5), F.substring(text, 1, 2040), 1, F.lit(True)),
         vote("b/long", 3, F.when(F.col("n_chars") >= 1500, F.lit(" 1")).otherwise(F.lit(" 0")),
              text, 1, F.lit(True)),
-        vote("b/words", 4, F.when(word_count(F.col("text")) >= 100, F.lit("1")).otherwise(F.lit("0")),
+        vote("b/words", 4, F.when(word_count_at_least(F.col("text"), 100), F.lit("1")).otherwise(F.lit("0")),
              text, 1, doc % 11 != 0),
         vote("c/flip3", 5, F.when(doc % 17 == 0, F.lit(None).cast("string")).otherwise(_flip(doc, q, 3)),
              text, 1, F.lit(True)),

@@ -90,3 +90,10 @@ def test_word_prefix_keeps_original_characters(spark):
     text = "  a\u00a0b c\u2003d"
     assert one(spark, text, word_prefix("t", F.lit(2))) == "a\u00a0b "
     assert one(spark, text, word_prefix("t", F.lit(10))) == "a\u00a0b c\u2003d"
+
+
+def test_word_count_at_least_is_exact(spark):
+    cases = ["", "   ", "w", " w ", " ".join(["w"] * 99), " ".join(["w"] * 100), "\n" + " ".join(["w"] * 100) + "  ",
+             " ".join(["w"] * 101), " ".join(["w"] * 100)]
+    for c in cases:
+        assert one(spark, c, X.word_count_at_least("t", 100)) == (len(c.split()) >= 100), repr(c[:20])
