@@ -9,21 +9,21 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from ..config import EVAL_MIN_DF, QUERY_BATCH_FORUM, SEED_SIZE
-from ..operators import tfidf as T
 from ..functions import text as X
 from ..functions.normalise import normalise_unicode
 from ..operators import classify as C
 from ..operators import models as ML
 from ..operators import naive_bayes as NB
 from ..operators import sampling as Q
+from ..operators import tfidf as T
+from ..operators import votes as V
 from ..sources.tables import table
+from .cache import memo
 from .q_labels import UNANIMOUS_MODELS
 from .q_models import NB_ALPHA, holdout_column, pool_features
 from .q_text import clean_articles
 from .q_votes import fixture_first_votes
-from .cache import memo
 from .registry import query
-from ..operators import votes as V
 
 LEARNING_CURVE_SIZES = [100, 200, 300]
 
@@ -84,38 +84,27 @@ def tfidf_split(spark, sf_dir):
 
 
 def llm_text_split(spark, sf_dir):
-    """Unanimous annotator labels (gold excluded) for training; gold for test."""
-    agreed = V.unanimous(fixture_first_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS)),
-                         UNANIMOUS_MODELS)
-    gold = table(spark, sf_dir, "labels", "doc_id", "quality").select(
-        F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
-        .where(X.has_text("text"))
-    # encoded once and checkpointed: every CV fit re-reads features, not the UDF
-    train = C.to_features(C.encode(agreed.join(gold.select("id"), "id", "left_anti").join(docs, "id"))
-                          .where(F.col("error").isNull()).drop("text")).checkpoint()
-    test = C.to_features(C.encode(gold.join(docs, "id")).where(F.col("error").isNull()).drop("text")).checkpoint()
-    return ML.fold_column(train).checkpoint(), test
-
-
-_CV_CACHE: dict = {}
+    """Hashed-text branch of the L8 sets: encoded once and checkpointed, so every
+    CV fit re-reads features instead of re-running the encoder."""
+    train, test = llm_label_sets(spark, sf_dir)
+    tr = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text")).checkpoint()
+    te = C.to_features(C.encode(test).where(F.col("error").isNull()).drop("text")).checkpoint()
+    return ML.fold_column(tr).checkpoint(), te
 
 
 def cv_table(spark, sf_dir):
-    """Both branches; the result is checkpointed and reused within one application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _CV_CACHE:
-        return _CV_CACHE[key]
-    tr, te = embedding_split(spark, sf_dir)
-    a = ML.evaluate_branch(tr, te, "embeddings", "gold")
-    tr2, te2 = llm_text_split(spark, sf_dir)
-    b = ML.evaluate_branch(tr2, te2, "hashed-text", "annotators",
-                           names=["Logistic Regression", "SVM (Linear)"])
-    tr3, te3 = tfidf_split(spark, sf_dir)
-    c = ML.evaluate_branch(tr3, te3, "tfidf", "annotators",
-                           names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
-    _CV_CACHE[key] = a.unionByName(b).unionByName(c).checkpoint()
-    return _CV_CACHE[key]
+    """Three feature branches; the result is checkpointed and reused within one application."""
+    def build():
+        tr, te = embedding_split(spark, sf_dir)
+        a = ML.evaluate_branch(tr, te, "embeddings", "gold")
+        tr2, te2 = llm_text_split(spark, sf_dir)
+        b = ML.evaluate_branch(tr2, te2, "hashed-text", "annotators",
+                               names=["Logistic Regression", "SVM (Linear)"])
+        tr3, te3 = tfidf_split(spark, sf_dir)
+        c = ML.evaluate_branch(tr3, te3, "tfidf", "annotators",
+                               names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
+        return a.unionByName(b).unionByName(c).checkpoint()
+    return memo(spark, ("cv", sf_dir), build)
 
 
 @query("cv_results")
