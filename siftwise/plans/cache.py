@@ -13,8 +13,12 @@ from pyspark import StorageLevel
 _MEMO: dict = {}
 
 
+def _session_key(spark) -> tuple:
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def memo(spark, key: tuple, build):
-    k = (spark.sparkContext.applicationId,) + key
+    k = _session_key(spark) + key
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -26,8 +30,8 @@ def persisted(df):
 
 def clear(spark=None) -> None:
     """Unpersist and forget the memoized intermediates (of one application, or all)."""
-    app = spark.sparkContext.applicationId if spark is not None else None
-    for k in [k for k in _MEMO if app is None or k[0] == app]:
+    sk = _session_key(spark) if spark is not None else None
+    for k in [k for k in _MEMO if sk is None or k[:2] == sk]:
         v = _MEMO.pop(k)
         for df in (v if isinstance(v, tuple) else (v,)):
             if hasattr(df, "unpersist"):
