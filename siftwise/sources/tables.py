@@ -6,6 +6,9 @@ filters written on top are pushed into the Parquet reader by Catalyst.
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +18,35 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+# Text tables whose per-row work (regexes, tokenizing) dominates their cost.
+TEXT_TABLES = {"documents", "pages"}
+SMALL_INPUT_BYTES = 512 * 1024 * 1024
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread a small local input over all cores.
+
+    A table stored as a few files with one row group each is read by one task per
+    row group, so text work on it would use one core.  When the input is local,
+    smaller than ``SMALL_INPUT_BYTES`` and has fewer files than the default
+    parallelism, rows are dealt round-robin to that many partitions (a cheap
+    shuffle at that size).  Large or remote inputs keep their own splits: there
+    the files already give every core work and a shuffle would only cost.
+    """
+    files = df.inputFiles()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if not files or len(files) >= par or not all(f.startswith("file:") for f in files):
+        return df
+    size = sum(os.path.getsize(urlparse(f).path) for f in files)
+    return df.repartition(par) if size <= SMALL_INPUT_BYTES else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread: bool = True) -> DataFrame:
+    """Read a table with only ``columns``; small local text tables are spread over
+    all cores unless the caller shuffles them by a key right away (``spread=False``)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread_small_input(df) if spread and name in TEXT_TABLES else df
 
 
 # Item schema of the JSON feeds (id, text); extra columns are ignored.
