@@ -3,8 +3,9 @@
 Positional selection ("the first k rows in feed order") is exact and
 distributed: the frame is range-partitioned and sorted, each row's position
 is its offset inside its sorted partition plus the sizes of the partitions
-before it.  Only one row per partition reaches the driver-free offset table,
-so no task ever holds more than one partition, whatever k is.
+before it.  The offset table has one row per partition (it is broadcast), so
+no task ever holds more than one partition's rows, whatever k is, and nothing
+passes through the driver.
 """
 
 from __future__ import annotations
