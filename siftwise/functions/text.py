@@ -52,15 +52,26 @@ def word_count(col) -> Column:
     return F.size(F.filter(F.split(folded, _ASCII_WS_RUN), lambda w: w != F.lit("")))
 
 
-def word_count_at_least(col, n: int) -> Column:
-    """``word_count(col) >= n`` without splitting the whole text: a split limited
-    to n + 2 pieces holds at least n non-empty pieces exactly when the text has at
-    least n words (the last piece is the unsplit remainder)."""
-    folded = F.translate(_c(col), UNICODE_WS, " " * len(UNICODE_WS))
-    pieces = F.split(folded, _ASCII_WS_RUN, n + 2)
+def _split_at_least(c: Column, n: int) -> Column:
+    pieces = F.split(c, f"{WS_CLASS}+", n + 2)    # stops after n + 1 splits
     return F.size(F.filter(pieces, lambda w: w != F.lit(""))) >= n
 
 
+def word_count_at_least(col, n: int, prefix_chars: int = 4000) -> Column:
+    """``word_count(col) >= n`` without scanning whole texts.
+
+    A split limited to n + 2 pieces holds at least n non-empty pieces exactly
+    when the text has at least n words (the last piece is the unsplit rest).
+    It is tried on the first ``prefix_chars`` characters first: a word cut at the
+    prefix end still counts once, so n words in the prefix imply n in the text;
+    only texts that are longer and fall short in the prefix are split in full.
+    """
+    c = _c(col)
+    return (F.when(_split_at_least(F.substring(c, 1, prefix_chars), n), F.lit(True))
+            .when(F.length(c) > prefix_chars, _split_at_least(c, n))
+            .otherwise(F.lit(False)))
+
+
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
     return F.regexp_replace(_c(col), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
