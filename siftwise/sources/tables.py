@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cache import memo, persisted
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -21,32 +23,39 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # Text tables whose per-row work (regexes, tokenizing) dominates their cost.
 TEXT_TABLES = {"documents", "pages"}
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
+SMALL_TABLE_CACHE_CONF = "spark.siftwise.cacheSmallTextTables"   # "false" turns the small-input copy off
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a small local input over all cores.
+    """Spread a small local input over all cores and keep it in memory.
 
     A table stored as a few files with one row group each is read by one task per
-    row group, so text work on it would use one core.  When the input is local,
-    smaller than ``SMALL_INPUT_BYTES`` and has fewer files than the default
-    parallelism, rows are dealt round-robin to that many partitions (a cheap
-    shuffle at that size).  Large or remote inputs keep their own splits: there
-    the files already give every core work and a shuffle would only cost.
+    row group, so text work on it would use one core (filters are pushed below a
+    plain repartition, so only a cached copy really spreads them).  When the input
+    is local, smaller than ``SMALL_INPUT_BYTES`` and has fewer files than the
+    default parallelism, rows are dealt round-robin to that many partitions and
+    persisted.  Large or remote inputs are returned as they are: their files
+    already give every core work, and caching them would not be bounded.
     """
+    if df.sparkSession.conf.get(SMALL_TABLE_CACHE_CONF, "true").lower() != "true":
+        return df
     files = df.inputFiles()
     par = df.sparkSession.sparkContext.defaultParallelism
     if not files or len(files) >= par or not all(f.startswith("file:") for f in files):
         return df
     size = sum(os.path.getsize(urlparse(f).path) for f in files)
-    return df.repartition(par) if size <= SMALL_INPUT_BYTES else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread: bool = True) -> DataFrame:
-    """Read a table with only ``columns``; small local text tables are spread over
-    all cores unless the caller shuffles them by a key right away (``spread=False``)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    return spread_small_input(df) if spread and name in TEXT_TABLES else df
+    return persisted(df.repartition(par)) if size <= SMALL_INPUT_BYTES else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Read a table with only ``columns`` (pruned at the scan, or at the in-memory
+    copy for small local text tables)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if name in TEXT_TABLES:
+        df = memo(spark, ("table", path), lambda: spread_small_input(spark.read.parquet(path)))
+    else:
+        df = spark.read.parquet(path)
+    return df.select(*columns) if columns else df
 
 
 # Item schema of the JSON feeds (id, text); extra columns are ignored.

@@ -19,7 +19,17 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_tfidf_plan_shape(spark):
+@pytest.fixture
+def scale_path(spark):
+    """Plans as on large or remote inputs: no in-memory copy of small text tables."""
+    spark.conf.set("spark.siftwise.cacheSmallTextTables", "false")
+    clear(spark)
+    yield
+    spark.conf.set("spark.siftwise.cacheSmallTextTables", "true")
+    clear(spark)
+
+
+def test_tfidf_plan_shape(spark, scale_path):
     df = QUERIES["tfidf_pool"](spark, SF_SMALL)
     df.count()
     p = df._jdf.queryExecution().explainString(
@@ -29,7 +39,7 @@ def test_tfidf_plan_shape(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in p   # pruned scan
 
 
-def test_votes_scan_is_pruned(spark):
+def test_votes_scan_is_pruned(spark, scale_path):
     df = QUERIES["leaderboard"](spark, SF_SMALL)
     p = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
