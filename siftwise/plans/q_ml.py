@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -94,15 +95,24 @@ def llm_text_split(spark, sf_dir):
 
 def cv_table(spark, sf_dir):
     """Three feature branches; the result is checkpointed and reused within one application."""
-    def build():
+    def embeddings():
         tr, te = embedding_split(spark, sf_dir)
-        a = ML.evaluate_branch(tr, te, "embeddings", "gold")
-        tr2, te2 = llm_text_split(spark, sf_dir)
-        b = ML.evaluate_branch(tr2, te2, "hashed-text", "annotators",
-                               names=["Logistic Regression", "SVM (Linear)"])
-        tr3, te3 = tfidf_split(spark, sf_dir)
-        c = ML.evaluate_branch(tr3, te3, "tfidf", "annotators",
-                               names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
+        return ML.evaluate_branch(tr, te, "embeddings", "gold")
+
+    def hashed():
+        tr, te = llm_text_split(spark, sf_dir)
+        return ML.evaluate_branch(tr, te, "hashed-text", "annotators",
+                                  names=["Logistic Regression", "SVM (Linear)"])
+
+    def tfidf():
+        tr, te = tfidf_split(spark, sf_dir)
+        return ML.evaluate_branch(tr, te, "tfidf", "annotators",
+                                  names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
+
+    def build():
+        # the branches are independent Spark jobs: submit them concurrently
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            a, b, c = [f.result() for f in [pool.submit(fn) for fn in (embeddings, hashed, tfidf)]]
         return a.unionByName(b).unionByName(c).checkpoint()
     return memo(spark, ("cv", sf_dir), build)
 
