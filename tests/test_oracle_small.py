@@ -33,11 +33,25 @@ def duck():
     return con
 
 
+def _spark_type(t) -> str:
+    name = t.simpleString()
+    simple = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "float": "FLOAT"}
+    if name.startswith("array<"):
+        return _spark_type(t.elementType) + "[]"
+    return simple.get(name, name.upper())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    s = QUERIES[name](spark, SF_SMALL).toPandas()
-    d = duck.execute(ORACLE[name]).df()
+    sdf = QUERIES[name](spark, SF_SMALL)
+    s_types = {f.name: _spark_type(f.dataType) for f in sdf.schema.fields}
+    s = sdf.toPandas()
+    res = duck.execute(ORACLE[name])
+    d_types = {c[0]: str(c[1]).upper() for c in res.description}
+    d = res.df()
     assert sorted(s.columns) == sorted(d.columns)
+    assert s_types == d_types
     cols = sorted(s.columns)
     rows = lambda df: sorted((tuple(_norm(x) for x in r) for r in df[cols].itertuples(index=False)), key=repr)
     assert len(s) == len(d)
