@@ -8,7 +8,7 @@ processed files.  ``trigger(availableNow=True)`` drains what is there and stops.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,17 @@ def classify_stream(spark: SparkSession, source_dir: str, model, out_dir: str, c
               .where(has_text("text")).select(F.col("doc_id").alias("id"), "text"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        routed = C.classify(model, C.encode(batch))
+        # K8: per-batch totals observed while the batch is written (no second pass)
+        obs = Observation(f"routes_{epoch}")
+        routed = C.classify(model, C.encode(batch)).observe(
+            obs, F.count(F.lit(1)).alias("processed"),
+            F.sum(F.when(F.col("route") == "relevant", 1).otherwise(0)).alias("relevant"),
+            F.sum(F.when(F.col("route") == "quarantine", 1).otherwise(0)).alias("quarantine"))
         routed.select("id", "route").write.mode("append").partitionBy("route").parquet(out_dir)
+        m = obs.get
+        spark.createDataFrame([(epoch, m.get("processed", 0), m.get("relevant") or 0, m.get("quarantine") or 0)],
+                              "batch long, processed long, relevant long, quarantine long") \
+            .write.mode("append").parquet(f"{out_dir}_progress")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

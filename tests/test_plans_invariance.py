@@ -69,6 +69,16 @@ def test_stream_equals_batch(spark):
     assert {r[1] for r in batch} <= {"relevant", "irrelevant", "quarantine"}
 
 
+def test_stream_progress_counters(spark):
+    from siftwise.plans.q_ml import scratch_dir, trained_text_model
+    from siftwise.streaming.feeds import classify_stream
+    base = scratch_dir(spark, "progress-test")
+    classify_stream(spark, SF_SMALL, trained_text_model(spark, SF_SMALL), f"{base}/out", f"{base}/ckpt",
+                    file_glob="documents.parquet")
+    prog = spark.read.parquet(f"{base}/out_progress").collect()
+    assert sum(r["processed"] for r in prog) == spark.read.parquet(f"{base}/out").count()
+
+
 def test_routes_cover_input(spark):
     got = {r["route"]: r["n"] for r in QUERIES["bulk_classify_quarantine"](spark, SF_SMALL).collect()}
     n_docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
