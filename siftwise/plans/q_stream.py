@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import votes as V
 from ..streaming.feeds import classify_stream, verdict_stream
+from . import sql as S
 from .fixtures import rule_votes
 from .q_ml import scratch_dir, trained_text_model
 from .registry import query
@@ -18,7 +19,7 @@ def stream_classify(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("id", "route")
 
 
-@query("stream_votes")
+@query("stream_votes", S.with_ctes(S.VOTES_CTE) + "SELECT id, model, label, vote FROM fv")
 def stream_votes(spark, sf_dir):
     """Verdict files ingested as a stream into the votes table; the first-vote
     rule is applied on read (merge on read)."""
