@@ -25,7 +25,12 @@ def memo(spark, key: tuple, build):
 
 
 def persisted(df):
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Persist and materialize now: several branches of a later plan (broadcast
+    builds, scalar subqueries) may read the frame at the same time, and a lazily
+    persisted frame would be computed by each of them before the cache is filled."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
 
 
 def clear(spark=None) -> None:
