@@ -115,7 +115,9 @@ def vote_conflicts(spark, sf_dir):
     first = V.first_votes(votes, keep_label=False).where(F.col("model_rank") <= 3)
     per_item = V.item_vote_counts(first)
     conflicts = V.conflict_items(per_item, 3, CONSENSUS_THRESHOLD)
-    return (conflicts.join(V.longest_text(votes), "id")
+    # only conflict items need a text: semi-join first, so no other text is aggregated
+    texts = V.longest_text(votes.join(conflicts.select("id"), "id", "left_semi"))
+    return (conflicts.join(texts, "id")
             .select("id", "n_pos", F.substring("text", 1, 80).alias("preview")))
 
 
