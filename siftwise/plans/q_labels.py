@@ -256,7 +256,10 @@ def human_train(spark, sf_dir):
     lab = table(spark, sf_dir, "labels", "doc_id", "quality")
     al = lab.where(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     gold = lab.where(F.col("doc_id") % 3 != 1).select(F.col("doc_id").alias("id"))
-    texts = L.last_per_id(items(spark, sf_dir), ["source_rank", "seq"], ["text"])
-    return (al.join(gold, "id", "left_anti").join(texts, "id", "left")
+    train = al.join(gold, "id", "left_anti")
+    # dict-style lookup (last row wins) over the labelled ids only, not the whole corpus
+    texts = L.last_per_id(items(spark, sf_dir).join(train.select("id"), "id", "left_semi"),
+                          ["source_rank", "seq"], ["text"])
+    return (train.join(texts, "id", "left")
             .where(F.col("text").isNotNull())
             .select("id", "label", F.length("text").cast("long").alias("n_chars")))
