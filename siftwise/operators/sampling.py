@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ def with_position(df: DataFrame, order_cols: list[str], partitions: int | None =
     and the range boundaries would otherwise be re-sampled.
     """
     n_parts = partitions or partitions_for(df)
-    sorted_df = (df.repartitionByRange(n_parts, *order_cols)
-                 .sortWithinPartitions(*order_cols)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mono", F.monotonically_increasing_id())
-                 .checkpoint())
+    ordered = (df.repartitionByRange(n_parts, *order_cols)
+               .sortWithinPartitions(*order_cols)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mono", F.monotonically_increasing_id())
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    sorted_df = ordered.checkpoint()      # written from the persisted copy, not recomputed
+    ordered.unpersist()
     sizes = sorted_df.groupBy("_pid").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
