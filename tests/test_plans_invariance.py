@@ -104,3 +104,17 @@ def test_verdict_stream_equals_batch_first_votes(spark):
     stream = rows(QUERIES["stream_votes"](spark, SF_SMALL))
     batch = rows(V.first_votes(rule_votes(spark, SF_SMALL)).select("id", "model", "label", "vote"))
     assert stream == batch
+
+
+def test_small_local_text_tables_are_spread(spark):
+    from siftwise.sources.tables import spread_small_input, table
+    clear(spark)
+    docs = table(spark, SF_SMALL, "documents", "doc_id", "text")
+    assert docs.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.siftwise.cacheSmallTextTables", "false")
+    try:
+        raw = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+        assert spread_small_input(raw) is raw           # switched off: the scan is returned as is
+    finally:
+        spark.conf.set("spark.siftwise.cacheSmallTextTables", "true")
+        clear(spark)
