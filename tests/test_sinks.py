@@ -92,3 +92,31 @@ def test_encoder_factory_and_failure_isolation(spark):
     assert by_text["!!!"]["embedding"] is None and "no tokens" in by_text["!!!"]["error"]
     assert len(by_text["ab cd ef"]["embedding"]) == 8 and by_text["ab cd ef"]["error"] is None
     assert abs(np.linalg.norm(by_text["gh ij"]["embedding"]) - 1.0) < 1e-5
+
+
+def test_readme_evaluation_flow(spark):
+    """The README usage snippet, run on verdict files written from the fixture votes."""
+    from pyspark.sql import functions as F
+
+    from siftwise.operators import metrics as M
+    from siftwise.operators import votes as V
+    from siftwise.operators.sinks import write_verdicts
+    from siftwise.plans.fixtures import rule_votes
+    from siftwise.sources.tables import read_verdicts_json
+
+    from .conftest import SF_SMALL
+    base = tempfile.mkdtemp(prefix="sw-flow-")
+    votes = rule_votes(spark, SF_SMALL).select(F.col("id").cast("string").alias("id"), "model", "label",
+                                               F.lit("").alias("reasoning"), "text", "seq")
+    write_verdicts(votes, f"{base}/runs")
+    verdicts = read_verdicts_json(spark, f"{base}/runs/*/*.json", extra="seq int")
+    first = V.first_votes(verdicts, keep_label=False)
+    n_models = verdicts.select(F.count_distinct("model")).first()[0]
+    tallies = V.consensus(V.item_vote_counts(first), n_models, threshold=3).first()
+    assert n_models == 6 and tallies["n_items"] == 200
+    gold = spark.read.parquet(f"{SF_SMALL}/labels.parquet").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("gold"))
+    preds, eval_ids = M.predictions_vs_gold(first, gold)
+    board = M.leaderboard(M.with_scores(M.confusion_counts(preds, eval_ids)))
+    K.write_leaderboard_csv(board, f"{base}/board")
+    assert spark.read.option("header", True).csv(f"{base}/board").count() == 6
