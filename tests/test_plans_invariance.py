@@ -118,3 +118,17 @@ def test_small_local_text_tables_are_spread(spark):
     finally:
         spark.conf.set("spark.siftwise.cacheSmallTextTables", "true")
         clear(spark)
+
+
+LAZY_QUERIES = sorted(set(QUERIES) - {"cv_results", "best_model", "learning_curve", "al_round", "stream_classify",
+                                      "stream_votes", "bulk_classify", "bulk_classify_quarantine",
+                                      "verdict_file_leaderboard"})
+
+
+def test_no_cross_joins_in_any_plan(spark):
+    bad = []
+    for name in LAZY_QUERIES:
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
