@@ -1,5 +1,16 @@
 """Training-data operators: quality, language, near duplicates, sharding, token counts,
 language-model scores, URL filters, mixing and packing.  Nothing else in the library imports this."""
 
-from . import mixing, quality, sharding, url_filter  # noqa: F401  (registration side effects)
+from . import (  # noqa: F401  (registration side effects)
+    embed_dup,
+    language,
+    lm,
+    mixing,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    url_filter,
+)
 from .registry import LLM_ORACLE, LLM_QUERIES  # noqa: F401

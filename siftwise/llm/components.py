@@ -34,3 +34,27 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         labels = new.select("id", "component")
         if not changed:
             return labels
+
+
+def bucket_links(bucket: DataFrame, keys: list[str], check) -> DataFrame:
+    """``bucket(id, *keys)``: ids and the buckets they lie in -> links (a, b) whose components
+    are those of all pairs within buckets that ``check`` accepts.
+
+    ``check(pairs(a, b))`` returns the accepted pairs.  A bucket's pairs are not all
+    looked at: first each id is checked against the smallest id of its buckets; then, in
+    buckets that hold several components so far, the ids outside the smallest id's
+    component against all ids of other components.  A pair that shares a bucket is thus
+    checked or already in one component."""
+    shared = bucket.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
+    members = saved(bucket.join(shared, keys).select(*keys, "id", "lead"))
+    star = saved(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    links = check(star)
+    comp = components(links)
+    lead_comp = comp.select(F.col("id").alias("lead"), F.col("component").alias("lc"))
+    seen = saved(members.join(comp, "id", "left").join(lead_comp, "lead", "left")
+                 .select(*keys, "id", F.coalesce("component", "id").alias("comp"), F.coalesce("lc", "lead").alias("lc")))
+    odd = seen.where("comp <> lc").select(*keys, F.col("id").alias("x"), F.col("comp").alias("cx"))
+    other = (odd.join(seen.select(*keys, F.col("id").alias("y"), F.col("comp").alias("cy")), keys)
+             .where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+             .join(star, ["a", "b"], "left_anti"))
+    return links.union(check(other))

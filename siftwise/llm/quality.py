@@ -115,7 +115,10 @@ def quality(docs: DataFrame, text: str = "text", rules=RULES, keep: list[Column]
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns unchanged."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return quality(docs, text, rules, keep=[row]).where("kept").select("_row.*")
+    judged = quality(docs, text, rules, keep=[row])
+    # row numbers are never negative; as they are not deterministic for the optimizer, the
+    # filter stays above the projection, else the measures would be inlined into each other
+    return judged.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept")).where("_kept").select("_row.*")
 
 
 @query("op1_quality")
