@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NON_WORD_CLASS, WORD, tokens as _tokens, word_runs
+from .text import NON_WORD_CLASS, WORD, tokens as _tokens
 
 FLAGS = {"spark": "(?iud)", "duckdb": "(?i)"}
 NOT_WORD_NOR_NL = f"[^{WORD}\\n]"
@@ -87,19 +87,14 @@ def distinct_hits(text_col, keywords_col: Column | None = None, keywords=None) -
 
 
 def highlight(text_col, keywords, open_mark: str = "**", close_mark: str = "**") -> Column:
-    """Wrap every whole-word keyword occurrence (case-insensitive) in markers.
+    """Wrap every whole-word keyword or phrase occurrence (case-insensitive) in markers.
 
-    Works on alternating word/separator runs so adjacent matches never compete
-    for a shared boundary character.
-    """
-    kw = F.array(*[F.lit(k.lower()) for k in keywords])
-    runs = word_runs(text_col)
-    marked = F.transform(
-        runs,
-        lambda r: F.when(F.array_contains(kw, F.lower(r)),
-                         F.concat(F.lit(open_mark), r, F.lit(close_mark))).otherwise(r),
-    )
-    return F.array_join(marked, "")
+    One replacement over the screen's own boundary rule, by lookaround, so adjacent
+    matches never compete for a boundary character; longer entries go first."""
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    words = "|".join(re.escape(k).replace("\\ ", " ") for k in sorted(keywords, key=len, reverse=True))
+    pattern = f"(?iu)(?<![{WORD}])(?:{words})(?![{WORD}])"
+    return F.regexp_replace(text, F.lit(pattern), F.lit(f"{open_mark}$0{close_mark}"))
 
 
 def _plain(word: str) -> bool:

@@ -45,6 +45,8 @@ def few_shot_block(examples: DataFrame, n: int = 5, id_col: str = "item_id",
 def build_messages(system_col, shots: Column, text_col) -> Column:
     """X11: system message + few-shot turns + the target text as last user turn."""
     sys_c = F.col(system_col) if isinstance(system_col, str) else system_col
+    # a language without a prompt is an error, not a row that goes missing
+    sys_c = F.coalesce(sys_c, F.raise_error(F.lit("no system prompt for the item's language")))
     txt = F.col(text_col) if isinstance(text_col, str) else text_col
     return F.concat(F.array(message("system", sys_c)), shots, F.array(message("user", txt)))
 

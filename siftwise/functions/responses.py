@@ -1,6 +1,9 @@
 """Model response parsing and contract checks.
 
-A response is valid when, after stripping, it is a JSON object.  For valid
+A response is valid when, after stripping, it is one JSON object and nothing else.
+Spark's JSON parser stops at the end of the first value, so the text is parsed
+twice inside a wrapper (as a member, and as the one element of a list): text after
+the object breaks at least one of them.  Of repeated keys the last counts.  For valid
 objects: a missing ``label`` means 0, a missing ``reasoning`` means "", an
 explicit JSON null stays NULL.  Anything else (broken JSON, arrays, scalars)
 gives label 0 and reasoning "JSON parsing error".
@@ -15,18 +18,23 @@ from ..config import RESPONSE_MAX_REASONING_WORDS, RESPONSE_PARSE_ERROR
 from .text import strip_ws, word_count
 
 KNOWN_KEYS = ["reasoning", "label"]
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "bad"}
 
 
 def parse_response(raw_col) -> Column:
     """Struct ``(valid_json, label STRING, reasoning STRING, label_kind, keys)``."""
     raw = strip_ws(F.col(raw_col) if isinstance(raw_col, str) else raw_col)
-    keys = F.json_object_keys(raw)
-    valid = keys.isNotNull()
+    fields = "struct<label: variant, reasoning: string>"
+    member = F.from_json(F.concat(F.lit('{"x":'), raw, F.lit("}")), f"x {fields}, bad string", STRICT)
+    element = F.from_json(F.concat(F.lit('{"x":['), raw, F.lit("]}")), f"x array<{fields}>, bad string", STRICT)
+    valid = F.coalesce(raw.startswith("{") & member["bad"].isNull() & element["bad"].isNull()
+                       & (F.size(element["x"]) == 1), F.lit(False))
+    keys = F.when(valid, F.array_distinct(F.json_object_keys(raw)))
     has_label = F.array_contains(keys, "label")
     has_reason = F.array_contains(keys, "reasoning")
-    label_txt = F.get_json_object(raw, "$.label")
-    reason_txt = F.get_json_object(raw, "$.reasoning")
-    vtype = F.schema_of_variant(F.variant_get(F.try_parse_json(raw), "$.label", "variant"))
+    label_txt = member["x"]["label"].cast("string")
+    reason_txt = member["x"]["reasoning"]
+    vtype = F.schema_of_variant(member["x"]["label"])
     kind = (F.when(~valid, F.lit("invalid"))
             .when(~has_label, F.lit("missing"))
             .when(vtype.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("integer"))

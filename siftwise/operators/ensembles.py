@@ -59,6 +59,8 @@ def vote_masks(first: DataFrame, ranked: list[str], positive: Column | None = No
 
     ``positive`` marks a vote for class 1 (default ``vote = 1``); ``keep`` carries
     per-id columns (e.g. the gold label) through the aggregation."""
+    if "voted" in first.columns:            # rows without any label are no votes
+        first = first.where("voted")
     bit = model_bits(ranked)[F.col("model")]
     pos = positive if positive is not None else (F.col("vote") == 1)
     return (first.where(F.col("model").isin(ranked))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RANDOM_SEED
-from ..session import partitions_for
 
 
 def seeded_key(id_col, seed: int = RANDOM_SEED) -> Column:
@@ -33,8 +32,9 @@ def with_position(df: DataFrame, order_cols: list[str], partitions: int | None =
     ``spark.checkpoint.dir``) so positions stay fixed if an executor is lost
     and the range boundaries would otherwise be re-sampled.
     """
-    n_parts = partitions or partitions_for(df)
-    ordered = (df.repartitionByRange(n_parts, *order_cols)
+    # without a count, adaptive execution sizes the partitions from the shuffled bytes
+    dealt = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    ordered = (dealt
                .sortWithinPartitions(*order_cols)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mono", F.monotonically_increasing_id())

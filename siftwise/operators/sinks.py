@@ -6,6 +6,7 @@ import hashlib
 import json
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def cached_features(spark: SparkSession, base: str, config: dict, build) -> Data
     path = f"{base.rstrip('/')}/features-{config_key(config)}"
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (missing cache folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":      # a broken or unreadable cache is not rebuilt over
+            raise
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

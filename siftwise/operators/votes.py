@@ -33,24 +33,39 @@ def numeric_label(col) -> Column:
     return F.coalesce(v.try_cast("int"), F.lit(-1))
 
 
-def first_votes(votes: DataFrame, order_col: str = "seq", keep_label: bool = True) -> DataFrame:
-    """A1: the first non-null vote per (id, model); duplicates resolved by ``order_col``.
+def first_votes(votes: DataFrame, order_col: str | None = None, keep_label: bool = True,
+                keep_null: bool = False) -> DataFrame:
+    """A1: the first non-null vote per (id, model); duplicates resolved by ``order_col``
+    (default: ``seq`` if there is one, else the reader's ``file_order``).
 
     Output ``(id, model, model_rank, label STRING, vote INT)`` where ``label`` is
     the stripped raw label and ``vote`` its canonical 0/1 value.  With
     ``keep_label=False`` only integers are aggregated (``vote`` and ``pred``, the
     X16 coercion), which plans as a hash aggregate instead of a sort aggregate.
+
+    A NULL order comes last but never drops a vote.  ``keep_null`` also returns each
+    (id, model) that has NULL labels only (vote NULL, prediction -1, ``voted`` false), so
+    that such items stay in item counts and evaluation totals.
     """
+    if order_col is None:
+        order_col = "seq" if "seq" in votes.columns else "file_order"
     keep = [c for c in ("model_rank",) if c in votes.columns]
     lab = strip_ws(F.col("label").cast("string"))
     order = F.col(order_col)
+    whole = votes.schema[order_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    order = (F.coalesce(order.cast("long"), F.lit((1 << 63) - 1)) if whole
+             else F.struct(order.isNull().alias("last"), order.alias("at")))
+    order = F.when(F.col("label").isNotNull(), order)          # min_by skips rows without an order
     if keep_label:
         agg = [F.min_by(lab, order).alias("label")]
     else:
         agg = [F.min_by(canonical_label(lab), order).alias("vote"),
-               F.min_by(numeric_label(lab), order).alias("pred")]
+               F.coalesce(F.min_by(numeric_label(lab), order), F.lit(-1)).alias("pred")]
     agg += [F.min(c).alias(c) for c in keep]
-    out = votes.where(F.col("label").isNotNull()).groupBy("id", "model").agg(*agg)
+    if keep_null:
+        agg.append((F.count("label") > 0).alias("voted"))
+    rows = votes if keep_null else votes.where(F.col("label").isNotNull())
+    out = rows.groupBy("id", "model").agg(*agg)
     return out.withColumn("vote", canonical_label("label")) if keep_label else out
 
 

@@ -56,7 +56,7 @@ def rule_votes(spark: SparkSession, sf_dir: str, with_text: bool = True) -> Data
             .select("id", "v.model", "v.model_rank", "v.label", "v.text", "v.seq"))
 
 
-# Raw model responses, one literal case per document, cycled by doc_id % 9.
+# Raw model responses, one literal case per document, cycled by doc_id.
 RESPONSE_CASES = [
     '{"reasoning":"x","label":1}',
     '{"reasoning":"x","label":0}',
@@ -67,6 +67,13 @@ RESPONSE_CASES = [
     'not json',
     '{"reasoning":"x","label":"1"}',
     '{"reasoning":"x","label":2}',
+    '{"reasoning":"x","label":1} trailing text',
+    '{"reasoning":"x","label":1}{"reasoning":"y","label":0}',
+    "{'reasoning':'x','label':1}",
+    '{"reasoning":"x","label":1,"confidence":0.9}',
+    '{"reasoning":"one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen","label":0}',
+    '{"reasoning":"x","label":null}',
+    '{"reasoning":"x","label":[1]}',
 ]
 
 
@@ -77,6 +84,6 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"),
         F.lit("stub/scorer").alias("model"),
-        F.element_at(cases, (F.col("doc_id") % 9 + 1).cast("int")).alias("raw_response"),
+        F.element_at(cases, (F.col("doc_id") % len(RESPONSE_CASES) + 1).cast("int")).alias("raw_response"),
         "text",
     )

@@ -8,7 +8,7 @@ from ..config import ENSEMBLE_MAX_MODELS, ENSEMBLE_MIN_COMBO, ENSEMBLE_TOP_K
 from ..operators import ensembles as E
 from ..operators import metrics as M
 from . import sql as S
-from .q_votes import fixture_first_votes, fixture_scored, gold_quality
+from .q_votes import fixture_first_votes, fixture_gold_votes, fixture_scored, gold_quality
 from .registry import query
 
 
@@ -77,7 +77,7 @@ FROM all_scored"""
 def _ensemble_board(spark, sf_dir):
     ranked = ranked_models(spark, sf_dir)
     defs = E.ensemble_definitions(ranked)
-    first = fixture_first_votes(spark, sf_dir)
+    first = fixture_gold_votes(spark, sf_dir)
     gold = gold_quality(spark, sf_dir)
     preds, eval_ids = M.predictions_vs_gold(first, gold)     # gold-sized, persisted
     masks = E.vote_masks(preds, ranked, positive=F.col("pred") == 1, keep=("gold",))

@@ -23,7 +23,7 @@ from .registry import query
 # ----------------------------------------------------------------- X13 X15 X16
 _CASES_SQL = "[" + ", ".join(S.q(c) for c in RESPONSE_CASES) + "]"
 RESPONSES_CTE = f"""responses AS (
-  SELECT doc_id AS id, 'stub/scorer' AS model, {S.strip(f'{_CASES_SQL}[CAST(doc_id % 9 AS INTEGER) + 1]')} AS raw
+  SELECT doc_id AS id, 'stub/scorer' AS model, {S.strip(f'{_CASES_SQL}[CAST(doc_id % {len(RESPONSE_CASES)} AS INTEGER) + 1]')} AS raw
   FROM documents),
 parsed AS (
   SELECT id, model, raw, coalesce(try(json_type(raw)) = 'OBJECT', false) AS valid_json,
@@ -114,7 +114,7 @@ def prompt_messages(spark, sf_dir):
     cfg = lang_config(spark)
     m = P.build_messages("system_prompt", shots, "text")
     rendered = P.render_chat(F.col("m"))
-    return (it.join(cfg, "lang").select("id", m.alias("m"))
+    return (it.join(cfg, "lang", "left").select("id", m.alias("m"))
             .select("id", F.size("m").cast("long").alias("n_messages"),
                     F.col("m")[0]["role"].alias("first_role"),
                     F.element_at("m", -1)["role"].alias("last_role"),
@@ -134,7 +134,7 @@ def scored_responses(spark, sf_dir):
     scorer (here a deterministic stub), then parsed like any model response."""
     it = items(spark, sf_dir)
     shots = P.few_shot_block(table(spark, sf_dir, "benchmark", "item_id", "text"))
-    prompts = (it.join(lang_config(spark), "lang")
+    prompts = (it.join(lang_config(spark), "lang", "left")
                .select("id", P.build_messages("system_prompt", shots, "text").alias("m"))
                .select("id", P.render_chat("m").alias("prompt")))
     scored = score_with(length_parity_scorer, prompts, "prompt")

@@ -137,7 +137,7 @@ def learning_curve(spark, sf_dir):
     ordered = Q.with_position(tr.drop("fold"), ["id"])          # label order, positions computed once
     rows = []
     for n in LEARNING_CURVE_SIZES:
-        part = ML.with_class_weights(ordered.where(F.col("pos") < n).drop("pos")).coalesce(1).cache()
+        part = ML.with_class_weights(ordered.where(F.col("pos") < n).drop("pos")).cache()
         k = part.count()
         lr = LogisticRegression(weightCol="weight", standardization=False, regParam=1.0 / max(k, 1), maxIter=100)
         s, rep = ML.test_scores(lr.fit(part).transform(te))
@@ -149,18 +149,13 @@ def learning_curve(spark, sf_dir):
 
 # ----------------------------------------------------------------- V3-V5 L10 K3 K8 J7
 def trained_text_model(spark, sf_dir):
-    """L10 training: encoded unanimous-label texts (gold excluded) -> weighted
-    logistic regression.  Trained once per application and shared by the batch
+    """L10 training: encoded unanimous-label texts (gold excluded) -> class-weighted
+    boosted trees.  Trained once per application and shared by the batch
     and streaming classification queries."""
     def build():
         train, _ = llm_label_sets(spark, sf_dir)
-        enc = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text"))
-        part = ML.with_class_weights(enc).cache()
-        n = part.count()
-        lr = LogisticRegression(weightCol="weight", standardization=False, regParam=1.0 / max(n, 1), maxIter=100)
-        model = lr.fit(part.coalesce(max(1, -(-n // ML.ROWS_PER_TRAIN_PARTITION))))
-        part.unpersist()
-        return model
+        enc = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text")).checkpoint()
+        return ML.boosted_trees().fit(ML.with_class_weights(enc))
     return memo(spark, ("text_model", sf_dir), build)
 
 
@@ -168,13 +163,16 @@ def routed_documents(spark, sf_dir, model=None):
     model = model or trained_text_model(spark, sf_dir)
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
         .where(X.has_text("text"))
-    return C.classify(model, C.encode(docs.select("id", "text"))).select("id", "route")
+    return C.classify(model, C.encode(docs.select("id", "text")))
 
 
 @query("bulk_classify")
 def bulk_classify(spark, sf_dir):
-    """Train on unanimous annotator labels, encode every document, route it."""
-    return routed_documents(spark, sf_dir)
+    """Train on unanimous annotator labels, encode every document once, route it;
+    (id, text) go to one folder per route in a single write."""
+    base = scratch_dir(spark, "routes")
+    C.write_routes(routed_documents(spark, sf_dir), base)
+    return spark.read.parquet(base).select("id", "route")
 
 
 @query("bulk_classify_quarantine")

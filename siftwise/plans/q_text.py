@@ -227,6 +227,16 @@ def lexicon_proximity(spark, sf_dir):
                     prox.alias("proximity_hit"), (word | prox).alias("screened"))
 
 
+def _sql_highlight_phrases(text: str, phrases: list[str]) -> str:
+    """Phrases marked in SQL without lookaround: every run of non-word characters is put
+    between two separators, so neighbouring matches have one each."""
+    sep = "chr(1)"
+    split = f"regexp_replace({text}, {S.q('(' + X.NON_WORD_CLASS + '+)')}, {sep} || '\\1' || {sep}, 'g')"
+    alt = "|".join(sep_words for sep_words in ("\x01 \x01".join(p.split()) for p in sorted(phrases, key=len, reverse=True)))
+    marked = f"regexp_replace({split}, {S.q(f'(?i)(^|\x01)({alt})(\x01|$)')}, '\\1**\\2**\\3', 'g')"
+    return f"replace({marked}, {sep}, '')"
+
+
 @query("highlight_preview", f"""
 SELECT doc_id AS id, {_sql_highlight(f'substr(text, 1, {PREVIEW_CHARS})', TEST_LEXICON_WORDS)} AS preview
 FROM documents""")
@@ -317,14 +327,11 @@ def topic_screen(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- F7 Q3 F12 Q5 X8 X9 X17 (newspaper queue)
-_QUEUE_WORDS = sorted({w for p in TEST_PHRASES for w in p.split()})
-
-
 @query("article_label_queue", S.with_ctes(ARTICLES_CTE) + f"""
 SELECT row_number() OVER (ORDER BY draw_key, article_id) AS ordinal, article_id, title_upper, preview FROM (
   SELECT article_id, md5('{RANDOM_SEED}:' || CAST(article_id AS VARCHAR)) AS draw_key,
          upper(replace(coalesce(title, ''), 'ß', 'ss')) AS title_upper,
-         {_sql_highlight(f'substr(plain_text, 1, {PREVIEW_CHARS})', _QUEUE_WORDS)} AS preview
+         {_sql_highlight_phrases(f'substr(plain_text, 1, {PREVIEW_CHARS})', TEST_PHRASES)} AS preview
   FROM articles
   WHERE (coalesce(regexp_matches(plain_text, {S.q(_PHRASE_DUCK)}), false)
          OR regexp_matches(coalesce(title, ''), {S.q(_PHRASE_DUCK)}))
@@ -336,11 +343,10 @@ def article_label_queue(spark, sf_dir):
     upper-cased title and a highlighted preview.  Ordinals on the 50-row batch."""
     a = articles_from_pages(spark, sf_dir)
     hit = K.phrase_match("plain_text", TEST_PHRASES) | K.phrase_match(F.coalesce("title", F.lit("")), TEST_PHRASES)
-    labelled = a.where(F.col("article_id") % 4 == 0).select("article_id")
-    batch = (a.where(hit).join(labelled, "article_id", "left_anti")
+    batch = (a.where(hit & (F.col("article_id") % 4 != 0))
              .withColumn("draw_key", Q.seeded_key("article_id"))
              .orderBy("draw_key", "article_id").limit(QUERY_BATCH_NEWSPAPER))
     w = Window.orderBy("draw_key", "article_id")   # over the 50-row batch only
     return batch.select(F.row_number().over(w).cast("long").alias("ordinal"), "article_id",
                         F.upper(F.coalesce("title", F.lit(""))).alias("title_upper"),
-                        K.highlight(X.clip("plain_text", PREVIEW_CHARS), _QUEUE_WORDS).alias("preview"))
+                        K.highlight(X.clip("plain_text", PREVIEW_CHARS), TEST_PHRASES).alias("preview"))

@@ -28,6 +28,12 @@ def fixture_first_votes(spark: SparkSession, sf_dir: str, keep_label: bool = Fal
     return memo(spark, ("first_votes", sf_dir, keep_label), build)
 
 
+def fixture_gold_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First votes of the rule annotators on gold ids: the gold semi-join comes first."""
+    votes = M.gold_votes(fixture_votes(spark, sf_dir), gold_quality(spark, sf_dir))
+    return V.first_votes(votes, keep_label=False, keep_null=True)
+
+
 def gold_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels", "doc_id", "quality").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("gold"))
@@ -65,7 +71,7 @@ ks AS (SELECT * FROM (VALUES {_RANK_SQL}) t(k)),
 nm AS (SELECT k, count(DISTINCT model) AS n_models FROM ks JOIN votes ON votes.model_rank <= ks.k GROUP BY k),
 per_item AS (
   SELECT k, id, count(*) FILTER (WHERE model_rank <= k AND vote = 1) AS n_pos
-  FROM ks JOIN fv ON fv.model_rank <= ks.k GROUP BY k, id
+  FROM ks JOIN ballots ON ballots.model_rank <= ks.k GROUP BY k, id
 )""") + f"""
 SELECT p.k, nm.n_models, {CONSENSUS_THRESHOLD} AS threshold, count(*) AS n_items,
   count(*) FILTER (WHERE n_pos >= {CONSENSUS_THRESHOLD}) AS relevant,
@@ -83,7 +89,7 @@ def vote_consensus(spark, sf_dir):
     that prefix (an item-less model run would not have produced them).
     """
     votes = fixture_votes(spark, sf_dir)
-    first = fixture_first_votes(spark, sf_dir)
+    first = V.first_votes(votes, keep_label=False, keep_null=True)
     ranks = S.FIXTURE_RANKS
     per_item = V.item_vote_counts(first, ranks)
     stacked = per_item.select("id", F.explode(F.array(*[
@@ -105,20 +111,38 @@ def vote_consensus(spark, sf_dir):
 @query("vote_conflicts", S.with_ctes(S.VOTES_CTE, """
 per_item AS (SELECT id, count(*) FILTER (WHERE model_rank <= 3 AND vote = 1) AS n_pos
              FROM fv WHERE model_rank <= 3 GROUP BY id)""") + f"""
-SELECT p.id, p.n_pos, substr(t.text, 1, 80) AS preview
+SELECT p.id, p.n_pos, t.text, l.labels
 FROM per_item p JOIN (SELECT id, max({{'l': length(text), 't': text}}).t AS text FROM votes GROUP BY id) t
   ON p.id = t.id
+JOIN (SELECT id, string_agg(model || '=' || coalesce(label, ''), ';' ORDER BY model) AS labels FROM first_votes GROUP BY id) l
+  ON p.id = l.id
 WHERE p.n_pos > 3 - {CONSENSUS_THRESHOLD} AND p.n_pos < {CONSENSUS_THRESHOLD}""")
 def vote_conflicts(spark, sf_dir):
-    """conflict items among the first three annotators, with a text preview."""
+    """conflict items among the first three annotators with their whole text and every
+    annotator's label (``model=label``, in model order)."""
     votes = rule_votes(spark, sf_dir)
-    first = V.first_votes(votes, keep_label=False).where(F.col("model_rank") <= 3)
-    per_item = V.item_vote_counts(first)
+    first = V.first_votes(fixture_votes(spark, sf_dir))
+    per_item = V.item_vote_counts(first.where(F.col("model_rank") <= 3))
     conflicts = V.conflict_items(per_item, 3, CONSENSUS_THRESHOLD)
     # only conflict items need a text: semi-join first, so no other text is aggregated
     texts = V.longest_text(votes.join(conflicts.select("id"), "id", "left_semi"))
-    return (conflicts.join(texts, "id")
-            .select("id", "n_pos", F.substring("text", 1, 80).alias("preview")))
+    # one short string per annotator of an item: bounded by the number of annotators
+    labels = (first.join(conflicts.select("id"), "id", "left_semi")
+              .groupBy("id").agg(F.array_sort(F.collect_list(F.concat("model", F.lit("="), F.coalesce("label", F.lit("")))))
+                                 .alias("l")))
+    return (conflicts.join(texts, "id").join(labels, "id")
+            .select("id", "n_pos", "text", F.array_join("l", ";").alias("labels")))
+
+
+@query("conflict_preview", S.with_ctes(S.VOTES_CTE, """
+per_item AS (SELECT id, count(*) FILTER (WHERE model_rank <= 3 AND vote = 1) AS n_pos
+             FROM fv WHERE model_rank <= 3 GROUP BY id)""") + f"""
+SELECT id, n_pos FROM per_item
+WHERE n_pos > 3 - {CONSENSUS_THRESHOLD} AND n_pos < {CONSENSUS_THRESHOLD} ORDER BY id LIMIT 5""")
+def conflict_preview(spark, sf_dir):
+    """R2: the first five conflict items."""
+    first = fixture_first_votes(spark, sf_dir).where(F.col("model_rank") <= 3)
+    return V.conflict_items(V.item_vote_counts(first), 3, CONSENSUS_THRESHOLD).select("id", "n_pos").orderBy("id").limit(5)
 
 
 # --------------------------------------------------------------------------- A6
@@ -127,14 +151,14 @@ _LO, _HI = NEWSPAPER_CONSENSUS_BOUNDS
 
 @query("consensus_fixed_bounds", S.with_ctes(S.VOTES_CTE, """
 per_item AS (SELECT id, count(*) FILTER (WHERE model_rank <= 5 AND vote = 1) AS n_pos
-             FROM fv WHERE model_rank <= 5 GROUP BY id)""") + f"""
+             FROM ballots WHERE model_rank <= 5 GROUP BY id)""") + f"""
 SELECT count(*) AS n_items,
   count(*) FILTER (WHERE n_pos > {_HI}) AS relevant,
   count(*) FILTER (WHERE n_pos < {_LO}) AS irrelevant,
   count(*) FILTER (WHERE n_pos >= {_LO} AND n_pos <= {_HI}) AS conflict
 FROM per_item""")
 def consensus_fixed_bounds(spark, sf_dir):
-    first = fixture_first_votes(spark, sf_dir).where(F.col("model_rank") <= 5)
+    first = V.first_votes(fixture_votes(spark, sf_dir), keep_label=False, keep_null=True).where(F.col("model_rank") <= 5)
     return V.consensus_bounds(V.item_vote_counts(first), _LO, _HI)
 
 
@@ -144,11 +168,11 @@ SELECT model, tn, fp, fn, tp, n, {S.r6('accuracy')} AS accuracy, {S.r6('precisio
   {S.r6('recall_1')} AS recall_1, {S.r6('f1_1')} AS f1_1, {S.r6('kappa')} AS kappa
 FROM scored""")
 def confusion_by_model(spark, sf_dir):
-    return M.confusion_by_model(fixture_first_votes(spark, sf_dir), gold_quality(spark, sf_dir))
+    return M.confusion_by_model(fixture_gold_votes(spark, sf_dir), gold_quality(spark, sf_dir))
 
 
 def fixture_scored(spark, sf_dir):
-    preds, eval_ids = M.predictions_vs_gold(fixture_first_votes(spark, sf_dir), gold_quality(spark, sf_dir))
+    preds, eval_ids = M.predictions_vs_gold(fixture_gold_votes(spark, sf_dir), gold_quality(spark, sf_dir))
     return M.with_scores(M.confusion_counts(preds, eval_ids))
 
 
@@ -183,7 +207,7 @@ def _class_rows_sql() -> str:
 
 @query("class_report", S.with_ctes(S.VOTES_CTE, S.GOLD_EVAL_CTE) + _class_rows_sql())
 def class_report(spark, sf_dir):
-    preds, eval_ids = M.predictions_vs_gold(fixture_first_votes(spark, sf_dir), gold_quality(spark, sf_dir))
+    preds, eval_ids = M.predictions_vs_gold(fixture_gold_votes(spark, sf_dir), gold_quality(spark, sf_dir))
     return M.class_report(M.confusion_counts(preds, eval_ids))
 
 
@@ -197,23 +221,32 @@ def model_ranking(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- K1 K2 S4 -> M6
-@query("verdict_file_leaderboard", S.with_ctes(S.VOTES_CTE, S.GOLD_EVAL_CTE) + f"""
+# every 29th item has rows without any label: no votes, but still evaluated
+_UNLABELLED = S.VOTES_CTE.replace("FROM votes WHERE label IS NOT NULL GROUP BY", "FROM votes WHERE label IS NOT NULL AND id % 29 <> 0 GROUP BY")
+
+
+@query("verdict_file_leaderboard", S.with_ctes(_UNLABELLED, S.GOLD_EVAL_CTE) + f"""
 SELECT model, {S.rhe('accuracy')} AS accuracy, {S.rhe('precision_1')} AS precision_1,
   {S.rhe('recall_1')} AS recall_1, {S.rhe('f1_1')} AS f1_1, {S.rhe('kappa')} AS kappa, tn, fp, fn, tp
 FROM scored""")
 def verdict_file_leaderboard(spark, sf_dir):
-    """The evaluation run from verdict files: every annotator run is written as
-    NDJSON (one folder per model slug, full text kept), read back with the fixed
-    verdict schema (labels as text), and evaluated against gold."""
+    """The evaluation run from verdict files with the five fields of the format only:
+    every annotator run is written as NDJSON (one folder per model slug), the repeated
+    votes as a second, later run; read back with the fixed schema, first votes by file
+    and position, evaluated against gold."""
     from ..operators.sinks import write_verdicts
     from ..sources.tables import read_verdicts_json
     from .q_ml import scratch_dir
     base = scratch_dir(spark, "verdicts")
     votes = rule_votes(spark, sf_dir).select(
-        F.col("id").cast("string").alias("id"), "model", "label", F.lit("").alias("reasoning"), "text", "seq")
-    write_verdicts(votes, base)
-    raw = read_verdicts_json(spark, f"{base}/*/*.json", extra="seq int")
-    first = (V.first_votes(raw.select("id", "model", "label", "seq"), keep_label=False)
-             .select(F.col("id").cast("long").alias("id"), "model", "vote", "pred"))
-    preds, eval_ids = M.predictions_vs_gold(first, gold_quality(spark, sf_dir))
+        F.col("id").cast("string").alias("id"), "model",
+        F.when(F.col("id") % 29 != 0, F.col("label")).alias("label"), F.lit("").alias("reasoning"), "text", "seq")
+    for run in (1, 2):
+        write_verdicts(votes.where(F.col("seq") == run).drop("seq"), f"{base}/run{run}")
+        # a run's files carry its name, as real runs carry their time in theirs
+    raw = read_verdicts_json(spark, f"{base}/run*/*/*.json")
+    raw = raw.withColumn("file_order", F.struct(F.regexp_extract("file_order.path", r"/run(\d+)/", 1).alias("run"), "file_order"))
+    gold = gold_quality(spark, sf_dir)
+    votes = M.gold_votes(raw.select(F.col("id").cast("long").alias("id"), "model", "label", "file_order"), gold)
+    preds, eval_ids = M.predictions_vs_gold(V.first_votes(votes, keep_label=False, keep_null=True), gold)
     return M.leaderboard(M.with_scores(M.confusion_counts(preds, eval_ids)))

@@ -88,12 +88,17 @@ first_votes AS (
 ),
 fv AS (
   SELECT *, {canonical('label')} AS vote, {numeric('label')} AS pred FROM first_votes
+),
+ballots AS (   -- every (id, model) with a row, its vote NULL where no label is given
+  SELECT b.id, b.model, b.model_rank, fv.vote
+  FROM (SELECT id, model, min(model_rank) AS model_rank FROM votes GROUP BY id, model) b
+  LEFT JOIN fv ON b.id = fv.id AND b.model = fv.model
 )"""
 
 GOLD_EVAL_CTE = """
 gold AS (SELECT doc_id AS id, quality AS gold FROM labels),
 preds AS (SELECT fv.id, fv.model, fv.pred, gold.gold FROM fv JOIN gold ON fv.id = gold.id),
-eval_ids AS (SELECT * FROM gold WHERE id IN (SELECT id FROM fv)),
+eval_ids AS (SELECT * FROM gold WHERE id IN (SELECT id FROM votes)),
 totals AS (SELECT count(*) AS n, count(*) FILTER (WHERE gold = 0) AS t0,
                   count(*) FILTER (WHERE gold = 1) AS t1 FROM eval_ids),
 cm AS (

@@ -12,26 +12,30 @@ from pyspark.sql import functions as F
 def build_session(app: str = "siftwise", cpus: int | str | None = None,
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """A local session tuned like a small cluster.
+    """A session with the library's SQL settings.
 
-    On a real cluster only the ``getOrCreate`` part matters: master, memory and
-    the checkpoint folder come from the cluster's own configuration.
+    Under spark-submit (or with a ``--master`` in PYSPARK_SUBMIT_ARGS) master, memory,
+    shuffle partitions and the checkpoint folder come from the cluster's own
+    configuration; otherwise it is a local session tuned like a small cluster.
     """
     cpus = cpus or os.environ.get("BENCH_CPUS") or "*"
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)
+    b = SparkSession.builder.appName(app)
+    if not launched_by_cluster():
+        b = (b.master(f"local[{cpus}]")
+             .config("spark.driver.memory", os.environ.get("SIFTWISE_DRIVER_MEMORY", "16g"))
+             .config("spark.sql.shuffle.partitions", str(parts))
+             # small files with one row group each are read by one task each: split what can be split
+             .config("spark.sql.files.maxPartitionBytes", "16m"))
     b = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
+        b.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        .config("spark.driver.memory", os.environ.get("SIFTWISE_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -41,14 +45,22 @@ def build_session(app: str = "siftwise", cpus: int | str | None = None,
     return spark
 
 
+def launched_by_cluster() -> bool:
+    """True when spark-submit (or submit arguments with a master) started this program."""
+    return "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset.
+    """Return the shared checkpoint folder; only a one-machine session may get one by default.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3) folder and is
-    used as is; the local fallback exists for tests and single-machine runs.
+    used as is; without it there is no folder that all executors see, which is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="siftwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,11 +78,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
-
-def partitions_for(df: DataFrame) -> int:
-    """Partition count for a shuffle that keeps the input's row volume per task:
-    at least ``spark.sql.shuffle.partitions``, and at least as many partitions as
-    the input has splits (``spark.sql.files.maxPartitionBytes`` sized), so the
-    count grows with the data instead of staying at a fixed number."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, df.rdd.getNumPartitions())

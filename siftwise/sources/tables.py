@@ -6,55 +6,18 @@ filters written on top are pushed into the Parquet reader by Catalyst.
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cache import memo, persisted
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
 
-# Text tables whose per-row work (regexes, tokenizing) dominates their cost.
-TEXT_TABLES = {"documents", "pages"}
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-SMALL_TABLE_CACHE_CONF = "spark.siftwise.cacheSmallTextTables"   # "false" turns the small-input copy off
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a small local input over all cores and keep it in memory.
-
-    A table stored as a few files with one row group each is read by one task per
-    row group, so text work on it would use one core (filters are pushed below a
-    plain repartition, so only a cached copy really spreads them).  When the input
-    is local, smaller than ``SMALL_INPUT_BYTES`` and has fewer files than the
-    default parallelism, rows are dealt round-robin to that many partitions and
-    persisted.  Large or remote inputs are returned as they are: their files
-    already give every core work, and caching them would not be bounded.
-    """
-    if df.sparkSession.conf.get(SMALL_TABLE_CACHE_CONF, "true").lower() != "true":
-        return df
-    files = df.inputFiles()
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if not files or len(files) >= par or not all(f.startswith("file:") for f in files):
-        return df
-    size = sum(os.path.getsize(urlparse(f).path) for f in files)
-    return persisted(df.repartition(par)) if size <= SMALL_INPUT_BYTES else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read a table with only ``columns`` (pruned at the scan, or at the in-memory
-    copy for small local text tables)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if name in TEXT_TABLES:
-        df = memo(spark, ("table", path), lambda: spread_small_input(spark.read.parquet(path)))
-    else:
-        df = spark.read.parquet(path)
+    """Read a table with only ``columns`` (pruned at the scan)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
@@ -106,13 +69,18 @@ def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_verdicts_json(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
-    """Every verdict file under ``path``; the file name orders runs.
+    """Every verdict file under ``path`` with ``run_file`` and ``file_order``.
 
-    ``extra`` adds DDL fields a writer put next to the D3 fields (e.g. an order column)."""
+    ``file_order`` orders rows by file name, then by position in the file (block start,
+    then the row number within the task's block), so "first" needs no column of the
+    writer's.  ``extra`` adds DDL fields a writer put next to the D3 fields."""
     schema = VERDICT_SCHEMA if not extra else T.StructType(
         VERDICT_SCHEMA.fields + T.StructType.fromDDL(extra).fields)
     return (spark.read.schema(schema).json(path)
-            .withColumn("run_file", F.col("_metadata.file_name")))
+            .withColumn("run_file", F.col("_metadata.file_name"))
+            .withColumn("file_order", F.struct(
+                F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))))
 
 
 def articles_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

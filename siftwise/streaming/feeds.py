@@ -14,26 +14,18 @@ from pyspark.sql import types as T
 
 from ..functions.text import has_text
 from ..operators import classify as C
-
-DOC_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
-    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("n_chars", T.LongType()),
-])
-
-VOTE_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("model", T.StringType()),
-    T.StructField("model_rank", T.IntegerType()), T.StructField("label", T.StringType()),
-    T.StructField("text", T.StringType()), T.StructField("seq", T.IntegerType()),
-])
-
+from ..sources.tables import ITEM_SCHEMA, VERDICT_SCHEMA
 
 def classify_stream(spark: SparkSession, source_dir: str, model, out_dir: str, checkpoint: str,
-                    file_glob: str = "*.parquet", max_files: int = 1) -> None:
-    """Arriving item files -> F1 -> encode -> model -> relevant/irrelevant/quarantine."""
-    stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files)
-              .option("pathGlobFilter", file_glob).parquet(source_dir)
-              .where(has_text("text")).select(F.col("doc_id").alias("id"), "text"))
+                    file_glob: str = "*.json", bytes_per_batch: int = 64 << 30) -> None:
+    """Arriving NDJSON item files (``id, text``) -> F1 -> encode -> model ->
+    relevant/irrelevant/quarantine.
+
+    ``foreachBatch`` runs at least once, so each micro-batch owns the folder
+    ``batch=<epoch>`` and overwrites it: a batch that is run again replaces itself."""
+    stream = (spark.readStream.schema(ITEM_SCHEMA).option("maxBytesPerTrigger", bytes_per_batch)
+              .option("pathGlobFilter", file_glob).json(source_dir)
+              .where(has_text("text")).select("id", "text"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         # K8: per-batch totals observed while the batch is written (no second pass)
@@ -42,25 +34,31 @@ def classify_stream(spark: SparkSession, source_dir: str, model, out_dir: str, c
             obs, F.count(F.lit(1)).alias("processed"),
             F.sum(F.when(F.col("route") == "relevant", 1).otherwise(0)).alias("relevant"),
             F.sum(F.when(F.col("route") == "quarantine", 1).otherwise(0)).alias("quarantine"))
-        routed.select("id", "route").write.mode("append").partitionBy("route").parquet(out_dir)
+        C.write_routes(routed.select("id", "text", "route"), f"{out_dir}/batch={epoch}")
         m = obs.get
-        spark.createDataFrame([(epoch, m.get("processed", 0), m.get("relevant") or 0, m.get("quarantine") or 0)],
-                              "batch long, processed long, relevant long, quarantine long") \
-            .write.mode("append").parquet(f"{out_dir}_progress")
+        spark.createDataFrame([(m.get("processed", 0), m.get("relevant") or 0, m.get("quarantine") or 0)],
+                              "processed long, relevant long, quarantine long") \
+            .write.mode("overwrite").parquet(f"{out_dir}_progress/batch={epoch}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def verdict_stream(spark: SparkSession, source: str, table_dir: str, checkpoint: str) -> None:
-    """Verdict files appear as runs finish; each micro-batch is appended to the
-    votes table (partitioned by model).  Duplicates are resolved on read by the
-    first-vote rule, so the stream never rewrites earlier data."""
-    stream = spark.readStream.schema(VOTE_SCHEMA).json(source)
+def verdict_stream(spark: SparkSession, source: str, table_dir: str, checkpoint: str, extra: str | None = None) -> None:
+    """Verdict files appear as runs finish; each micro-batch becomes one folder of the
+    votes table (``batch=<epoch>``, overwritten when the batch is run again).  Duplicates
+    are resolved on read by the first-vote rule over ``file_order``; ``extra`` adds DDL
+    fields next to those of the format."""
+    schema = VERDICT_SCHEMA if not extra else T.StructType(VERDICT_SCHEMA.fields + T.StructType.fromDDL(extra).fields)
+    stream = spark.readStream.schema(schema).json(source).withColumn("run_file", F.col("_metadata.file_name")).withColumn(
+        "file_block", F.col("_metadata.file_block_start"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("batch", F.lit(epoch)).write.mode("append").partitionBy("model_rank").parquet(table_dir)
+        ordered = batch.withColumn("file_order", F.struct(
+            F.lit(epoch).alias("batch"), F.col("run_file").alias("file"), F.col("file_block").alias("block"),
+            F.monotonically_increasing_id().alias("row"))).drop("file_block")
+        ordered.write.mode("overwrite").parquet(f"{table_dir}/batch={epoch}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

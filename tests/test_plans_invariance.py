@@ -19,17 +19,8 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.fixture
-def scale_path(spark):
-    """Plans as on large or remote inputs: no in-memory copy of small text tables."""
-    spark.conf.set("spark.siftwise.cacheSmallTextTables", "false")
+def test_tfidf_plan_shape(spark):
     clear(spark)
-    yield
-    spark.conf.set("spark.siftwise.cacheSmallTextTables", "true")
-    clear(spark)
-
-
-def test_tfidf_plan_shape(spark, scale_path):
     df = QUERIES["tfidf_pool"](spark, SF_SMALL)
     df.count()
     p = df._jdf.queryExecution().explainString(
@@ -39,7 +30,8 @@ def test_tfidf_plan_shape(spark, scale_path):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in p   # pruned scan
 
 
-def test_votes_scan_is_pruned(spark, scale_path):
+def test_votes_scan_is_pruned(spark):
+    clear(spark)
     df = QUERIES["leaderboard"](spark, SF_SMALL)
     p = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -73,10 +65,56 @@ def test_stream_progress_counters(spark):
     from siftwise.plans.q_ml import scratch_dir, trained_text_model
     from siftwise.streaming.feeds import classify_stream
     base = scratch_dir(spark, "progress-test")
-    classify_stream(spark, SF_SMALL, trained_text_model(spark, SF_SMALL), f"{base}/out", f"{base}/ckpt",
-                    file_glob="documents.parquet")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.selectExpr("cast(doc_id AS string) AS id", "text").repartition(3).write.json(f"{base}/feed")
+    model = trained_text_model(spark, SF_SMALL)
+    classify_stream(spark, f"{base}/feed", model, f"{base}/out", f"{base}/ckpt", bytes_per_batch=1)
     prog = spark.read.parquet(f"{base}/out_progress").collect()
-    assert sum(r["processed"] for r in prog) == spark.read.parquet(f"{base}/out").count()
+    out = spark.read.parquet(f"{base}/out")
+    assert len(prog) == 3 and sum(r["processed"] for r in prog) == out.count()
+    assert set(out.columns) >= {"id", "text", "route"}
+    before = rows(out.select("id", "route"))
+    # the same files again under a new query id: every batch replaces its own folder
+    classify_stream(spark, f"{base}/feed", model, f"{base}/out", f"{base}/ckpt-again", bytes_per_batch=1)
+    assert rows(spark.read.parquet(f"{base}/out").select("id", "route")) == before
+
+
+def test_documents_are_encoded_once(spark):
+    from siftwise.plans.q_ml import routed_documents
+    df = routed_documents(spark, SF_SMALL)
+    plan = plan_text(df)
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan parquet") == 1 or plan.count("FileScan parquet") == 1
+    assert set(df.columns) == {"id", "text", "route"}
+
+
+def test_gold_join_is_below_the_vote_aggregate(spark):
+    from siftwise.plans.q_votes import fixture_gold_votes
+    plan = plan_text(fixture_gold_votes(spark, SF_SMALL))
+    first_join = min(plan.index(j) for j in ("LeftSemi",))
+    assert plan.index("HashAggregate") < first_join           # plans print from the top down
+
+
+def test_unlabelled_items_stay_in_the_totals(spark):
+    from siftwise.operators import metrics as M
+    from siftwise.operators import votes as V
+    votes = spark.createDataFrame([(1, "m", "1", 1), (2, "m", None, 1)], "id long, model string, label string, seq int")
+    gold = spark.createDataFrame([(1, 1), (2, 0)], "id long, gold int")
+    first = V.first_votes(M.gold_votes(votes, gold), keep_label=False, keep_null=True)
+    r = M.confusion_by_model(first, gold).first()
+    assert (r["n"], r["tp"], r["accuracy"]) == (2, 1, 0.5)
+
+
+def test_first_votes_of_real_verdict_files(spark, tmp_path):
+    from siftwise.operators import votes as V
+    from siftwise.sources.tables import read_verdicts_json
+    row = lambda i, label: json.dumps({"id": i, "model": "m", "label": label, "reasoning": "r", "text": "t"})
+    (tmp_path / "b-later.ndjson").write_text("\n".join([row("1", 0), row("2", 0), row("3", 1)]))
+    (tmp_path / "a-first.ndjson").write_text("\n".join([row("1", 1), row("1", 0), row("2", None)]))
+    raw = read_verdicts_json(spark, f"{tmp_path}/*.ndjson")
+    got = {r["id"]: r["vote"] for r in V.first_votes(raw).collect()}
+    assert got == {"1": 1, "2": 0, "3": 1}
+    null_order = raw.withColumn("seq", raw["label"].cast("int") * 0).selectExpr("id", "model", "label", "cast(NULL AS int) AS seq")
+    assert all(r["vote"] is not None for r in V.first_votes(null_order).collect())
 
 
 def test_routes_cover_input(spark):
@@ -106,20 +144,6 @@ def test_verdict_stream_equals_batch_first_votes(spark):
     assert stream == batch
 
 
-def test_small_local_text_tables_are_spread(spark):
-    from siftwise.sources.tables import spread_small_input, table
-    clear(spark)
-    docs = table(spark, SF_SMALL, "documents", "doc_id", "text")
-    assert docs.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.siftwise.cacheSmallTextTables", "false")
-    try:
-        raw = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-        assert spread_small_input(raw) is raw           # switched off: the scan is returned as is
-    finally:
-        spark.conf.set("spark.siftwise.cacheSmallTextTables", "true")
-        clear(spark)
-
-
 LAZY_QUERIES = sorted(set(QUERIES) - {"cv_results", "best_model", "learning_curve", "al_round", "stream_classify",
                                       "stream_votes", "bulk_classify", "bulk_classify_quarantine",
                                       "verdict_file_leaderboard"})

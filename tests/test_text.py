@@ -48,6 +48,12 @@ def test_code_point_length_and_words(spark):
     assert one(spark, "  ", X.has_text("t")) is True
 
 
+def test_highlight_phrases(spark):
+    assert one(spark, "Pea soup and kale, kale pea soup", K.highlight("t", ["pea soup", "kale"])) == (
+        "**Pea soup** and **kale**, **kale** **pea soup**")
+    assert one(spark, "speak pea soups", K.highlight("t", ["pea soup", "pea"])) == "speak **pea** soups"
+
+
 def test_highlight_adjacent(spark):
     assert one(spark, "That this, THIS", K.highlight("t", ["this", "that"])) == "**That** **this**, **THIS**"
 
