@@ -110,7 +110,6 @@ SCORING_BATCH = 1000
 NB_ALPHAS = [0.1, 0.5, 1.0, 2.0]
 SVM_CS = [0.1, 1.0, 10.0]
 LR_CS = [0.1, 1.0, 10.0]
-GBT_GRID = {"n_estimators": [100, 200], "learning_rate": [0.05, 0.1], "num_leaves": [31, 50]}
 CV_FOLDS = 5
 
 # Response contract.

@@ -77,6 +77,22 @@ RESPONSE_CASES = [
 ]
 
 
+# Sentences with words of the fixed topic lists (and near misses), one per document in turn:
+# the invented prose holds none of them.
+TOPIC_SNIPPETS = [
+    "", "Pea soup, licorice and KALE.", "nederlandse keuken", "de Hollandse en andere keuken", "eten-drop; lekker!",
+    "dutch people like food", "foods and kaleidoscopes", "Vaderlansd eten", "chocolate sprinkles on a dish", "keuken, nederlands",
+    "pea  soup stamppot", "hollandse\nkeuken",
+]
+
+
+def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: every document with one of the snippets after it."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    snippet = F.element_at(F.array(*[F.lit(s) for s in TOPIC_SNIPPETS]), (F.col("doc_id") % len(TOPIC_SNIPPETS) + 1).cast("int"))
+    return d.select("doc_id", F.concat("text", F.lit(" "), snippet).alias("text"))
+
+
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, model, raw_response, text)``: a scorer's raw output per document."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")

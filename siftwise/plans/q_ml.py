@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -66,10 +67,9 @@ def llm_label_sets(spark, sf_dir):
     return agreed.join(gold.select("id"), "id", "left_anti").join(docs, "id"), gold.join(docs, "id")
 
 
-def tfidf_split(spark, sf_dir):
+def tfidf_split(train, test):
     """TF-IDF branch: (1,2)-gram sublinear TF-IDF fitted on the training texts only,
     as sparse vectors for MLlib."""
-    train, test = llm_label_sets(spark, sf_dir)
     train_terms = T.doc_terms(train, ngrams=(1, 2)).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = T.fit_vocabulary(train_terms, train.select(F.count("*")).scalar(), min_df=EVAL_MIN_DF).checkpoint()
     index = T.vocabulary_index(vocab)
@@ -84,36 +84,48 @@ def tfidf_split(spark, sf_dir):
     return ML.fold_column(tr).checkpoint(), te
 
 
-def llm_text_split(spark, sf_dir):
-    """Hashed-text branch of the L8 sets: encoded once and checkpointed, so every
-    CV fit re-reads features instead of re-running the encoder."""
-    train, test = llm_label_sets(spark, sf_dir)
+def human_label_sets(spark, sf_dir):
+    """(train, test) as (id, label, text): active-learning labels minus gold items for
+    training, the gold items for testing (gold: two thirds of the labels here)."""
+    lab = table(spark, sf_dir, "labels", "doc_id", "quality").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    gold = lab.where(F.col("id") % 3 != 1)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
+        .where(X.has_text("text"))
+    labelled = lab.where(F.col("id") % 3 != 0).join(gold.select("id"), "id", "left_anti")
+    return labelled.join(docs, "id"), gold.join(docs, "id")
+
+
+def hashed_split(train, test):
+    """Hashed-text branch: encoded once and checkpointed, so every CV fit re-reads
+    features instead of re-running the encoder."""
     tr = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text")).checkpoint()
     te = C.to_features(C.encode(test).where(F.col("error").isNull()).drop("text")).checkpoint()
     return ML.fold_column(tr).checkpoint(), te
 
 
 def cv_table(spark, sf_dir):
-    """Three feature branches; the result is checkpointed and reused within one application."""
+    """Feature branches by label source (annotators, human labels; the embeddings table
+    has labels of its own); the result is checkpointed and reused within one application."""
+    sources = [("annotators", llm_label_sets), ("human", human_label_sets)]
+
     def embeddings():
         tr, te = embedding_split(spark, sf_dir)
         return ML.evaluate_branch(tr, te, "embeddings", "gold")
 
-    def hashed():
-        tr, te = llm_text_split(spark, sf_dir)
-        return ML.evaluate_branch(tr, te, "hashed-text", "annotators",
-                                  names=["Logistic Regression", "SVM (Linear)"])
+    def hashed(source, sets):
+        return lambda: ML.evaluate_branch(*hashed_split(*sets(spark, sf_dir)), "hashed-text", source)
 
-    def tfidf():
-        tr, te = tfidf_split(spark, sf_dir)
-        return ML.evaluate_branch(tr, te, "tfidf", "annotators",
-                                  names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
+    def tfidf(source, sets):
+        return lambda: ML.evaluate_branch(*tfidf_split(*sets(spark, sf_dir)), "tfidf", source,
+                                          names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
 
     def build():
         # the branches are independent Spark jobs: submit them concurrently
-        with ThreadPoolExecutor(max_workers=3) as pool:
-            a, b, c = [f.result() for f in [pool.submit(fn) for fn in (embeddings, hashed, tfidf)]]
-        return a.unionByName(b).unionByName(c).checkpoint()
+        jobs = [embeddings, *[f(*s) for s in sources for f in (hashed, tfidf)]]
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            parts = [f.result() for f in [pool.submit(fn) for fn in jobs]]
+        return reduce(lambda a, b: a.unionByName(b), parts).checkpoint()
     return memo(spark, ("cv", sf_dir), build)
 
 

