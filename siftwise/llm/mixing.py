@@ -101,7 +101,7 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
 
 SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> ''))::BIGINT AS size,
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2))::INTEGER AS bucket
   FROM documents),
 e AS (SELECT *, CASE WHEN size <= 0 THEN -1 ELSE floor(log2(size::DOUBLE) * {CLASSES_PER_OCTAVE})::INTEGER END AS cls FROM d),
@@ -112,14 +112,14 @@ lv AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coal
        FROM wt WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 tg AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target
        FROM (SELECT *, max(CASE WHEN here * w <= cap THEN here END) OVER () AS level FROM lv)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, bucket, size, doc_id) - 1 AS at FROM e),
-j AS (SELECT rk.doc_id, rk.size, tg.source_size, tg.target, rk.at,
+rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, bucket, size, doc_id) - 1 AS pos FROM e),
+j AS (SELECT rk.doc_id, rk.size, tg.source_size, tg.target, rk.pos,
              CASE WHEN tg.source_size > 0 THEN tg.target / tg.source_size ELSE 0 END AS rate,
              ('0x' || substr(md5('17:' || coalesce(rk.source, chr(0))), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
       FROM rk JOIN tg ON rk.source IS NOT DISTINCT FROM tg.source)
 SELECT doc_id, size, source_size, target,
-       size * (floor(u + (at + 1) * rate) - floor(u + at * rate))::BIGINT AS taken,
-       (floor(u + (at + 1) * rate) - floor(u + at * rate))::BIGINT AS copies
+       size * (floor(u + (pos + 1) * rate) - floor(u + pos * rate))::BIGINT AS taken,
+       (floor(u + (pos + 1) * rate) - floor(u + pos * rate))::BIGINT AS copies
 FROM j
 """
 

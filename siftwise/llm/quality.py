@@ -121,7 +121,49 @@ def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     return judged.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept")).where("_kept").select("_row.*")
 
 
-@query("op1_quality")
+def _sql() -> str:
+    """The whole query in SQL, rules included."""
+    quoted = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))
+    space = r"[ \t\n\x0B\f\r]"
+    ratio = {
+        "mean_word": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "word_chars"),
+        "letter_word_ratio": ("letter_words", "n_words"), "stop_ratio": ("stop_words", "n_words"),
+        "dup_line_ratio": ("n_dup_lines", "n_lines"), "bullet_line_ratio": ("bullet_lines", "n_lines"),
+        "ellipsis_line_ratio": ("ellipsis_lines", "n_lines"),
+    }
+    value = {k: f"(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0::DOUBLE END)" for k, (a, b) in ratio.items()}
+    broken = ", ".join(f"CASE WHEN {value[m]} {'>' if bound == 'max' else '<'} {v}::DOUBLE THEN '{name}' END" for name, m, bound, v in RULES)
+    return f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ls FROM t),
+tri AS (
+  SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1)
+  GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(ws, lambda x: lower(x) IN ({quoted})))::BIGINT AS stop_words,
+         len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS letter_words,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[ \\t]*[-*•‣●]'))) AS bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t\\r]*$'))) AS ellipsis_lines
+  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+j AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed,
+         array_to_string(list_filter([{broken}], lambda x: x IS NOT NULL), ',') AS broken FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND broken = '' AS kept, n_lines, stop_words, broken
+FROM j"""
+
+
+@query("op1_quality", _sql())
 def op1_quality(spark, sf_dir):
     """Every document's measures and verdict."""
     return quality(read(spark, sf_dir, "documents", "doc_id", "text")).select(

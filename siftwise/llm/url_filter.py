@@ -136,8 +136,55 @@ def url_filter(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", ur
             .select("page_id", "host", "path", "rule", "verdict", "rep_mean", "rep_low", "rep_labelled"))
 
 
-@query("op8_url_filter")
+def _sql() -> str:
+    """The whole query in SQL: rules, counts, strengths and posteriors."""
+    from .common import LOWER, UPPER
+
+    def strength(nodes: str) -> str:
+        return f"""(SELECT CASE WHEN vn = 0 OR vn IS NULL THEN {MIN_STRENGTH} WHEN rho > 0 THEN least(greatest(1 / rho - 1, {MIN_STRENGTH}), {MAX_STRENGTH})
+            ELSE {MAX_STRENGTH} END::DOUBLE FROM (SELECT sum(m * (1 - m) * (n - 1)) AS vn,
+            (sum(n * pow(bad / n - m, 2)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0) AS rho FROM {nodes}))"""
+
+    def shrunk(name: str, nodes: str) -> str:
+        return f"""{name} AS (SELECT *, a / (a + b) AS mean FROM (
+  SELECT *, m * {strength(nodes)} + bad AS a, (1 - m) * {strength(nodes)} + n - bad AS b FROM {nodes}))"""
+
+    rule, verdict = "NULL", "NULL"
+    for v, h, p in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+        rule = f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}' ELSE {rule} END"
+        verdict = f"CASE WHEN rule = '{h}{p}' THEN '{v}' ELSE {verdict} END"
+    parts = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    second = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+    return f"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), {parts}, 1), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), {parts}, 2) AS path FROM pages),
+marks AS (
+  SELECT doc_id, (coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INTEGER AS bad FROM labels
+  WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+h0 AS (SELECT host, count(*) AS n, sum(bad)::DOUBLE AS bad FROM p JOIN marks ON page_id = doc_id WHERE host <> '' GROUP BY host),
+h1 AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', ''), '.') AS parts FROM h0),
+h2 AS (SELECT *, len(parts) AS k, CASE WHEN len(parts) >= 3 AND length(parts[-1]) = 2 AND parts[-2] IN ({second}) THEN 2 ELSE 1 END AS depth FROM h1),
+h3 AS (SELECT host, n, bad, array_to_string(parts[greatest(k - depth, 1):k], '.') AS domain,
+              array_to_string(parts[greatest(k - depth + 1, 1):k], '.') AS suffix FROM h2),
+top AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1)::DOUBLE AS m FROM h3),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM top) AS m FROM h3 GROUP BY suffix),
+{shrunk('s1', 's0')},
+d0 AS (SELECT domain, sum(h3.n) AS n, sum(h3.bad) AS bad, any_value(s1.mean) AS m FROM h3 JOIN s1 ON h3.suffix = s1.suffix GROUP BY domain, h3.suffix),
+{shrunk('d1', 'd0')},
+h4 AS (SELECT h3.host, h3.n, h3.bad, d1.mean AS m FROM h3 JOIN d1 ON h3.domain = d1.domain),
+{shrunk('h5', 'h4')},
+rep AS (SELECT host, n, mean, greatest(mean - {Z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))), 0.0) AS low FROM h5),
+r AS (SELECT *, {rule} AS rule FROM (SELECT p.*, rep.mean, rep.low, rep.n FROM p LEFT JOIN rep ON p.host = rep.host))
+SELECT page_id, host, path, rule,
+       coalesce({verdict}, CASE WHEN low > {BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS rep_mean, round(low, 6) AS rep_low, n::BIGINT AS rep_labelled
+FROM r"""
+
+
+@query("op8_url_filter", _sql())
 def op8_url_filter(spark, sf_dir):
     """Every page's verdict; outcomes are the labels with the page's id."""
-    return url_filter(read(spark, sf_dir, "pages", "page_id", "url"),
-                      read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    out = url_filter(read(spark, sf_dir, "pages", "page_id", "url"),
+                     read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return out.withColumn("rep_mean", F.round("rep_mean", 6)).withColumn("rep_low", F.round("rep_low", 6))
