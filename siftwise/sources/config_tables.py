@@ -40,18 +40,24 @@ def _spark_stop_list(name: str) -> tuple[str, ...]:
         roots.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
     jars = [j for r in roots for j in glob.glob(os.path.join(r, "spark-mllib_*.jar"))]
     if not jars:
-        raise FileNotFoundError("Spark ML jar not found (looked in pyspark/jars and $SPARK_HOME/jars)")
+        return ()          # SQL texts only: Spark plans ask the session (spark_stop_words)
     with zipfile.ZipFile(jars[0]) as z:
         raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
     return tuple(w for w in raw.splitlines() if w)
 
 
-def stop_words(lang: str) -> list[str]:
+def spark_stop_words(lang: str) -> list[str]:
+    """The list for the language as the running session gives it."""
+    from pyspark.ml.feature import StopWordsRemover
+    return stop_words(lang, StopWordsRemover.loadDefaultStopWords)
+
+
+def stop_words(lang: str, load=_spark_stop_list) -> list[str]:
     """Spark's built-in list for the language (Dutch gets five extra words)."""
     name = STOP_WORD_LANGS.get(lang)
     if name is None:
         return []
-    words = list(_spark_stop_list(name))
+    words = list(load(name))
     if lang == "nl":
         words = sorted(set(words) | set(EXTRA_STOP_WORDS_NL))
     return list(words)
