@@ -34,8 +34,8 @@ from .language import held_out
 from .registry import query
 from .textcodes import buffers, slices
 
-HEAD_WORDS = 200_000
-ARCS = 1_000_000
+HEAD_WORDS = 100_000
+ARCS = 400_000
 ADD = 0.1                 # fixed value of the contract
 CHUNK_BYTES = 4 << 20
 MOST_COUNTED = 400_000    # words counted in a task before they are handed on
@@ -193,11 +193,11 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, head_words: int =
     counts = saved(t.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     cut = _cutoff(counts.where("word <> ''"), head_words)
-    head = counts.where((F.col("n") >= cut) & (F.col("word") != "")).toPandas().sort_values("word")     # at most head_words rows
+    head = counts.where((F.col("n") >= cut) & (F.col("word") != "")).toArrow().sort_by("word")     # at most head_words rows
     ends = counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    c = np.concatenate(([ends], head["n"].to_numpy(np.int64)))
+    c = np.concatenate(([ends], head["n"].to_numpy()))
     root = (c + ADD) / (tokens + ADD * (distinct + 1))
-    model = Automaton([b"", *[w.encode() for w in head["word"]]], np.log10(root), c > 0, tokens, distinct)
+    model = Automaton([b"", *[w.encode() for w in head["word"].to_pylist()]], np.log10(root), c > 0, tokens, distinct)
     context = docs.sparkSession.sparkContext
     k = len(model.words)
     below, total = root, c                     # probability of a word from the state below, occurrences of each state
@@ -206,8 +206,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, head_words: int =
         grams = t.mapInArrow(_count_grams(shared, n), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         grams = saved(grams.where("n >= 2"))
         cut = _cutoff(grams, arcs)
-        kept = grams.where(F.col("n") >= cut).toPandas().sort_values("key")                               # at most arcs rows
-        keys, seen = kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.float64)
+        kept = grams.where(F.col("n") >= cut).toArrow().sort_by("key")                               # at most arcs rows
+        keys, seen = kept["key"].to_numpy(), kept["n"].to_numpy().astype(np.float64)
         state, word = keys // k, keys % k
         if n == 2:
             low = root[word]
@@ -219,6 +219,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, head_words: int =
         model.logs.append(logs)
         model.backoff.append(back)
         total = seen.astype(np.int64)
+        shared.unpersist()
     return model, counts
 
 
