@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import EVAL_MIN_DF, QUERY_BATCH_FORUM, SEED_SIZE
 from ..functions import text as X
 from ..functions.normalise import normalise_unicode
+from ..operators import active as A
 from ..operators import classify as C
 from ..operators import models as ML
 from ..operators import naive_bayes as NB
@@ -23,7 +24,7 @@ from ..sources.tables import table
 from .cache import memo
 from .q_labels import UNANIMOUS_MODELS
 from .q_models import NB_ALPHA, holdout_column, pool_features
-from .q_text import clean_articles
+from .q_text import clean_articles, seed_candidate_table
 from .q_votes import fixture_first_votes
 from .registry import query
 
@@ -195,32 +196,40 @@ def bulk_classify_quarantine(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- Q4 Q5 Q6
+AL_STOP_AFTER = 10
+
+
 @query("al_round")
 def al_round(spark, sf_dir):
-    """Q4: two active-learning rounds: seed 25 -> NB -> 25 least confident labelled
-    by the (simulated) annotator -> refit -> next queue.  Each round's labels are
-    a versioned Parquet table in the shared folder."""
+    """Q4: active learning over saved labels.  Round 1: the keyword seed.  Round 2: resume
+    (an unknown id in the saved labels is skipped), naive Bayes, the 25 least confident,
+    all answered.  Round 3: resume, refit, next queue, the labeller stops after ten:
+    those are saved and the model is left as it was.  Each version of the labels is a
+    Parquet table in the shared folder."""
     docs, vocab, w = pool_features(spark, sf_dir, persist=True, reuse_weights=True)
-    oracle = (docs.select("id").join(table(spark, sf_dir, "labels", "doc_id", "quality")
-                                     .withColumnRenamed("doc_id", "id"), "id", "left")
-              .select("id", F.coalesce("quality", (F.col("id") % 2).cast("int")).alias("label")))
+    pool = docs.select("id")
+    answers = (pool.join(table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("doc_id", "id"), "id", "left")
+               .select("id", F.coalesce("quality", (F.col("id") % 2).cast("int")).alias("label")))
     base = scratch_dir(spark, "al")
-    seed = Q.seed_sample(docs.select("id"), docs.select("id"), SEED_SIZE).select("id")
-    labelled = seed.join(oracle, "id").withColumn("round", F.lit(1))
-    labelled.write.mode("overwrite").parquet(f"{base}/labels_v1")
-    labelled = spark.read.parquet(f"{base}/labels_v1")
+    version = 0
+
+    def save(labels):
+        nonlocal version
+        version += 1
+        labels.write.parquet(f"{base}/labels_v{version}")
+        return spark.read.parquet(f"{base}/labels_v{version}")
+
+    candidates = seed_candidate_table(spark, sf_dir).join(pool, "id", "left_semi")
+    _, seed = A.start(pool, candidates, None, SEED_SIZE)
+    unknown = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(1).alias("label"), F.lit(1).alias("round"), F.lit(1).alias("seq"))
+    saved = save(A.record(None, seed, answers, 1).unionByName(unknown))
     for rnd in (2, 3):
+        labelled, _ = A.start(pool, candidates, saved, SEED_SIZE)
         model, priors = NB.fit_wide(w, labelled.select("id", "label"), vocab, NB_ALPHA)
-        pool = docs.select("id").join(labelled, "id", "left_anti")
-        queue = NB.least_confident(NB.log_odds(w, pool, model, priors), QUERY_BATCH_FORUM)
-        if rnd == 3:
-            return (labelled.select("round", "id", "label", F.lit("labelled").alias("status"))
-                    .unionByName(queue.select(F.lit(rnd).alias("round"), "id",
-                                              F.lit(None).cast("int").alias("label"),
-                                              F.lit("queued").alias("status"))))
-        answered = queue.select("id").join(oracle, "id").withColumn("round", F.lit(rnd))
-        answered = answered.where(F.col("label").isin(0, 1))       # Q6: only 0/1 accepted
-        nxt = labelled.unionByName(answered)
-        nxt.write.mode("overwrite").parquet(f"{base}/labels_v{rnd}")
-        labelled = spark.read.parquet(f"{base}/labels_v{rnd}")
-    raise AssertionError("unreachable")
+        rest = pool.join(labelled, "id", "left_anti")
+        queue = A.ranked(NB.least_confident(NB.log_odds(w, rest, model, priors), QUERY_BATCH_FORUM)).checkpoint()
+        saved = save(A.record(saved, queue, answers, rnd, AL_STOP_AFTER if rnd == 3 else None))
+    labelled, _ = A.start(pool, candidates, saved, SEED_SIZE)
+    left = queue.join(labelled.select("id"), "id", "left_anti")
+    return labelled.select("round", "id", "label", F.lit("labelled").alias("status")).unionByName(
+        left.select(F.lit(3).alias("round"), "id", F.lit(None).cast("int").alias("label"), F.lit("queued").alias("status")))
