@@ -36,25 +36,51 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
             return labels
 
 
-def bucket_links(bucket: DataFrame, keys: list[str], check) -> DataFrame:
+def bucket_links(bucket: DataFrame, keys: list[str], check, rounds: int = 2, finish=None) -> DataFrame:
     """``bucket(id, *keys)``: ids and the buckets they lie in -> links (a, b) whose components
     are those of all pairs within buckets that ``check`` accepts.
 
-    ``check(pairs(a, b))`` returns the accepted pairs.  A bucket's pairs are not all
-    looked at: first each id is checked against the smallest id of its buckets; then, in
-    buckets that hold several components so far, the ids outside the smallest id's
-    component against all ids of other components.  A pair that shares a bucket is thus
-    checked or already in one component."""
-    shared = bucket.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    members = saved(bucket.join(shared, keys).select(*keys, "id", "lead"))
-    star = saved(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    links = check(star)
-    comp = components(links)
-    lead_comp = comp.select(F.col("id").alias("lead"), F.col("component").alias("lc"))
-    seen = saved(members.join(comp, "id", "left").join(lead_comp, "lead", "left")
-                 .select(*keys, "id", F.coalesce("component", "id").alias("comp"), F.coalesce("lc", "lead").alias("lc")))
-    odd = seen.where("comp <> lc").select(*keys, F.col("id").alias("x"), F.col("comp").alias("cx"))
-    other = (odd.join(seen.select(*keys, F.col("id").alias("y"), F.col("comp").alias("cy")), keys)
-             .where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
+    ``check(pairs(a, b))`` returns the accepted pairs, a < b.  A bucket's pairs are not all
+    looked at.  In each round every bucket has a leader, the id that meets most others over
+    all its buckets (a text in the middle of its copies meets more than they do one another),
+    and the others are checked against it; what is accepted joins components, and the next
+    round's leaders are taken from outside the last leader's component.  At last, in
+    buckets that still hold several components, ids outside the leader's component are checked
+    against all ids of other components.  A pair that shares a bucket is thus checked or
+    already in one component.
+
+    Where many ids of a bucket are similar but not linked, these last pairs grow with the
+    square of the bucket.  ``finish(clusters(id, comp, cluster))`` may then compare them in
+    blocks without making rows of them; a cluster is what the open buckets connect."""
+    sizes = bucket.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    members = bucket.join(sizes, keys)
+    weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    members = saved(members.join(weight, "id").select(*keys, "id", "weight", F.col("id").alias("comp")))
+    lead_of = lambda df: df.groupBy(*keys).agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"), "comp")).alias("l")).select(
+        *keys, (-F.col("l.neg")).alias("lead"), F.col("l.comp").alias("lc"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    checked = links = None
+    outside = members
+    for _ in range(rounds):
+        led = members.join(lead_of(outside), keys)
+        star = led.where("id <> lead and comp <> lc").select(*pair("id", "lead")).distinct()
+        if checked is not None:
+            star = star.join(checked, ["a", "b"], "left_anti")
+        star = saved(star)
+        checked = star if checked is None else checked.union(star)
+        found = check(star)
+        links = found if links is None else links.union(found)
+        comp = components(links)
+        now = members.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        members = saved(now)
+        outside = saved(members.join(lead_of(members), keys).where("comp <> lc").drop("lead", "lc"))
+    if finish is not None:
+        open_buckets = outside.groupBy(*keys).agg(F.min("id").alias("hub"))
+        held = members.join(open_buckets, keys)
+        cluster = components(held.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        comp = members.select("id", "comp").distinct()
+        return links.union(finish(cluster.withColumnRenamed("component", "cluster").join(comp, "id")))
+    other = (outside.select(*keys, F.col("id").alias("x"), F.col("comp").alias("cx"))
+             .join(members.select(*keys, F.col("id").alias("y"), F.col("comp").alias("cy")), keys)
+             .where("cx <> cy").select(*pair("x", "y")).distinct().join(checked, ["a", "b"], "left_anti"))
     return links.union(check(other))

@@ -63,6 +63,24 @@ def test_near_duplicates_all_pairs(spark):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
 
 
+def test_open_clusters_are_compared_in_blocks(spark, monkeypatch):
+    """Texts around one base, many pairwise just below the threshold, a few linked late."""
+    monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 8)
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for doc in range(60):
+        w = list(base)
+        for at in rng.sample(range(150), 4):
+            w[at] = f"e{rng.randrange(400)}"
+        rows.append((1000 + doc, " ".join(w), "en", "s", 1, 1, "r"))
+        if doc % 9 == 0:
+            rows.append((2000 + doc, " ".join(w[:-1]), "en", "s", 1, 1, "r"))
+    _, want = linked_sets(rows, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(awkward(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 10
+
+
 def test_drop_near_duplicates_keeps_one_of_each(spark):
     rows = awkward_rows() + group_rows()[:60]
     _, want = linked_sets(rows, 80)
