@@ -50,8 +50,11 @@ def upsert_labels(rounds: DataFrame) -> DataFrame:
 
 def resume(annotations: DataFrame, pool_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(annotations whose id is in the pool, annotations with unknown ids)."""
-    return (annotations.join(pool_ids, "id", "left_semi"),
-            annotations.join(pool_ids, "id", "left_anti"))
+    # the pool is cut to the annotated ids first (a semi-join with the small side), then read once
+    there = (pool_ids.select("id").join(annotations.select("id").distinct(), "id", "left_semi").distinct()
+             .withColumn("_there", F.lit(True)))
+    marked = annotations.join(there, "id", "left")
+    return marked.where("_there").drop("_there"), marked.where("_there IS NULL").drop("_there")
 
 
 def last_per_id(df: DataFrame, order_cols: list[str], value_cols: list[str]) -> DataFrame:
