@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_ID = 0
 OPEN_BINS = 1024
 TOKENS_PER_TASK = 8_000_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 VOCABULARY = "word_bpe_49k.json"
 
 

@@ -24,7 +24,7 @@ class WordEncoder:
     memo starts anew), lower-cased first as the tokenizer would do itself; a tail of
     plain punctuation is a pre-token of its own and is looked up apart."""
 
-    MOST_WORDS = 600_000
+    MOST_WORDS = 400_000
     TAILS = b".,;:!?"
     LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -39,8 +39,8 @@ class WordEncoder:
         self.index: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
-        self.starts: list[int] = []
-        self.lens: list[int] = []
+        self.starts = np.zeros(1 << 14, np.int32)
+        self.lens = np.zeros(1 << 14, np.int32)
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         if not words:
@@ -49,12 +49,16 @@ class WordEncoder:
 
     def _add(self, word: bytes, ids: list[int]) -> None:
         n = len(ids)
+        at = len(self.index)
         if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.int32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, n), np.int32)])
+        if at == len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(at // 2, np.int32)])
+            self.lens = np.concatenate([self.lens, np.zeros(at // 2, np.int32)])
         self.flat[self.used:self.used + n] = ids
-        self.index[word] = len(self.starts)
-        self.starts.append(self.used)
-        self.lens.append(n)
+        self.index[word] = at
+        self.starts[at] = self.used
+        self.lens[at] = n
         self.used += n
 
     def _learn(self, words: list[bytes]) -> None:
@@ -77,7 +81,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): ids of all texts in a row (each closed by ``end``), bounds of each text in them."""
-        if len(self.index) > self.MOST_WORDS:
+        if len(self.index) > self.MOST_WORDS or self.used > 16 * self.MOST_WORDS:
             self._clear()
         # a special token's string is matched before lower-casing, so texts with one keep their case
         split = [(t if b"<|" in t else t.translate(self.LOWER)).split() for t in texts]
@@ -88,8 +92,8 @@ class WordEncoder:
         if len(miss):
             self._learn(list(dict.fromkeys(flat_words[i] for i in miss)))
             at[miss] = [self.index[flat_words[i]] for i in miss]
-        lens = np.array(self.lens, np.int64)[at] if len(at) else np.zeros(0, np.int64)
-        starts = np.array(self.starts, np.int64)[at] if len(at) else np.zeros(0, np.int64)
+        lens = self.lens[at].astype(np.int64)
+        starts = self.starts[at].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(lens)))
         ends = upto[np.cumsum(n_words)] if len(n_words) else np.zeros(0, np.int64)
         more = 0 if end is None else 1
