@@ -33,7 +33,7 @@ SWITCH = 15.0
 SCRIPT_SHARE = 0.005
 OTHER_SCRIPT = -50.0
 MIN_SHARE = 0.5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10
 
 # Fixed values: (first, last code point, script); letters outside have script 0.
 SCRIPT_RANGES = [
@@ -141,6 +141,9 @@ class Model:
     def __init__(self, langs, weights, candidates, usual):
         self.langs, self.weights, self.candidates, self.usual = langs, weights, candidates, usual
 
+    def values(self) -> tuple:
+        return self.langs, self.weights, self.candidates, self.usual
+
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Model of all rows with a language.  The driver gets the summed counts (languages x buckets)."""
@@ -229,7 +232,7 @@ def _predict(shared, switch: float):
         """(..., text last) -> the other columns, lang_pred, score, spans"""
         import pyarrow as pa
 
-        model = shared.value
+        model = Model(*shared.value)          # plain values: executors need no copy of this package
         names = [*model.langs, "und"]
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -252,7 +255,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     without a letter are ``und`` with score 0; texts whose scripts no language of the model
     writes get its most frequent language with score 0; a model without languages (empty
     training table) gives ``und``.  Every row is predicted on its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # languages x buckets
+    shared = docs.sparkSession.sparkContext.broadcast(model.values())      # languages x buckets
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
     from pyspark.sql import types as T
     schema = T.StructType([*d.schema.fields[:-1], *T.StructType.fromDDL(

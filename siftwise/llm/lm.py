@@ -37,8 +37,8 @@ from .textcodes import buffers, slices
 HEAD_WORDS = 100_000
 ARCS = 400_000
 ADD = 0.1                 # fixed value of the contract
-CHUNK_BYTES = 4 << 20
-MOST_COUNTED = 400_000    # words counted in a task before they are handed on
+CHUNK_BYTES = 1 << 20
+MOST_COUNTED = 200_000    # words counted in a task before they are handed on
 MUS = [2.0 ** k for k in range(0, 21)]
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -76,11 +76,15 @@ class Automaton:
     sorted n-gram keys (state * words + word), their log10 probability and the backoff
     weight of every state of the order below."""
 
-    def __init__(self, words, root, known, tokens, distinct):
+    def __init__(self, words, root, known, tokens, distinct, keys=(), logs=(), backoff=()):
         self.words, self.root, self.known, self.tokens, self.distinct = words, root, known, tokens, distinct
-        self.keys: list[np.ndarray] = []
-        self.logs: list[np.ndarray] = []
-        self.backoff: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = list(keys)
+        self.logs: list[np.ndarray] = list(logs)
+        self.backoff: list[np.ndarray] = list(backoff)
+
+    def values(self) -> tuple:
+        """Plain values to broadcast: executors need no copy of this package."""
+        return self.words, self.root, self.known, self.tokens, self.distinct, self.keys, self.logs, self.backoff
 
     def index(self) -> dict[bytes, int]:
         memo = worker_state().__dict__.setdefault("lm_words", {})
@@ -135,7 +139,7 @@ def _count_grams(shared, order: int):
         """(text) -> key, n for n-grams of the order whose parts the automaton holds"""
         import pyarrow as pa
 
-        model = shared.value
+        model = Automaton(*shared.value)
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for i, j in slices(offsets, CHUNK_BYTES):
@@ -202,7 +206,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3, head_words: int =
     k = len(model.words)
     below, total = root, c                     # probability of a word from the state below, occurrences of each state
     for n in range(2, order + 1):
-        shared = context.broadcast(model)
+        shared = context.broadcast(model.values())
         grams = t.mapInArrow(_count_grams(shared, n), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         grams = saved(grams.where("n >= 2"))
         cut = _cutoff(grams, arcs)
@@ -228,7 +232,7 @@ def _score(shared):
         """(row, doc_id, text) -> row, doc_id, n_tokens, n_head, base, score, words outside the head with their number"""
         import pyarrow as pa
 
-        model = shared.value
+        model = Automaton(*shared.value)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             for i, j in slices(offsets, CHUNK_BYTES):
@@ -262,7 +266,7 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, id_col: str = "d
 
     Null and empty texts are the end alone.  Repeated ids and rows are scored each on their
     own.  With an empty training table every word is unknown and both scores are equal."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.values())
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     got = saved(d.mapInArrow(_score(shared), f"row long, doc_id {kind}, n_tokens long, n_head long, base double, score double, rare array<string>"))
