@@ -19,6 +19,9 @@ Smoothing: P(w|v) = (c(vw) + mu P(w)) / (c(v) + mu) for kept n-grams; what is le
 v's probability goes to all other words in proportion to the lower order, so each
 state's probabilities sum to 1 (one unit of the root belongs to unknown words).  mu
 is chosen per order by leave-one-out likelihood on the training counts.
+
+This automaton is of a fixed size and leaves rarer n-grams out.  ``op7_lm_score`` does
+not use it: it scores with every n-gram of the corpus (``ngrams``).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngrams
 from .common import read, saved, worker_state
 from .language import held_out
 from .registry import query
@@ -284,8 +288,8 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, id_col: str = "d
 
 @query("op7_lm_score")
 def op7_lm_score(spark, sf_dir):
-    """Score of every document, learned from those that are not held out."""
+    """Score of every document, learned from all n-grams of those that are not held out."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    model, counts = train(docs.where(~held_out("doc_id", 10, 0)))
-    out = score(docs, model, counts)
-    return out.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = held_out("doc_id", 10, 0)
+    out = ngrams.score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -1,0 +1,138 @@
+"""Language-model scores from every n-gram of the corpus, as tables and partitioned joins.
+
+The backoff automaton of ``lm`` with nothing left out: its arcs are all n-grams of the
+training texts (once or more), its states all contexts.  With mu chosen per order,
+P(w|v) = (c(vw) + mu P(w)) / (c(v) + mu); as all followers of a context are kept, its
+failure arc weighs mu / (c(v) + mu), which is the same formula with c(vw) = 0.  An
+unseen context has c = 0 and leads to the order below.  So a score needs counts only:
+they are Parquet tables in the shared folder, which grow with the corpus, and nothing
+but sums and the two mus reach the driver.
+
+Each distinct n-gram of training and scored texts is one row (count 0 when only scored
+texts have it).  It meets its lower order and its context by joins on 64-bit codes, then
+the positions of the texts meet it.  Codes are taken as unequal for unequal n-grams: for
+10**9 distinct ones, about 0.03 pairs share a code by chance.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+from .textcodes import U64, Codes, buffers, mix64, slices
+
+ADD = 0.1                 # fixed value of the contract
+CHUNK_BYTES = 1 << 20
+MUS = [2.0 ** k for k in range(0, 21)]
+END = 0x5851F42D4C957F2D  # the end of a text, which is also the context of its first word
+NONE = 0                  # context of three-word n-grams at the first word: there is none
+
+
+def _positions(codes: Codes, data, offsets, i, j):
+    """Codes at every token of texts i to j (each closed by END): (word, pair, triple,
+    word before, pair before, number of the text)."""
+    o = offsets[i:j + 1] - offsets[i]
+    data = data[offsets[i]:offsets[j]]
+    starts, ends, first = codes.words(data, o)
+    n = np.diff(first) + 1
+    upto = np.cumsum(n)
+    word = np.full(int(upto[-1]), END, U64)
+    inside = np.ones(len(word), bool)
+    inside[upto - 1] = False
+    word[inside] = codes.word_codes(data, starts, ends)
+    before = np.full(len(word), END, U64)
+    before[1:] = word[:-1]                      # the word before a text's first is the END of the text before
+    pair = mix64(before * U64(0xD6E8FEB86659FD93) + word * U64(0xA0761D6478BD642F) + U64(2))
+    last = np.empty_like(pair)
+    last[1:] = pair[:-1]
+    last[upto - n] = NONE
+    triple = mix64(last * U64(0xE7037ED1A0B428DB) + word * U64(0x8EBC6AF09C88C6E3) + U64(3))
+    return word, pair, triple, before, last, np.repeat(np.arange(j - i), n)
+
+
+def _types(order: int):
+    def run(batches):
+        """(text, train) -> key, context, lower, n of the n-grams of an order; n counts training texts"""
+        import pyarrow as pa
+
+        codes = Codes()
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j in slices(offsets, CHUNK_BYTES):
+                word, pair, triple, before, last, text = _positions(codes, data, offsets, i, j)
+                key, context, lower = [(word, word, word), (pair, before, word), (triple, last, pair)][order - 1]
+                distinct, at, group = np.unique(key, return_index=True, return_inverse=True)
+                n = np.bincount(group, train[i:j][text], len(distinct)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (distinct, context[at], lower[at], n)],
+                                                 ["key", "context", "lower", "n"])
+    return run
+
+
+def _places(batches):
+    """(row, doc_id, text) -> row, doc_id, key of the triple at each token"""
+    import pyarrow as pa
+
+    codes = Codes()
+    for batch in batches:
+        data, offsets = buffers(batch.column(2))
+        for i, j in slices(offsets, CHUNK_BYTES):
+            *_, triple, _, _, text = _positions(codes, data, offsets, i, j)
+            of = pa.array(text + i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(triple.view(np.int64))],
+                                             ["row", "doc_id", "key"])
+
+
+def _best_mu(types: DataFrame, low: Column) -> float:
+    """The mu with the best leave-one-out likelihood of the training counts (one row to the driver)."""
+    n, of = F.col("n"), F.col("n_context")
+    sums = [F.coalesce(F.sum(n * F.log((n - 1 + mu * low) / (of - 1 + mu))), F.lit(0.0)) for mu in MUS]
+    got = types.where("n > 0").agg(*sums).first()
+    return MUS[max(range(len(MUS)), key=lambda k: got[k])]
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score,
+    learned from the rows where ``train`` holds.
+
+    Null and empty texts are the end alone.  Repeated ids and rows are scored each on their
+    own.  Without a training row every word is unknown and both scores are equal."""
+    spark = docs.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    t = docs.select(F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+
+    def types(order: int) -> DataFrame:
+        more = [F.first(c).alias(c) for c in ("context", "lower")] if order > 1 else []
+        return (t.mapInArrow(_types(order), "key long, context long, lower long, n long")
+                .groupBy("key").agg(F.sum("n").alias("n"), *more))
+
+    one = kept(types(1), "1")
+    tokens, distinct = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    p1 = (F.col("n") + ADD) / F.lit(tokens + ADD * (distinct + 1))
+    two = kept(types(2).join(one.select(F.col("key").alias("lower"), p1.alias("p1"), (F.col("n") > 0).alias("known")), "lower")
+               .join(one.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context")
+               .select("key", "n", "n_context", "p1", "known"), "2")
+    smooth = lambda mu, low: (F.col("n") + mu * low) / (F.col("n_context") + mu)
+    mu2 = _best_mu(two, F.col("p1"))
+    three = kept(types(3).join(two.select(F.col("key").alias("lower"), smooth(mu2, F.col("p1")).alias("p2"), "p1", "known"), "lower")
+                 .join(two.select(F.col("key").alias("context"), F.col("n").alias("n_context")), "context", "left")
+                 .select("key", F.when(F.col("context") == NONE, 0).otherwise(F.col("n")).alias("n"),
+                         F.coalesce("n_context", F.lit(0)).alias("n_context"), "p1", "p2", "known"), "3")
+    mu3 = _best_mu(three, F.col("p2"))
+    logs = three.select("key", "known", F.log10("p1").alias("base"), F.log10(smooth(mu3, F.col("p2"))).alias("log"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return (d.mapInArrow(_places, f"row long, doc_id {kind}, key long").join(logs, "key")
+            .groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), F.count(F.when(F.col("known"), 1)).alias("n_known"),
+                                          F.sum("base").alias("base_score"), F.sum("log").alias("score"))
+            .select(F.col("doc_id").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+                    "base_score", "score"))

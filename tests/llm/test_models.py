@@ -197,3 +197,42 @@ def test_pipeline_stages_keep_columns_and_rows(spark, tmp_path):
 def test_all_queries_are_registered():
     assert [n.split("_")[0] for n in sorted(LLM_QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
     assert set(LLM_ORACLE) <= set(LLM_QUERIES)
+
+
+def test_lm_query_scores_with_every_ngram(spark, tmp_path):
+    rows = [(100 + k, f"{PROSE.split()[k % 9]} rare{k} {PROSE.split()[k % 7]} rare{k % 40} end", "en", "s", 1, 1, "x") for k in range(80)]
+    rows += [r for r in awkward_rows(3000) if r[0] is not None]
+    awkward(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = LLM_QUERIES["op7_lm_score"](spark, str(tmp_path)).collect()
+    held = {r["doc_id"]: r["held_out"] for r in got}
+    assert len(got) == len(rows) and len(set(held.values())) == 2
+    tokens = lambda t: [*words((t or "").translate(LOWER)), ""]
+    one, two, three = Counter(), Counter(), Counter()
+    for r in rows:
+        if not held[r[0]]:
+            w = tokens(r[1])
+            one.update(w)
+            two.update(zip(["", *w], w))
+            three.update(zip(["", *w], w, w[1:]))
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def best(counts, of, low):
+        return max(lm.MUS, key=lambda mu: sum(c * math.log((c - 1 + mu * low(g)) / (of(g) - 1 + mu)) for g, c in counts.items()))
+
+    mu2 = best(two, lambda g: one[g[0]], lambda g: p1(g[1]))
+    p2 = lambda a, w: (two[a, w] + mu2 * p1(w)) / (one[a] + mu2)
+    mu3 = best(three, lambda g: two[g[:2]], lambda g: p2(*g[1:]))
+
+    def brute(text):
+        w = ["", *tokens(text)]
+        logs = [math.log10(p2(w[0], w[1]))]
+        logs += [math.log10((three[g] + mu3 * p2(*g[1:])) / (two[g[:2]] + mu3)) for g in zip(w, w[1:], w[2:])]
+        return len(w) - 1, sum(one[x] > 0 for x in w[1:]), n, base_log(w[1:], one, n, v), sum(logs)
+
+    want = sorted(((r[0], *brute(r[1])) for r in rows))
+    have = sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    assert [x[:4] for x in have] == [x[:4] for x in want]
+    assert [y for x in have for y in x[4:]] == pytest.approx([y for x in want for y in x[4:]])
+    spark.createDataFrame([], awkward(spark).schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert LLM_QUERIES["op7_lm_score"](spark, str(tmp_path / "none")).count() == 0
