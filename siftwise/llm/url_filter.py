@@ -12,8 +12,10 @@ Every count is a partial aggregate, so a host with a third of all pages costs on
 row per task.  The table of nodes is joined to the pages by host; Spark splits a
 hot host's side when it is skewed (the node side has one row per host).
 
-Rows: null urls and urls without ``://`` have host and path '' and no rule; they
-are judged by the prior of the whole table.  Repeated rows are each judged.
+Rows: null urls and urls without ``://`` have host and path '' and no rule.  Hosts
+without a labelled page (the host '' too) have no posterior, as in the SQL: their pages
+are allowed but for rules, whatever their domain's or suffix's rate.  Repeated rows are
+each judged.
 Labels: null outcomes are ignored, repeated labels count once each.  An empty
 label table blocks nothing but by rule.
 """
