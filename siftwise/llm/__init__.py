@@ -9,8 +9,10 @@ from . import (  # noqa: F401  (registration side effects)
     near_dup,
     packing,
     quality,
+    resample,
     sharding,
     token_counts,
+    trie,
     url_filter,
 )
 from .registry import LLM_ORACLE, LLM_QUERIES  # noqa: F401
