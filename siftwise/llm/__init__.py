@@ -1,5 +1,6 @@
 """Training-data operators: quality, language, near duplicates, sharding, token counts,
-language-model scores, URL filters, mixing and packing.  Nothing else in the library imports this."""
+language-model scores, URL filters, mixing, packing,
+personal data, resampling and conversation tries.  Nothing else in the library imports this."""
 
 from . import (  # noqa: F401  (registration side effects)
     embed_dup,
@@ -8,6 +9,7 @@ from . import (  # noqa: F401  (registration side effects)
     mixing,
     near_dup,
     packing,
+    pii,
     quality,
     resample,
     sharding,
