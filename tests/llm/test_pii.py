@@ -1,5 +1,6 @@
 """Personal data: base spans against plain regular expressions, EM, added spans, masking."""
 import hashlib
+import math
 import re
 
 from siftwise.llm import pii
@@ -76,12 +77,15 @@ def test_empty_table_and_no_candidates(spark):
 def em_plain(patterns, rounds):
     """The same estimate, span by span, with probabilities instead of logarithms."""
     spans = [(base, v) for base, v, n in patterns for _ in range(n)]
-    post = [1.0 if b else 1 / (1 + 9 * 4.0 ** (v.count(0) - v.count(1))) for b, v in spans]
+    odds = [{1: t, 0: 1 / t, -1: 1.0} for t, _ in pii.TRUST]
+    post = [1.0 if b else (o := math.prod(d[x] for d, x in zip(odds, v)) / 9) / (1 + o) for b, v in spans]
     for _ in range(rounds):
         share = (1 + sum(post)) / (2 + len(spans))
         like = []
         for k in range(len(spans[0][1])):
-            t = {x: [a, b] for x, a, b in ((1, 1.6, 0.4), (0, 0.4, 1.6), (-1, 1.0, 1.0))}
+            right, n = pii.TRUST[k]
+            a = n * right / (1 + right)
+            t = {1: [a, n - a], 0: [n - a, a], -1: [1.0, 1.0]}
             for p, (_, v) in zip(post, spans):
                 t[v[k]][0] += p
                 t[v[k]][1] += 1 - p
