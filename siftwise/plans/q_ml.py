@@ -4,31 +4,34 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from ..config import EVAL_MIN_DF, QUERY_BATCH_FORUM, SEED_SIZE
+from ..config import EVAL_MIN_DF, NB_ALPHAS, QUERY_BATCH_FORUM, RANDOM_SEED, SEED_SIZE
 from ..functions import text as X
 from ..functions.normalise import normalise_unicode
 from ..operators import active as A
+from ..operators import blocks as BL
+from ..operators import boosting as G
 from ..operators import classify as C
+from ..operators import linear as L
+from ..operators import lsa as E
 from ..operators import models as ML
 from ..operators import naive_bayes as NB
 from ..operators import sampling as Q
 from ..operators import tfidf as T
 from ..operators import votes as V
 from ..sources.tables import table
+from . import sql as S
 from .cache import memo
 from .q_labels import UNANIMOUS_MODELS
-from .q_models import NB_ALPHA, holdout_column, pool_features
+from .q_models import NB_ALPHA, holdout_column, pool_features, stop_table
 from .q_text import clean_articles, seed_candidate_table
 from .q_votes import fixture_first_votes
 from .registry import query
 
-LEARNING_CURVE_SIZES = [100, 200, 300]
+LEARNING_CURVE_SIZES = [200, 250, 300, 350, 400]
 
 
 def scratch_dir(spark, name: str) -> str:
@@ -47,117 +50,192 @@ def article_normalise(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- L2-L4 L6 L9 M8 U2
-def embedding_split(spark, sf_dir):
+def labelled_rows(features, labelled):
+    """Rows of a comparison: (id, label, fold, pos, features) of the labelled items that have features."""
+    return features.join(labelled.select("id", "label", "fold", "pos"), "id").select("id", "label", "fold", "pos", "features")
+
+
+def with_folds(train, test):
+    """Folds of the training items; fold and pos of test items, and pos here, are not used."""
+    tr = ML.fold_column(train.select("id", "label")).withColumn("pos", F.lit(0)).checkpoint()
+    return tr, test.select("id", "label", F.lit(0).alias("fold"), F.lit(0).alias("pos"))
+
+
+def embedding_branch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
-        F.col("vec_id").alias("id"), "embedding", (F.col("label") < 5).cast("int").alias("label"))
+        F.col("vec_id").alias("id"), F.col("embedding").alias("features"), (F.col("label") < 5).cast("int").alias("label"))
     split = holdout_column(e.select("id", "label"), 0.25)
-    data = C.to_features(e).join(split.select("id", "split"), "id").checkpoint()
-    train = ML.fold_column(data.where(F.col("split") == "train")).checkpoint()
-    return train, data.where(F.col("split") == "test")
+    tr, te = with_folds(split.where(F.col("split") == "train"), split.where(F.col("split") == "test"))
+    features = e.select("id", "features")
+    width = features.select(F.size("features")).first()[0]
+    return ML.Branch("embeddings", "gold", labelled_rows(features, tr), labelled_rows(features, te), width, False, ML.DENSE_MODELS)
 
 
 def llm_label_sets(spark, sf_dir):
-    """(train, test) as (id, label, text): unanimous annotator labels minus
+    """(train, test) as (id, label, text, lang): unanimous annotator labels minus
     gold items for training, the gold items for testing."""
     agreed = V.unanimous(fixture_first_votes(spark, sf_dir).where(F.col("model").isin(UNANIMOUS_MODELS)),
                          UNANIMOUS_MODELS)
     gold = table(spark, sf_dir, "labels", "doc_id", "quality").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
-        .where(X.has_text("text"))
+    docs = text_items(spark, sf_dir)
     return agreed.join(gold.select("id"), "id", "left_anti").join(docs, "id"), gold.join(docs, "id")
 
 
-def tfidf_split(train, test):
-    """TF-IDF branch: (1,2)-gram sublinear TF-IDF fitted on the training texts only,
-    as sparse vectors for MLlib."""
-    train_terms = T.doc_terms(train, ngrams=(1, 2)).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = T.fit_vocabulary(train_terms, train.select(F.count("*")).scalar(), min_df=EVAL_MIN_DF).checkpoint()
-    index = T.vocabulary_index(vocab)
-
-    def vectors(df, terms):
-        v = T.to_sparse_vectors(T.transform(terms, vocab, sublinear=True), index, df)
-        return v.join(df.select("id", "label"), "id").checkpoint()
-
-    tr = vectors(train, train_terms)
-    te = vectors(test, T.doc_terms(test, ngrams=(1, 2)))
-    train_terms.unpersist()
-    return ML.fold_column(tr).checkpoint(), te
+def text_items(spark, sf_dir):
+    return (table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumnRenamed("doc_id", "id")
+            .where(X.has_text("text")))
 
 
 def human_label_sets(spark, sf_dir):
-    """(train, test) as (id, label, text): active-learning labels minus gold items for
+    """(train, test) as (id, label, text, lang): active-learning labels minus gold items for
     training, the gold items for testing (gold: two thirds of the labels here)."""
     lab = table(spark, sf_dir, "labels", "doc_id", "quality").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     gold = lab.where(F.col("id") % 3 != 1)
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id") \
-        .where(X.has_text("text"))
+    docs = text_items(spark, sf_dir)
     labelled = lab.where(F.col("id") % 3 != 0).join(gold.select("id"), "id", "left_anti")
     return labelled.join(docs, "id"), gold.join(docs, "id")
 
 
-def hashed_split(train, test):
-    """Hashed-text branch: encoded once and checkpointed, so every CV fit re-reads
-    features instead of re-running the encoder."""
-    tr = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text")).checkpoint()
-    te = C.to_features(C.encode(test).where(F.col("error").isNull()).drop("text")).checkpoint()
-    return ML.fold_column(tr).checkpoint(), te
+def tfidf_branch(source, train, test, tr, te):
+    """(1,2)-gram sublinear TF-IDF fitted on the training texts only, as sparse features."""
+    train_terms = T.doc_terms(train, ngrams=(1, 2)).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = T.fit_vocabulary(train_terms, train.select(F.count("*")).scalar(), min_df=EVAL_MIN_DF).checkpoint()
+    index = T.vocabulary_index(vocab)
+    rows = [labelled_rows(T.sparse_features(T.transform(terms, vocab, sublinear=True), index, docs), lab).checkpoint()
+            for terms, docs, lab in ((train_terms, train, tr), (T.doc_terms(test, ngrams=(1, 2)), test, te))]
+    train_terms.unpersist()
+    return ML.Branch("tfidf", source, *rows, max(1, vocab.count()), True, ML.TEXT_MODELS)
 
 
-def cv_table(spark, sf_dir):
-    """Feature branches by label source (annotators, human labels; the embeddings table
-    has labels of its own); the result is checkpointed and reused within one application."""
-    sources = [("annotators", llm_label_sets), ("human", human_label_sets)]
+def hashed_branch(source, train, test, tr, te):
+    """Hashed-text features, encoded once; items whose encoding fails are left out."""
+    rows = [labelled_rows(C.encode(d.select("id", "text")).where(F.col("error").isNull()).select("id", F.col("embedding").alias("features")), lab).checkpoint()
+            for d, lab in ((train, tr), (test, te))]
+    return ML.Branch("hashed-text", source, *rows, C.EMBED_DIM, False, ML.DENSE_MODELS)
+
+
+def text_vectors(spark, sf_dir):
+    """V3: the second encoder, fitted on the pool: (vocabulary, term vectors, their length)."""
+    def build():
+        _, vocab, w = pool_features(spark, sf_dir, persist=True, reuse_weights=True)
+        vectors, values = E.fit(w, vocab)
+        return vocab, vectors, len(values)
+    return memo(spark, ("text_vectors", sf_dir), build)
 
-    def embeddings():
-        tr, te = embedding_split(spark, sf_dir)
-        return ML.evaluate_branch(tr, te, "embeddings", "gold")
 
-    def hashed(source, sets):
-        return lambda: ML.evaluate_branch(*hashed_split(*sets(spark, sf_dir)), "hashed-text", source)
+def vectors_branch(spark, sf_dir, source, train, test, tr, te):
+    """Texts as unit vectors in the space of the pool's leading singular vectors."""
+    vocab, vectors, width = text_vectors(spark, sf_dir)
+    def features(docs):
+        w = T.transform(T.doc_terms(docs, stop_words=stop_table(spark)), vocab, broadcast_vocab=True)
+        return E.encode(docs, w, vectors, width)
+    rows = [labelled_rows(features(d), lab).checkpoint() for d, lab in ((train, tr), (test, te))]
+    return ML.Branch("text-vectors", source, *rows, width, False, ML.DENSE_MODELS)
 
-    def tfidf(source, sets):
-        return lambda: ML.evaluate_branch(*tfidf_split(*sets(spark, sf_dir)), "tfidf", source,
-                                          names=["Naive Bayes", "SVM (Linear)", "Logistic Regression"])
 
+def text_branches(spark, sf_dir, source, train, test, tr, te):
+    """Builders of the three text branches over one pair of sets."""
+    train, test = train.checkpoint(), test.checkpoint()
+    return [lambda: tfidf_branch(source, train, test, tr, te), lambda: hashed_branch(source, train, test, tr, te),
+            lambda: vectors_branch(spark, sf_dir, source, train, test, tr, te)]
+
+
+def built(jobs):
+    """Branches from independent builders, submitted together."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(fn) for fn in jobs]]
+
+
+def cv_table(spark, sf_dir):
+    """Six text branches (three encoders by two label sources) and the embeddings table, whose
+    labels are its own; all models of all branches are fitted together."""
     def build():
-        # the branches are independent Spark jobs: submit them concurrently
-        jobs = [embeddings, *[f(*s) for s in sources for f in (hashed, tfidf)]]
-        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-            parts = [f.result() for f in [pool.submit(fn) for fn in jobs]]
-        return reduce(lambda a, b: a.unionByName(b), parts).checkpoint()
+        text_vectors(spark, sf_dir)
+        jobs = [lambda: embedding_branch(spark, sf_dir)]
+        for source, sets in (("annotators", llm_label_sets), ("human", human_label_sets)):
+            train, test = sets(spark, sf_dir)
+            jobs += text_branches(spark, sf_dir, source, train, test, *with_folds(train, test))
+        return ML.result_table(spark, ML.compare(built(jobs))).drop("n_labels").checkpoint()
     return memo(spark, ("cv", sf_dir), build)
 
 
 @query("cv_results")
 def cv_results(spark, sf_dir):
     """Grid-searched, cross-validated models per feature branch and label source."""
-    return cv_table(spark, sf_dir)
+    return cv_table(spark, sf_dir).orderBy("branch", "label_source", F.col("cv_f1").desc(), "place").drop("place")
 
 
 @query("best_model")
 def best_model(spark, sf_dir):
     """M9: the best configuration overall by Cohen's kappa (earlier rows win ties)."""
-    res = cv_table(spark, sf_dir).withColumn("_order", F.monotonically_increasing_id())
-    return ML.best_overall(res)
+    return ML.best_overall(cv_table(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- L11 L12
+def curve_sets(spark, sf_dir):
+    """All labelled texts with their position in label order (by id), split 75/25."""
+    lab = table(spark, sf_dir, "labels", "doc_id", "quality").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    items = lab.join(text_items(spark, sf_dir), "id")
+    pos = Q.with_position(items.select("id", "label"), ["id"])
+    split = holdout_column(pos.select("id", "label"), 0.25).select("id", "split")
+    labelled = pos.join(split, "id").checkpoint()
+    tr = ML.fold_column(labelled.where(F.col("split") == "train").select("id", "label")).join(labelled.select("id", "pos"), "id").checkpoint()
+    te = labelled.where(F.col("split") == "test").select("id", "label", F.lit(0).alias("fold"), "pos")
+    keep = lambda part: items.join(part.select("id"), "id", "left_semi")
+    return keep(tr), keep(te), tr, te
 
 
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
-    """Test quality as the number of training labels grows (label order = id)."""
-    tr, te = embedding_split(spark, sf_dir)
-    ordered = Q.with_position(tr.drop("fold"), ["id"])          # label order, positions computed once
-    rows = []
-    for n in LEARNING_CURVE_SIZES:
-        part = ML.with_class_weights(ordered.where(F.col("pos") < n).drop("pos")).cache()
-        k = part.count()
-        lr = LogisticRegression(weightCol="weight", standardization=False, regParam=1.0 / max(k, 1), maxIter=100)
-        s, rep = ML.test_scores(lr.fit(part).transform(te))
-        r = s.select("f1_1", "kappa").first()
-        part.unpersist()
-        rows.append((n, k, r["f1_1"], r["kappa"]))
-    return spark.createDataFrame(rows, "n_labels long, n_train long, test_f1 double, kappa double")
+    """All models and text branches on the first 200 to 400 labels (what is trained and tested
+    on with n labels is part of what is with more).  Vectorisers are fitted once, on all training texts."""
+    train, test, tr, te = curve_sets(spark, sf_dir)
+    rows = ML.compare(built(text_branches(spark, sf_dir, "human", train, test, tr, te)), tuple(LEARNING_CURVE_SIZES))
+    trained = tr.select(*[F.sum((F.col("pos") < k).cast("long")).alias(str(k)) for k in LEARNING_CURVE_SIZES]).first()
+    n = spark.createDataFrame([(k, trained[str(k)]) for k in LEARNING_CURVE_SIZES], "n_labels int, n_train long")
+    return ML.result_table(spark, rows).join(F.broadcast(n), "n_labels").drop("label_source", "place")
+
+
+_CURVE_SQL = f"""
+WITH lab AS (SELECT l.doc_id AS id, l.quality AS label, d.text, row_number() OVER (ORDER BY l.doc_id) - 1 AS pos,
+                    row_number() OVER (ORDER BY md5('{RANDOM_SEED}:' || l.doc_id::VARCHAR), l.doc_id) - 1 < ceil(count(*) OVER () * 0.25) AS is_test
+             FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL AND d.text <> ''),
+toks AS (SELECT id, label, pos, is_test, {S.tokens('text')} AS t FROM lab),
+grams AS (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks),
+terms AS (SELECT id, term, count(*) AS cnt FROM grams GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM lab WHERE NOT is_test),
+vocab AS (SELECT term, ln((1 + any_value(n.n)) / (1 + count(*))) + 1 AS idf FROM terms JOIN lab USING (id), n WHERE NOT is_test
+          GROUP BY term HAVING count(*) >= {EVAL_MIN_DF}),
+w0 AS (SELECT id, term, (1 + ln(cnt)) * idf AS w FROM terms JOIN vocab USING (term)),
+weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w0),
+sizes AS (SELECT unnest([{', '.join(map(str, LEARNING_CURVE_SIZES))}]) AS n_labels),
+alphas AS (SELECT unnest([{', '.join(map(str, NB_ALPHAS))}]::DOUBLE[]) AS alpha),
+sums AS (SELECT n_labels, term, sum(weight) FILTER (WHERE label = 0) AS s0, sum(weight) FILTER (WHERE label = 1) AS s1
+         FROM sizes JOIN lab ON pos < n_labels AND NOT is_test JOIN weights USING (id) GROUP BY ALL),
+smooth AS (SELECT n_labels, alpha, term, coalesce(s0, 0) + alpha AS a0, coalesce(s1, 0) + alpha AS a1
+           FROM sizes CROSS JOIN alphas CROSS JOIN vocab LEFT JOIN sums USING (n_labels, term)),
+model AS (SELECT n_labels, alpha, term, ln(a1 / sum(a1) OVER g) - ln(a0 / sum(a0) OVER g) AS ratio FROM smooth WINDOW g AS (PARTITION BY n_labels, alpha)),
+prior AS (SELECT n_labels, ln(count(*) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 0)) AS p FROM sizes JOIN lab ON pos < n_labels AND NOT is_test GROUP BY n_labels),
+odds AS (SELECT lab.id, label, prior.n_labels, alphas.alpha, any_value(p) + coalesce(sum(weight * ratio), 0) AS o
+         FROM prior JOIN lab ON pos < n_labels AND is_test CROSS JOIN alphas LEFT JOIN weights USING (id)
+         LEFT JOIN model ON model.n_labels = prior.n_labels AND model.alpha = alphas.alpha AND model.term = weights.term GROUP BY lab.id, label, prior.n_labels, alphas.alpha)
+SELECT n_labels, alpha, count(*) FILTER (WHERE label = 0 AND NOT o > 0) AS tn, count(*) FILTER (WHERE label = 0 AND o > 0) AS fp,
+       count(*) FILTER (WHERE label = 1 AND NOT o > 0) AS fn, count(*) FILTER (WHERE label = 1 AND o > 0) AS tp
+FROM odds GROUP BY n_labels, alpha"""
+
+
+@query("learning_curve_bayes", _CURVE_SQL)
+def learning_curve_bayes(spark, sf_dir):
+    """The naive Bayes models of the curve, every size by every smoothing, on the test texts."""
+    train, test, tr, te = curve_sets(spark, sf_dir)
+    b = tfidf_branch("human", train, test, tr, te)
+    columns = [L.Column(b.key, L.BAYES, a, BL.Part(-1, n)) for n in LEARNING_CURVE_SIZES for a in NB_ALPHAS]
+    weights = L.fit(BL.pack(b.train, b.key, b.width, True), columns, {b.key: b.width})
+    got = L.counts(BL.pack(b.test, b.key, b.width, True), columns, weights, False)
+    return spark.createDataFrame([(c.part.limit, c.value, *got.get(k, (0, 0, 0, 0))) for k, c in enumerate(columns)],
+                                 "n_labels int, alpha double, tn long, fp long, fn long, tp long")
 
 
 # ----------------------------------------------------------------- V3-V5 L10 K3 K8 J7
@@ -167,8 +245,10 @@ def trained_text_model(spark, sf_dir):
     and streaming classification queries."""
     def build():
         train, _ = llm_label_sets(spark, sf_dir)
-        enc = C.to_features(C.encode(train).where(F.col("error").isNull()).drop("text")).checkpoint()
-        return ML.boosted_trees().fit(ML.with_class_weights(enc))
+        enc = C.encode(train.select("id", "label", "text")).where(F.col("error").isNull())
+        model = G.fit_one(enc.select("id", "label", F.col("embedding").alias("features")).checkpoint(), ML.BULK, C.EMBED_DIM)
+        model.features = "embedding"
+        return model
     return memo(spark, ("text_model", sf_dir), build)
 
 
