@@ -86,6 +86,23 @@ TOPIC_SNIPPETS = [
 ]
 
 
+# Damaged text and what it was, one per document in turn: UTF-8 read as cp1252 or Latin-1, once or
+# twice, between clean accents and other scripts; entities; text that only looks damaged.
+DAMAGED = [
+    ("", ""),
+    ("caf\u00c3\u00a9 \u00c3\u00a0 la cr\u00c3\u00a8me", "caf\u00e9 \u00e0 la cr\u00e8me"),
+    ("d\u00e9j\u00e0 vu, caf\u00c3\u00a9", "d\u00e9j\u00e0 vu, caf\u00e9"),
+    ("\u65e5\u672c caf\u00c3\u00a9 \u65e5", "\u65e5\u672c caf\u00e9 \u65e5"),
+    ("it\u00e2\u20ac\u2122s \u00e2\u20ac\u0153so\u00e2\u20ac\u009d", "it\u2019s \u201cso\u201d"),
+    ("\u00c3\u0192\u00c2\u00a9t\u00c3\u0192\u00c2\u00a9 et caf\u00c3\u00a9", "\u00e9t\u00e9 et caf\u00e9"),
+    ("\u00abCAF\u00c9\u00bb \u00c7A", "\u00abCAF\u00c9\u00bb \u00c7A"),
+    ("\u00d0\u00bf\u00d1\u20ac\u00d0\u00b8\u00d0\u00b2\u00d0\u00b5\u00d1\u201a!", "\u043f\u0440\u0438\u0432\u0435\u0442!"),
+    ("10\u00e2\u201a\u00ac &amp; \u00c2\u00a9 &eacute;", "10\u20ac & \u00a9 \u00e9"),
+    ("na\u00efve fa\u00e7ade \u00c0 \u00c3 \u00c2", "na\u00efve fa\u00e7ade \u00c0 \u00c3 \u00c2"),
+    ("\u00f0\u0178\u02dc\u20ac ok", "\U0001f600 ok"),
+]
+
+
 def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)``: every document with one of the snippets after it."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")

@@ -103,3 +103,20 @@ def test_word_count_at_least_is_exact(spark):
              " ".join(["w"] * 101), " ".join(["w"] * 100)]
     for c in cases:
         assert one(spark, c, X.word_count_at_least("t", 100)) == (len(c.split()) >= 100), repr(c[:20])
+
+
+def test_repair_of_damaged_runs():
+    from siftwise.functions.normalise import normalise_text, repair_mojibake
+    from siftwise.plans.fixtures import DAMAGED
+
+    for damaged, clean in DAMAGED:
+        assert normalise_text(damaged) == clean
+        assert normalise_text(clean) == clean
+    for text in ("\u00e9t\u00e9 \u65e5\u672c \u20ac", "\u00c9\u00bb", "\u00df\u00bb \u00d6\u00b0", "", "plain"):
+        assert repair_mojibake(text) == text
+    for text in ("\u00e9t\u00e9 \u20ac\u2019", "\u043f\u0440\u0438\u0432\u0435\u0442", "\U0001f600"):
+        once = text.encode().decode("cp1252", "ignore") if "\u20ac" in text else text.encode().decode("latin-1")
+        twice = once.encode().decode("latin-1")
+        assert repair_mojibake(once) == text and repair_mojibake(twice) == text
+    long = "x \u00c3\u00a9 " * 50000
+    assert repair_mojibake(long) == "x \u00e9 " * 50000
