@@ -15,7 +15,8 @@ from ..functions import keywords as K
 from ..functions import text as X
 from ..operators import sampling as Q
 from ..sources.config_tables import SYSTEM_PROMPTS, lang_config
-from ..sources.tables import articles_from_pages, items, table
+from ..sources import feeds as FD
+from ..sources.tables import ITEM_SCHEMA, articles_from_pages, items, read_articles_json, table
 from . import sql as S
 from .cache import memo, persisted
 from .fixtures import TOPIC_SNIPPETS, topic_documents
@@ -127,6 +128,19 @@ def article_scan(spark, sf_dir):
                     F.col("ocr_xml").isNotNull().alias("has_ocr")))
 
 
+@query("article_feed", S.with_ctes(ARTICLES_CTE) + f"""
+SELECT identifier, title, length(plain_text) AS plain_chars, length(ocr_xml) AS ocr_chars FROM articles
+WHERE title IS DISTINCT FROM {S.q(ADVERTISEMENT_TITLE)} AND ocr_xml IS NOT NULL""")
+def article_feed(spark, sf_dir):
+    """The newspaper rows as NDJSON files of the eight string fields, read with the fixed schema."""
+    from .q_ml import scratch_dir
+    base = f"{scratch_dir(spark, 'articles')}/feed"
+    articles_from_pages(spark, sf_dir).drop("article_id").write.json(base)
+    a = read_articles_json(spark, base)
+    kept = a.where(~F.col("title").eqNullSafe(ADVERTISEMENT_TITLE) & F.col("ocr_xml").isNotNull())
+    return kept.select("identifier", "title", F.length("plain_text").cast("long").alias("plain_chars"), F.length("ocr_xml").cast("long").alias("ocr_chars"))
+
+
 @query("lang_config", S.with_ctes(LANG_CTE) + """
 SELECT l.lang, count(d.doc_id) AS n_docs, len(l.keywords) AS n_keywords,
        length(l.system_prompt) AS prompt_chars
@@ -173,19 +187,19 @@ def seed_candidate_table(spark, sf_dir):
             .where((F.col("hits") >= SEED_MIN_DISTINCT_HITS) & (F.col("n_chars") >= SEED_MIN_CHARS)))
 
 
-_CAND_SQL = S.with_ctes(ITEMS_CTE, LANG_CTE, f"""cand AS (
+CAND_SQL = S.with_ctes(ITEMS_CTE, LANG_CTE, f"""cand AS (
   SELECT i.id, i.lang, {_HITS_SQL} AS hits, length(i.text) AS n_chars
   FROM items i LEFT JOIN lang_config l ON i.lang = l.lang
   WHERE {_HITS_SQL} >= {SEED_MIN_DISTINCT_HITS} AND length(i.text) >= {SEED_MIN_CHARS})""")
 
 
-@query("seed_candidates", _CAND_SQL + "SELECT id, lang, hits, n_chars FROM cand")
+@query("seed_candidates", CAND_SQL + "SELECT id, lang, hits, n_chars FROM cand")
 def seed_candidates(spark, sf_dir):
     """at least four distinct keywords and at least 150 characters."""
     return seed_candidate_table(spark, sf_dir).select("id", "lang", "hits", "n_chars")
 
 
-@query("seed_sample", _CAND_SQL + f"""
+@query("seed_sample", CAND_SQL + f"""
 , chosen AS (
   SELECT id FROM cand WHERE (SELECT count(*) FROM cand) >= {SEED_SIZE}
   UNION ALL SELECT id FROM items WHERE (SELECT count(*) FROM cand) < {SEED_SIZE})
@@ -259,6 +273,35 @@ def head_ratio_sample(spark, sf_dir):
     return Q.head_ratio(it, ["source_rank", "seq"], HEAD_RATIO).select("id", "source_rank", "seq", "pos")
 
 
+HEAD_ROWS = 333
+
+
+def item_feed(spark, sf_dir):
+    """The items as a feed of NDJSON files, in the order of source and position: its folder."""
+    from .q_ml import scratch_dir
+    base = f"{scratch_dir(spark, 'feed')}/items"
+    (items(spark, sf_dir).repartitionByRange(7, "source_rank", "seq").sortWithinPartitions("source_rank", "seq")
+     .select(F.col("id").cast("string").alias("id"), "text").write.json(base))
+    return base
+
+
+_FEED_SQL = "SELECT id, len(text)::BIGINT AS n_chars FROM (SELECT *, row_number() OVER (ORDER BY source_rank, seq) AS n, count(*) OVER () AS all_rows FROM items)"
+
+
+@query("feed_head", S.with_ctes(ITEMS_CTE) + _FEED_SQL + f" WHERE n <= {HEAD_ROWS}")
+def feed_head(spark, sf_dir):
+    """S3: the first 333 records of the feed in file order; only the files they lie in are read."""
+    got = FD.head(spark, item_feed(spark, sf_dir), ITEM_SCHEMA, HEAD_ROWS)
+    return got.select(F.col("id").cast("long").alias("id"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("feed_ratio_head", S.with_ctes(ITEMS_CTE) + _FEED_SQL + f" WHERE n <= greatest(1, ceil(all_rows * {HEAD_RATIO}))")
+def feed_ratio_head(spark, sf_dir):
+    """the first ceil(10%) records of the feed in file order."""
+    got = FD.head_ratio(spark, item_feed(spark, sf_dir), ITEM_SCHEMA, HEAD_RATIO)
+    return got.select(F.col("id").cast("long").alias("id"), F.length("text").cast("long").alias("n_chars"))
+
+
 # ----------------------------------------------------------------- Q3 F12 Q5
 _QUEUE_KW = "coalesce(l.keywords, [])"
 
