@@ -26,15 +26,49 @@ def fit_wide(weights: DataFrame, labels: DataFrame, vocab: DataFrame, alpha: flo
         *[F.sum(F.when(F.col("label") == c, F.col("weight")).otherwise(0.0)).alias(f"fc{c}") for c in CLASSES]))
     full = vocab.select("term").join(per_term, "term", "left").select(
         "term", *[F.coalesce(f"fc{c}", F.lit(0.0)).alias(f"fc{c}") for c in CLASSES])
-    sizes = full.select(F.struct(F.count("*").alias("v"),
-                                 *[F.sum(f"fc{c}").alias(f"t{c}") for c in CLASSES]).alias("s")).scalar()
-    model = full.select("term", *[F.log((F.col(f"fc{c}") + alpha) / (sizes[f"t{c}"] + alpha * sizes["v"]))
-                                  .alias(f"lp{c}") for c in CLASSES])
+    model = _model(full, alpha)
     counts = lab.groupBy("label").agg(F.count("*").alias("n_c"))
     priors = counts.select("label", F.log(F.col("n_c") / counts.select(F.sum("n_c")).scalar()).alias("log_prior"))
     return model, priors
 
 
+def count_changes(weights: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a change of labels does to the model's counts: (term, fc0, fc1) to be added to what is
+    there; the row with a null term holds the documents of each class.
+
+    ``before`` and ``after``: (id, label).  Only documents whose label is new, gone or another
+    are read; a changed label takes from one class what it gives to the other."""
+    moved = (after.select("id", F.col("label").alias("new")).join(before.select("id", F.col("label").alias("old")), "id", "full_outer")
+             .where(~F.col("new").eqNullSafe(F.col("old"))))
+    sign = lambda c: (F.coalesce(F.col("new") == c, F.lit(False)).cast("int") - F.coalesce(F.col("old") == c, F.lit(False)).cast("int"))
+    moved = moved.select("id", *[sign(c).alias(f"s{c}") for c in CLASSES])
+    terms = weights.join(moved, "id").groupBy("term").agg(*[F.sum(F.col("weight") * F.col(f"s{c}")).alias(f"fc{c}") for c in CLASSES])
+    docs = moved.agg(*[F.coalesce(F.sum(f"s{c}"), F.lit(0)).cast("double").alias(f"fc{c}") for c in CLASSES])
+    return terms.unionByName(docs.withColumn("term", F.lit(None).cast("string")))
+
+
+COUNTS = "term string, fc0 double, fc1 double"
+
+
+def from_counts(changes: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(model, priors) as of :func:`fit_wide`, from all changes so far (``COUNTS``); a class without
+    documents has no prior."""
+    counts = changes.groupBy("term").agg(*[F.sum(f"fc{c}").alias(f"fc{c}") for c in CLASSES])
+    full = vocab.select("term").join(counts.where(F.col("term").isNotNull()), "term", "left").select(
+        "term", *[F.coalesce(f"fc{c}", F.lit(0.0)).alias(f"fc{c}") for c in CLASSES])
+    docs = counts.where(F.col("term").isNull()).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("label"), F.col(f"fc{c}").alias("n")) for c in CLASSES])).alias("x")).select("x.label", "x.n").where(F.col("n") > 0)
+    return _model(full, alpha), docs.select("label", F.log(F.col("n") / docs.select(F.sum("n")).scalar()).alias("log_prior"))
+
+
+def _model(full: DataFrame, alpha: float) -> DataFrame:
+    """(term, lp0, lp1) from the summed weights (term, fc0, fc1) of the whole vocabulary."""
+    sizes = full.select(F.struct(F.count("*").alias("v"),
+                                 *[F.sum(f"fc{c}").alias(f"t{c}") for c in CLASSES]).alias("s")).scalar()
+    return full.select("term", *[F.log((F.col(f"fc{c}") + alpha) / (sizes[f"t{c}"] + alpha * sizes["v"]))
+                                 .alias(f"lp{c}") for c in CLASSES])
+
+
 def fit(weights: DataFrame, labels: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Long form ``(log_probs (label, term, log_prob), priors)`` of :func:`fit_wide`."""
     model, priors = fit_wide(weights, labels, vocab, alpha)

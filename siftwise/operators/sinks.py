@@ -9,8 +9,11 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import model_slug
+from ..sources.tables import VERDICT_SCHEMA
+from . import versions as VS
 from .metrics import LEADERBOARD_HEADER
 
 SOURCES = ("hub", "local")
@@ -23,13 +26,34 @@ def source_path(source: str, hub_path: str, local_path: str) -> str:
     return hub_path if source == "hub" else local_path
 
 
-def write_verdicts(verdicts: DataFrame, path: str, run_ts: datetime | None = None, fmt: str = "json") -> None:
-    """K1/K2: one row per item with the full untruncated text, partitioned by
-    language and model slug; ``run_ts`` (to the minute) tells runs apart."""
+def write_verdicts(verdicts: DataFrame, path: str, run_ts: datetime | None = None, fmt: str = "json", run: str | None = None) -> str:
+    """K1/K2: one row per item with the full untruncated text, as one committed run of the table
+    at ``path``, in folders by language and model slug; ``run_ts`` (to the minute) tells runs apart.
+
+    The run is named after its models' slugs and the time (or ``run``); writing it again
+    after a failure replaces what was left of it, and does nothing once it is committed.
+    Returns the name."""
     ts = (run_ts or datetime.now(timezone.utc)).strftime("%Y%m%d-%H%M")
     out = verdicts.withColumn("model_slug", model_slug("model")).withColumn("run_ts", F.lit(ts))
-    parts = [c for c in ("lang", "model_slug") if c in out.columns]
-    out.write.mode("append").partitionBy(*parts).format(fmt).save(path)
+    if run is None:
+        slugs = sorted(r[0] or "" for r in out.select("model_slug").distinct().collect())       # the run's models
+        run = VS.run_name(*(slugs if len(slugs) < 3 else [f"{len(slugs)}-models-{config_key({'models': slugs})}"]), ts)
+    VS.write(out, path, run, partition_by=tuple(c for c in ("lang", "model_slug") if c in out.columns), fmt=fmt)
+    return run
+
+
+def read_verdict_runs(spark: SparkSession, path: str, version: int | None = None, fmt: str = "json", extra: str | None = None) -> DataFrame:
+    """The verdicts of all committed runs (as of ``version``), with ``run``, ``run_ts`` and
+    ``file_order``: by the order of commits, then by file and position in it."""
+    more = "run_ts string, lang string, model_slug string" + (f", {extra}" if extra else "")
+    schema = T.StructType([*VERDICT_SCHEMA.fields, *T.StructType.fromDDL(more).fields])
+    entries = VS.log(spark, path, version)
+    rows = VS.read(spark, path, schema, version, fmt)
+    if not entries:
+        return rows.withColumn("file_order", F.lit(None).cast("struct<version:bigint>"))
+    order = spark.createDataFrame([(e.version, e.run) for e in entries], "version long, run string")      # one row a run
+    return (VS.positions(rows).join(F.broadcast(order), "run")
+            .withColumn("file_order", F.struct("version", "run", "file_order")).drop("version"))
 
 
 def write_leaderboard_csv(board: DataFrame, path: str) -> None:

@@ -100,24 +100,25 @@ def item_vote_counts(first: DataFrame, rank_limits: list[int] | None = None) ->
 
 
 def consensus(per_item: DataFrame, n_models: int | Column, threshold: int = CONSENSUS_THRESHOLD,
-              votes_col: str = "n_pos", group_cols: list[str] | None = None) -> DataFrame:
+              votes_col: str = "n_pos", group_cols: list[str] | None = None, weight_col: str | None = None) -> DataFrame:
     """A4/A5: relevant if votes >= T, irrelevant if votes <= N - T (independent tallies).
 
     ``overlap`` counts items in both tallies (possible when N >= 2T); the
     conflict set is N - T < votes < T.  ``group_cols`` evaluates several
-    annotator sets in one aggregation.
+    annotator sets in one aggregation; ``weight_col``: the items that a row stands for.
     """
     v = F.col(votes_col)
+    one = F.lit(1) if weight_col is None else F.col(weight_col)
     n = n_models if isinstance(n_models, Column) else F.lit(n_models)
     lo = n - threshold
     rel, irr = v >= threshold, v <= lo
     grouped = per_item.groupBy(*group_cols) if group_cols else per_item.groupBy()
     return grouped.agg(
-        F.count("*").alias("n_items"),
-        F.sum(F.when(rel, 1).otherwise(0)).alias("relevant"),
-        F.sum(F.when(irr, 1).otherwise(0)).alias("irrelevant"),
-        F.sum(F.when((v > lo) & (v < threshold), 1).otherwise(0)).alias("conflict"),
-        F.sum(F.when(rel & irr, 1).otherwise(0)).alias("overlap"),
+        (F.count("*") if weight_col is None else F.coalesce(F.sum(one), F.lit(0))).alias("n_items"),
+        F.sum(F.when(rel, one).otherwise(0)).alias("relevant"),
+        F.sum(F.when(irr, one).otherwise(0)).alias("irrelevant"),
+        F.sum(F.when((v > lo) & (v < threshold), one).otherwise(0)).alias("conflict"),
+        F.sum(F.when(rel & irr, one).otherwise(0)).alias("overlap"),
     ).select("*", (F.col("relevant") + F.col("irrelevant")).alias("high_confidence"),
              round_fixed(F.col("conflict") * 100.0 / F.col("n_items"), 4).alias("conflict_pct"))
 

@@ -21,13 +21,15 @@ from ..operators import models as ML
 from ..operators import naive_bayes as NB
 from ..operators import sampling as Q
 from ..operators import tfidf as T
+from ..operators import versions as VS
 from ..operators import votes as V
 from ..sources.tables import table
 from . import sql as S
 from .cache import memo
+from .fixtures import DAMAGED
 from .q_labels import UNANIMOUS_MODELS
-from .q_models import NB_ALPHA, holdout_column, pool_features, stop_table
-from .q_text import clean_articles, seed_candidate_table
+from .q_models import NB_ALPHA, POOL_CTE, holdout_column, pool_features, stop_table
+from .q_text import CAND_SQL, clean_articles, seed_candidate_table
 from .q_votes import fixture_first_votes
 from .registry import query
 
@@ -49,6 +51,21 @@ def article_normalise(spark, sf_dir):
     return a.select("article_id", n.alias("text"), F.length(n).cast("long").alias("n_chars"))
 
 
+_REPAIRED = "[" + ", ".join(S.q(b) for _, b in DAMAGED) + "]"
+
+
+@query("text_repair", f"""
+SELECT doc_id AS id, md5(text || ' ' || {_REPAIRED}[CAST(doc_id % {len(DAMAGED)} AS INTEGER) + 1]) AS text_md5,
+       length(text || ' ' || {_REPAIRED}[CAST(doc_id % {len(DAMAGED)} AS INTEGER) + 1])::BIGINT AS n_chars
+FROM documents""")
+def text_repair(spark, sf_dir):
+    """Documents with damaged passages after them, each passage repaired and nothing else."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    snippet = F.element_at(F.array(*[F.lit(a) for a, _ in DAMAGED]), (F.col("doc_id") % len(DAMAGED) + 1).cast("int"))
+    fixed = d.select(F.col("doc_id").alias("id"), normalise_unicode(F.concat("text", F.lit(" "), snippet)).alias("text"))
+    return fixed.select("id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 # ----------------------------------------------------------------- L2-L4 L6 L9 M8 U2
 def labelled_rows(features, labelled):
     """Rows of a comparison: (id, label, fold, pos, features) of the labelled items that have features."""
@@ -279,36 +296,69 @@ def bulk_classify_quarantine(spark, sf_dir):
 AL_STOP_AFTER = 10
 
 
-@query("al_round")
+def _nb_round_sql(k: int) -> str:
+    """Model of the labels ``known{k}`` and the queue of the least confident rest."""
+    conf = "greatest(1.0 / (1.0 + exp(-lo)), 1 - 1.0 / (1.0 + exp(-lo)))"
+    return f"""
+fc{k} AS (SELECT term, sum(weight) FILTER (WHERE label = 0) AS f0, sum(weight) FILTER (WHERE label = 1) AS f1
+          FROM weights JOIN known{k} USING (id) GROUP BY term),
+sm{k} AS (SELECT term, coalesce(f0, 0) + {NB_ALPHA} AS a0, coalesce(f1, 0) + {NB_ALPHA} AS a1 FROM vocab LEFT JOIN fc{k} USING (term)),
+df{k} AS (SELECT term, ln(a1 / sum(a1) OVER ()) - ln(a0 / sum(a0) OVER ()) AS d FROM sm{k}),
+pr{k} AS (SELECT coalesce(ln(nullif(count(*) FILTER (WHERE label = 1), 0) / count(*)), 0)
+               - coalesce(ln(nullif(count(*) FILTER (WHERE label = 0), 0) / count(*)), 0) AS p FROM known{k}),
+lo{k} AS (SELECT pool.id, any_value(p) + coalesce(sum(weight * d), 0) AS lo FROM pool CROSS JOIN pr{k} LEFT JOIN weights ON weights.id = pool.id
+          LEFT JOIN df{k} ON df{k}.term = weights.term WHERE pool.id NOT IN (SELECT id FROM known{k}) GROUP BY pool.id),
+queue{k} AS (SELECT id, row_number() OVER (ORDER BY {S.rfix(conf, 8)}, id) AS rank
+             FROM (SELECT * FROM lo{k} ORDER BY {S.rfix('abs(lo)', 8)}, id LIMIT {QUERY_BATCH_FORUM}))"""
+
+
+_AL_SQL = CAND_SQL + f""", {POOL_CTE.replace('toks', 'pool_toks')},
+answers AS (SELECT id, coalesce(quality, id % 2)::INTEGER AS label FROM pool LEFT JOIN labels ON doc_id = id),
+able AS (SELECT id FROM cand WHERE id IN (SELECT id FROM pool)),
+drawn AS (SELECT id FROM able WHERE (SELECT count(*) FROM able) >= {SEED_SIZE} UNION ALL SELECT id FROM pool WHERE (SELECT count(*) FROM able) < {SEED_SIZE}),
+seed AS (SELECT id FROM drawn ORDER BY md5('{RANDOM_SEED}:' || id::VARCHAR), id LIMIT {SEED_SIZE}),
+known2 AS (SELECT id, label, 1 AS round FROM seed JOIN answers USING (id)),
+{_nb_round_sql(2)},
+known3 AS (SELECT id, label, round FROM known2 UNION ALL SELECT id, label, 2 FROM queue2 JOIN answers USING (id)),
+{_nb_round_sql(3)}
+SELECT round, id, label, 'labelled' AS status FROM known3
+UNION ALL SELECT 3, id, CASE WHEN rank <= {AL_STOP_AFTER} THEN label END, CASE WHEN rank <= {AL_STOP_AFTER} THEN 'labelled' ELSE 'queued' END
+FROM queue3 JOIN answers USING (id)"""
+
+
+@query("al_round", _AL_SQL)
 def al_round(spark, sf_dir):
     """Q4: active learning over saved labels.  Round 1: the keyword seed.  Round 2: resume
     (an unknown id in the saved labels is skipped), naive Bayes, the 25 least confident,
-    all answered.  Round 3: resume, refit, next queue, the labeller stops after ten:
-    those are saved and the model is left as it was.  Each version of the labels is a
-    Parquet table in the shared folder."""
+    all answered.  Round 3: resume, next queue, the labeller stops after ten: those are
+    saved and the model is left as it was.
+
+    Each round commits a version of the labels, and of the model's counts only what its own
+    labels change; the next round reads those versions."""
     docs, vocab, w = pool_features(spark, sf_dir, persist=True, reuse_weights=True)
     pool = docs.select("id")
     answers = (pool.join(table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("doc_id", "id"), "id", "left")
                .select("id", F.coalesce("quality", (F.col("id") % 2).cast("int")).alias("label")))
-    base = scratch_dir(spark, "al")
-    version = 0
+    base, counts = scratch_dir(spark, "al"), scratch_dir(spark, "al-counts")
 
-    def save(labels):
-        nonlocal version
-        version += 1
-        labels.write.parquet(f"{base}/labels_v{version}")
-        return spark.read.parquet(f"{base}/labels_v{version}")
+    def save(labels, rnd):
+        """K7: the labels as they are now, in place of those before."""
+        version = VS.write(labels, base, f"round-{rnd}", VS.REPLACE)
+        return VS.read(spark, base, labels.schema, version).drop("run")
 
     candidates = seed_candidate_table(spark, sf_dir).join(pool, "id", "left_semi")
     _, seed = A.start(pool, candidates, None, SEED_SIZE)
     unknown = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(1).alias("label"), F.lit(1).alias("round"), F.lit(1).alias("seq"))
-    saved = save(A.record(None, seed, answers, 1).unionByName(unknown))
+    saved = save(A.record(None, seed, answers, 1).unionByName(unknown), 1)
+    before = spark.createDataFrame([], "id long, label int")
     for rnd in (2, 3):
         labelled, _ = A.start(pool, candidates, saved, SEED_SIZE)
-        model, priors = NB.fit_wide(w, labelled.select("id", "label"), vocab, NB_ALPHA)
+        labelled = labelled.checkpoint()
+        VS.write(NB.count_changes(w, before, labelled), counts, f"round-{rnd}")
+        model, priors = NB.from_counts(VS.read(spark, counts, NB.COUNTS), vocab, NB_ALPHA)
         rest = pool.join(labelled, "id", "left_anti")
         queue = A.ranked(NB.least_confident(NB.log_odds(w, rest, model, priors), QUERY_BATCH_FORUM)).checkpoint()
-        saved = save(A.record(saved, queue, answers, rnd, AL_STOP_AFTER if rnd == 3 else None))
+        saved, before = save(A.record(saved, queue, answers, rnd, AL_STOP_AFTER if rnd == 3 else None), rnd), labelled
     labelled, _ = A.start(pool, candidates, saved, SEED_SIZE)
     left = queue.join(labelled.select("id"), "id", "left_anti")
     return labelled.select("round", "id", "label", F.lit("labelled").alias("status")).unionByName(

@@ -230,22 +230,24 @@ SELECT model, {S.rhe('accuracy')} AS accuracy, {S.rhe('precision_1')} AS precisi
   {S.rhe('recall_1')} AS recall_1, {S.rhe('f1_1')} AS f1_1, {S.rhe('kappa')} AS kappa, tn, fp, fn, tp
 FROM scored""")
 def verdict_file_leaderboard(spark, sf_dir):
-    """The evaluation run from verdict files with the five fields of the format only:
-    every annotator run is written as NDJSON (one folder per model slug), the repeated
-    votes as a second, later run; read back with the fixed schema, first votes by file
-    and position, evaluated against gold."""
-    from ..operators.sinks import write_verdicts
-    from ..sources.tables import read_verdicts_json
+    """The evaluation run from verdict files with the five fields of the format only: the
+    annotators' votes are one committed run of NDJSON files (folders by model slug), the
+    repeated votes a later one.  The first attempt at the later run fails before its commit
+    and the first run is written again: neither shows.  Read back with the fixed schema,
+    first votes by commit, file and position, evaluated against gold."""
+    from ..operators import versions as VS
+    from ..operators.sinks import read_verdict_runs, write_verdicts
     from .q_ml import scratch_dir
     base = scratch_dir(spark, "verdicts")
     votes = rule_votes(spark, sf_dir).select(
         F.col("id").cast("string").alias("id"), "model",
         F.when(F.col("id") % 29 != 0, F.col("label")).alias("label"), F.lit("").alias("reasoning"), "text", "seq")
-    for run in (1, 2):
-        write_verdicts(votes.where(F.col("seq") == run).drop("seq"), f"{base}/run{run}")
-        # a run's files carry its name, as real runs carry their time in theirs
-    raw = read_verdicts_json(spark, f"{base}/run*/*/*.json")
-    raw = raw.withColumn("file_order", F.struct(F.regexp_extract("file_order.path", r"/run(\d+)/", 1).alias("run"), "file_order"))
+    first, later = (votes.where(F.col("seq") == k).drop("seq") for k in (1, 2))
+    write_verdicts(first, base, run="run1")
+    VS.stage(later.withColumn("label", F.lit("0")), base, "run2", fmt="json")
+    write_verdicts(later, base, run="run2")
+    write_verdicts(first.where(F.lit(False)), base, run="run1")
+    raw = read_verdict_runs(spark, base)
     gold = gold_quality(spark, sf_dir)
     votes = M.gold_votes(raw.select(F.col("id").cast("long").alias("id"), "model", "label", "file_order"), gold)
     preds, eval_ids = M.predictions_vs_gold(V.first_votes(votes, keep_label=False, keep_null=True), gold)

@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import has_text
 from ..operators import classify as C
+from ..operators.vote_table import VoteTable
 from ..sources.tables import ITEM_SCHEMA, VERDICT_SCHEMA
 
 def classify_stream(spark: SparkSession, source_dir: str, model, out_dir: str, checkpoint: str,
-                    file_glob: str = "*.json", bytes_per_batch: int = 64 << 30) -> None:
+                    file_glob: str = "*.json", bytes_per_batch: int = 64 << 30, encoder=None, dim: int | None = None) -> None:
     """Arriving NDJSON item files (``id, text``) -> F1 -> encode -> model ->
     relevant/irrelevant/quarantine.
 
@@ -30,7 +31,7 @@ def classify_stream(spark: SparkSession, source_dir: str, model, out_dir: str, c
     def write(batch: DataFrame, epoch: int) -> None:
         # K8: per-batch totals observed while the batch is written (no second pass)
         obs = Observation(f"routes_{epoch}")
-        routed = C.classify(model, C.encode(batch)).observe(
+        routed = C.classify(model, C.encode(batch, encoder=encoder), dim).observe(
             obs, F.count(F.lit(1)).alias("processed"),
             F.sum(F.when(F.col("route") == "relevant", 1).otherwise(0)).alias("relevant"),
             F.sum(F.when(F.col("route") == "quarantine", 1).otherwise(0)).alias("quarantine"))
@@ -63,3 +64,16 @@ def verdict_stream(spark: SparkSession, source: str, table_dir: str, checkpoint:
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def verdict_upserts(spark: SparkSession, source: str, votes: VoteTable, checkpoint: str, files_per_batch: int = 1000) -> None:
+    """Verdict files as they appear, each micro-batch taken into the votes table once: a batch
+    that runs again finds itself committed and changes nothing."""
+    stream = (spark.readStream.schema(VERDICT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
+              .select("id", "model", "label", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        votes.upsert(batch.withColumn("row", F.monotonically_increasing_id()), epoch)
+
+    q = (stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()

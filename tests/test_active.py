@@ -26,3 +26,23 @@ def test_rounds(spark):
     by = {(r["round"], r["status"]): sum(x["round"] == r["round"] and x["status"] == r["status"] for x in rows) for r in rows}
     assert by == {(1, "labelled"): 25, (2, "labelled"): 25, (3, "labelled"): 10, (3, "queued"): 15}
     assert -1 not in {r["id"] for r in rows} and len({r["id"] for r in rows}) == 75
+
+
+def test_counts_of_three_rounds_equal_a_full_refit(spark):
+    """Rounds add only what their labels change; a corrected label moves, a withdrawn one goes."""
+    from siftwise.operators import naive_bayes as NB
+
+    w = spark.createDataFrame([(i, f"t{(i * 7 + j) % 11}", 0.1 * (j + 1)) for i in range(30) for j in range(4)], "id long, term string, weight double")
+    vocab = spark.createDataFrame([(f"t{j}",) for j in range(12)], "term string")
+    rounds = [{1: 0, 2: 1, 3: 1}, {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}, {1: 1, 2: 0, 4: 1, 5: 0, 6: 1, 99: 1}]
+    changes, before = None, spark.createDataFrame([], "id long, label int")
+    for labels in rounds:
+        after = spark.createDataFrame(list(labels.items()), "id long, label int")
+        step = NB.count_changes(w, before, after)
+        changes, before = step if changes is None else changes.unionByName(step), after
+        model, priors = NB.from_counts(changes, vocab, 0.5)
+        want, want_priors = NB.fit_wide(w, after, vocab, 0.5)
+        for got, full in ((model, want), (priors, want_priors)):
+            a, b = (sorted(map(tuple, d.collect())) for d in (got, full))
+            assert [x[0] for x in a] == [x[0] for x in b]
+            assert all(abs(p - q) < 1e-9 for x, y in zip(a, b) for p, q in zip(x[1:], y[1:]))

@@ -16,11 +16,11 @@ def test_verdict_sink_roundtrip(spark):
     v = spark.createDataFrame([("a", "org/m:1", "1", "r", "full text", "nl"), ("b", "org/m:1", "0", "r", "t2", "nl")],
                               "id string, model string, label string, reasoning string, text string, lang string")
     K.write_verdicts(v, out, datetime(2026, 1, 2, 3, 4))
-    back = spark.read.json(out)
+    back = K.read_verdict_runs(spark, out)
     assert back.count() == 2
     assert {r["model_slug"] for r in back.collect()} == {"org-m-1"}
     assert {r["run_ts"] for r in back.collect()} == {"20260102-0304"}
-    scanned = read_verdicts_json(spark, f"{out}/lang=nl/model_slug=org-m-1/*.json")
+    scanned = read_verdicts_json(spark, f"{out}/data/run=org-m-1-20260102-0304/lang=nl/model_slug=org-m-1/*.json")
     assert {r["text"] for r in scanned.collect()} == {"full text", "t2"}
 
 
@@ -100,16 +100,15 @@ def test_readme_evaluation_flow(spark):
 
     from siftwise.operators import metrics as M
     from siftwise.operators import votes as V
-    from siftwise.operators.sinks import write_verdicts
+    from siftwise.operators.sinks import read_verdict_runs, write_verdicts
     from siftwise.plans.fixtures import rule_votes
-    from siftwise.sources.tables import read_verdicts_json
 
     from .conftest import SF_SMALL
     base = tempfile.mkdtemp(prefix="sw-flow-")
     votes = rule_votes(spark, SF_SMALL).select(F.col("id").cast("string").alias("id"), "model", "label",
                                                F.lit("").alias("reasoning"), "text", "seq")
     write_verdicts(votes, f"{base}/runs")
-    verdicts = read_verdicts_json(spark, f"{base}/runs/*/*.json", extra="seq int")
+    verdicts = read_verdict_runs(spark, f"{base}/runs", extra="seq int")
     first = V.first_votes(verdicts, keep_label=False)
     n_models = verdicts.select(F.count_distinct("model")).first()[0]
     tallies = V.consensus(V.item_vote_counts(first), n_models, threshold=3).first()
