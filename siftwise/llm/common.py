@@ -64,3 +64,32 @@ def worker_state() -> types.ModuleType:
     """Memo that lives as long as a Python worker (tokenizers, tables): functions are
     shipped by value, so their own globals last for one task only."""
     return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+
+
+def worker_memo(name: str | None, make=None):
+    """What the Python worker keeps under ``name`` (made when it is not there).  A worker keeps the
+    memo of one operator: those of others go, and what they held is given back to the
+    system, so a job of many stages needs no more memory than its largest."""
+    memo = worker_state().__dict__
+    if name is None or name not in memo:
+        for k in [k for k in memo if not k.startswith("__")]:
+            del memo[k]
+        give_back()
+        if name is not None:
+            memo[name] = make()
+    return memo.get(name)
+
+
+def give_back() -> None:
+    """Unused memory of this process to the system: Arrow's pool, and the allocator's where it is glibc's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

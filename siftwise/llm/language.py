@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, worker_state
+from .common import read, worker_memo
 from .registry import query
 from .textcodes import U64, buffers, mix64, slices
 
@@ -50,21 +50,22 @@ SCRIPTS = sorted({s for _, _, s in SCRIPT_RANGES})
 
 def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(is a letter, lower case, script number) by code point; made once per worker."""
-    memo = worker_state().__dict__
-    if "letters" not in memo:
+    def make():
         n = 0x110000
-        chars = [chr(i) for i in range(n)]
-        letter = np.fromiter((c.isalpha() for c in chars), bool, n)
-        lower = np.arange(n, dtype=np.uint32)
-        for i in np.flatnonzero(letter):
-            low = chars[i].lower()
-            if len(low) == 1:
-                lower[i] = ord(low)
+        chars = np.arange(n, dtype=np.uint32)
+        letter, lower = np.zeros(n, bool), chars.copy()
+        for i in range(0, n, 1 << 14):                   # no Python string per code point
+            part = chars[i:i + (1 << 14)].view("U1")
+            letter[i:i + len(part)] = np.strings.isalpha(part)
+            lower[i:i + len(part)] = np.strings.lower(part).view(np.uint32)
+        lower[~letter] = chars[~letter]
+        lower[0x130] = 0x130                              # the only letter whose lower case is two characters
         script = np.zeros(n, np.uint8)
         for a, b, s in SCRIPT_RANGES:
             script[a:b + 1] = SCRIPTS.index(s) + 1
-        memo["letters"] = letter, lower, script
-    return memo["letters"]
+        return letter, lower, script
+
+    return worker_memo("letters", make)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray):

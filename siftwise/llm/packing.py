@@ -44,7 +44,7 @@ def _pieces(path: str | None, capacity: int, end: int):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for i, j in slices(offsets, CHUNK_BYTES):
-                ids, bounds = encoder.encode([data[offsets[r]:offsets[r + 1]].tobytes() for r in range(i, j)], end)
+                ids, bounds = encoder.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], end)
                 raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 total = np.diff(bounds)
                 n = -(-total // capacity)

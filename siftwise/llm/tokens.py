@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 
-from .common import worker_state
+from .common import worker_memo
+from .textcodes import Codes
 
 
 def public_path(name: str) -> str:
@@ -20,86 +21,104 @@ class WordEncoder:
     """Ids of whole texts under a ``tokenizers`` file whose pre-tokenizer never joins
     across ASCII white space and drops it: a text's ids are its words' ids in a row.
 
-    Words are encoded once and remembered (at most ``MOST_WORDS`` at a time, then the
-    memo starts anew), lower-cased first as the tokenizer would do itself; a tail of
-    plain punctuation is a pre-token of its own and is looked up apart."""
+    Words are known by their 64-bit codes (ASCII letters lower-cased, as the tokenizer would do
+    itself), found in a batch without an object per word and looked up, once per distinct
+    word, in a sorted memo.  Only words that are not there become strings; they are encoded
+    and remembered (at most ``MOST_WORDS`` at a time, then the memo starts anew).  A tail of
+    ASCII punctuation after an ASCII digit or a Latin letter is a pre-token of its own and a
+    word of its own here.  Words with ``<|`` keep their case, as a special token's string is matched before
+    lower-casing.  Two of the remembered words share a code with a chance of 10**-8."""
 
-    MOST_WORDS = 400_000
-    TAILS = b".,;:!?"
-    LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    MOST_WORDS = 1_200_000
+    TAIL_BYTES = 16
+    SALT = np.uint64(0xA5A5_5A5A_0F0F_F0F0)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.codes, self.cased = Codes(), Codes()
+        self.cased.lower = np.arange(256, dtype=np.uint8)
+        self.tail, self.solid = np.zeros(256, bool), np.zeros(256, bool)
+        for x, y in ((0x21, 0x30), (0x3A, 0x41), (0x5B, 0x61), (0x7B, 0x7F)):
+            self.tail[x:y] = True
+        for x, y in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
+            self.solid[x:y] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int32)
-        self.lens = np.zeros(1 << 14, np.int32)
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        if not words:
-            return []
-        return [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        n = len(ids)
-        at = len(self.index)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 2, n), np.int32)])
-        if at == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(at // 2, np.int32)])
-            self.lens = np.concatenate([self.lens, np.zeros(at // 2, np.int32)])
-        self.flat[self.used:self.used + n] = ids
-        self.index[word] = at
-        self.starts[at] = self.used
-        self.lens[at] = n
-        self.used += n
-
-    def _learn(self, words: list[bytes]) -> None:
-        whole, split = [], []
-        for w in words:
-            core = w.rstrip(self.TAILS)
-            if core and core != w and core.decode("utf-8", "replace").isalpha():
-                split.append((w, core, w[len(core):]))
-            else:
-                whole.append(w)
-        parts = dict.fromkeys(x for s in split for x in s[1:])
-        for w in whole:
-            parts.setdefault(w)
-        new = [w for w in parts if w not in self.index]
-        for w, ids in zip(new, self._encode(new)):
-            self._add(w, ids)
-        ids_of = lambda w: self.flat[self.starts[i := self.index[w]]:self.starts[i] + self.lens[i]].tolist()
-        for w, core, tail in split:
-            self._add(w, ids_of(core) + ids_of(tail))
-
-    def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        self.known = np.zeros(0, np.uint64)
+        self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _items(self, data: np.ndarray, offsets: np.ndarray):
+        """(starts, ends, codes, cased) of the words of all texts, tails apart, and the index of each text's first."""
+        starts, ends, first = self.codes.words(data, offsets)
+        special = np.zeros(len(starts), bool)
+        hits = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)) if len(data) > 1 else np.zeros(0, np.int64)
+        if len(hits):
+            special[np.searchsorted(starts, hits, "right") - 1] = True
+        core = ends.copy()
+        for _ in range(self.TAIL_BYTES):
+            more = (core > starts) & self.tail[data[core - 1]]
+            if not more.any():
+                break
+            core = core - more
+        apart = (core > starts) & (core < ends) & ~special
+        last, lead = data[core[apart] - 1], data[np.maximum(core[apart] - 2, 0)]
+        latin = (last >= 0x80) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead == 0xC4) & (last != 0xB0)) | (lead == 0xC5))
+        # U+00C0 to U+017F but U+0130, whose lower case ends in a mark
+        apart[apart] = self.solid[last] | latin
+        count = 1 + apart
+        at = np.cumsum(count) - count
+        s, e = np.repeat(starts, count), np.repeat(ends, count)
+        e[at[apart]] = core[apart]
+        s[at[apart] + 1] = core[apart]
+        codes = self.codes.word_codes(data, s, e)
+        kept = np.repeat(special, count)
+        if kept.any():
+            codes[kept] = self.cased.word_codes(data, s[kept], e[kept]) ^ self.SALT
+        return s, e, codes, kept, np.append(at, len(s))[first]
+
+    def _learn(self, codes: np.ndarray, words: list[str]) -> None:
+        """Encode and remember words under their (ascending) codes."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(lens.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(max(self.used // 2, total), np.int32)])
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        at = np.searchsorted(self.known, codes)
+        self.known = np.insert(self.known, at, codes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(lens) - lens)
+        self.lens = np.insert(self.lens, at, lens)
+        self.used += total
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): ids of all texts in a row (each closed by ``end``), bounds of each text in them."""
-        if len(self.index) > self.MOST_WORDS or self.used > 16 * self.MOST_WORDS:
+        if len(self.known) > self.MOST_WORDS or self.used > 16 * self.MOST_WORDS:
             self._clear()
-        # a special token's string is matched before lower-casing, so texts with one keep their case
-        split = [(t if b"<|" in t else t.translate(self.LOWER)).split() for t in texts]
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        flat_words = [w for s in split for w in s]
-        at = np.fromiter(map(self.index.get, flat_words, repeat(-1)), np.int64, len(flat_words))
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            self._learn(list(dict.fromkeys(flat_words[i] for i in miss)))
-            at[miss] = [self.index[flat_words[i]] for i in miss]
-        lens = self.lens[at].astype(np.int64)
-        starts = self.starts[at].astype(np.int64)
+        n = len(offsets) - 1
+        s, e, codes, kept, first = self._items(data, offsets)
+        distinct, some, which = np.unique(codes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        if new.any():
+            lower = self.codes.lower[data].tobytes()
+            raw = data.tobytes() if kept.any() else b""
+            words = [(raw if kept[i] else lower)[s[i]:e[i]].decode("utf-8", "replace") for i in some[new].tolist()]
+            self._learn(distinct[new], words)
+            at = np.searchsorted(self.known, distinct)
+        lens = self.lens[at].astype(np.int64)[which]
+        starts = self.starts[at].astype(np.int64)[which]
         upto = np.concatenate(([0], np.cumsum(lens)))
-        ends = upto[np.cumsum(n_words)] if len(n_words) else np.zeros(0, np.int64)
         more = 0 if end is None else 1
-        bounds = np.concatenate(([0], ends + more * np.arange(1, len(texts) + 1)))
+        bounds = np.concatenate(([0], upto[first[1:]] + more * np.arange(1, n + 1)))
         ids = np.full(int(bounds[-1]), 0 if end is None else end, np.int32)
-        text_of = np.repeat(np.arange(len(texts)), n_words)
+        text_of = np.repeat(np.arange(n), np.diff(first))
         within = np.arange(upto[-1]) - np.repeat(upto[:-1], lens)
         ids[within + np.repeat(upto[:-1] + more * text_of, lens)] = self.flat[within + np.repeat(starts, lens)]
         return ids, bounds
@@ -107,21 +126,18 @@ class WordEncoder:
 
 def word_encoder(path: str) -> WordEncoder:
     """The worker's encoder for ``path``, made once."""
-    memo = worker_state().__dict__.setdefault("encoders", {})
-    if path not in memo:
-        memo[path] = WordEncoder(path)
-    return memo[path]
+    return worker_memo(f"words {path}", lambda: WordEncoder(path))
 
 
 def byte_encoder(path: str):
     """The worker's byte-level encoder for a rank file, made once."""
-    memo = worker_state().__dict__.setdefault("encoders", {})
-    if path not in memo:
+    def make():
         import base64
 
         import public_tokenizers
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        memo[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return memo[path]
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return worker_memo(f"bytes {path}", make)
