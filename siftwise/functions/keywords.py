@@ -60,7 +60,19 @@ def split_keywords(keywords) -> tuple[list[str], list[str]]:
     return single, phrases
 
 
-def distinct_hits(text_col, keywords_col: Column | None = None, keywords=None) -> Column:
+def vocabulary(*lists) -> list[str]:
+    """The distinct plain words of several word and phrase lists: what a text has to be looked up for."""
+    return sorted({w for words in lists for entry in words for w in entry.lower().split() if _plain(w)})
+
+
+def present(text_col, words: list[str]) -> Column:
+    """Which of ``words`` a text has as tokens.  Taken once as a column of its own, it is all that
+    the screens below need of the text's tokens (their ``toks``), however many lists there are."""
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    return F.array_intersect(_tokens(text, min_len=1), F.array(*[F.lit(w) for w in words]))
+
+
+def distinct_hits(text_col, keywords_col: Column | None = None, keywords=None, toks: Column | None = None) -> Column:
     """Number of distinct keywords present as whole words (case-insensitive).
 
     ``keywords_col`` is an ``array<string>`` column of single lower-case words
@@ -68,7 +80,7 @@ def distinct_hits(text_col, keywords_col: Column | None = None, keywords=None) -
     whose multi-word entries are matched with one regex each.
     """
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    toks = _tokens(text, min_len=1)
+    toks = _tokens(text, min_len=1) if toks is None else toks
     total = F.lit(0)
     single, phrases = split_keywords(keywords or [])
     if keywords_col is not None:
@@ -101,7 +113,7 @@ def _plain(word: str) -> bool:
     return re.fullmatch(r"[^\W]+", word) is not None
 
 
-def lexicon_match(text_col, words, adjectives, nouns) -> tuple[Column, Column]:
+def lexicon_match(text_col, words, adjectives, nouns, toks: Column | None = None) -> tuple[Column, Column]:
     """F8 as (word_hit, proximity_hit), same results as the three regexes of
     :func:`lexicon_pattern` but cheaper on long texts:
 
@@ -111,7 +123,7 @@ def lexicon_match(text_col, words, adjectives, nouns) -> tuple[Column, Column]:
       tokens, so its ``.*`` regex runs only on those rows.
     """
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    toks = _tokens(text, min_len=1)
+    toks = _tokens(text, min_len=1) if toks is None else toks
     plain = [w.lower() for w in words if _plain(w)]
     other = [w for w in words if not _plain(w)]
     hit = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in plain])) if plain else F.lit(False)
@@ -125,11 +137,11 @@ def lexicon_match(text_col, words, adjectives, nouns) -> tuple[Column, Column]:
     return F.coalesce(hit, F.lit(False)), prox
 
 
-def phrase_match(text_col, phrases) -> Column:
+def phrase_match(text_col, phrases, toks: Column | None = None) -> Column:
     """Any phrase as whole words (case-insensitive); the regex runs only on rows
     whose token set holds every word of at least one phrase."""
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    toks = _tokens(text, min_len=1)
+    toks = _tokens(text, min_len=1) if toks is None else toks
     parts = [p.lower().split() for p in phrases]
     possible = None
     for ws in parts:

@@ -362,16 +362,20 @@ def topic_screen(spark, sf_dir):
     """The configured topic lists on every document: distinct seed keywords (both
     languages), the wide labelling lexicons with their proximity rules, and the
     newspaper phrase screen."""
-    d = topic_documents(spark, sf_dir)
-    nl_word, nl_prox = K.lexicon_match("text", LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS)
-    en_word, en_prox = K.lexicon_match("text", LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS)
+    lists = (KEYWORDS_NL, KEYWORDS_EN, LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES,
+             LEXICON_EN_NOUNS, NEWSPAPER_PHRASES)
+    # every text is tokenised once, for all lists together
+    d = topic_documents(spark, sf_dir).select("doc_id", "text", K.present("text", K.vocabulary(*lists)).alias("words"))
+    toks = F.col("words")
+    nl_word, nl_prox = K.lexicon_match("text", LEXICON_NL_WORDS, LEXICON_NL_ADJECTIVES, LEXICON_NL_NOUNS, toks)
+    en_word, en_prox = K.lexicon_match("text", LEXICON_EN_WORDS, LEXICON_EN_ADJECTIVES, LEXICON_EN_NOUNS, toks)
     return d.select(
         F.col("doc_id").alias("id"),
-        K.distinct_hits("text", keywords=KEYWORDS_NL).cast("long").alias("hits_nl"),
-        K.distinct_hits("text", keywords=KEYWORDS_EN).cast("long").alias("hits_en"),
+        K.distinct_hits("text", keywords=KEYWORDS_NL, toks=toks).cast("long").alias("hits_nl"),
+        K.distinct_hits("text", keywords=KEYWORDS_EN, toks=toks).cast("long").alias("hits_en"),
         (nl_word | nl_prox).alias("lexicon_nl"),
         (en_word | en_prox).alias("lexicon_en"),
-        K.phrase_match("text", NEWSPAPER_PHRASES).alias("newspaper_phrase"))
+        K.phrase_match("text", NEWSPAPER_PHRASES, toks).alias("newspaper_phrase"))
 
 
 # ----------------------------------------------------------------- F7 Q3 F12 Q5 X8 X9 X17 (newspaper queue)

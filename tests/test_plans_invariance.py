@@ -156,3 +156,10 @@ def test_no_cross_joins_in_any_plan(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
     assert bad == []
+
+
+def test_topic_screen_tokenises_once(spark):
+    from siftwise.plans import QUERIES
+
+    plan = QUERIES["topic_screen"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
