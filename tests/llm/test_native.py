@@ -118,6 +118,35 @@ def test_url_parts_rules_and_reputation(spark):
     assert url_filter.url_filter(df.where("false"), labels).count() == 0
 
 
+def test_url_reputation_reaches_hosts_without_labels(spark):
+    """An unlabelled subdomain has its domain's reputation, an address its own."""
+    def urls(host, first, n):
+        return [(first + k, f"http://{host}/{k}") for k in range(n)]
+    rows = [u for j in range(6) for u in urls(f"h{j}.bad.com", 100 * j, 60)] + [u for j in range(6) for u in urls(f"h{j}.good.com", 1000 + 100 * j, 60)]
+    rows += [u for j in range(4) for u in urls(f"x.site{j}.com", 3000 + 100 * j, 60)]
+    rows += urls("1.2.3.4", 5000, 80) + urls("u:p@9.9.3.4:80", 5100, 1) + urls("new.bad.com:8080", 6000, 3) + urls("new.good.com", 6100, 3)
+    rows += [(7000, None), (7001, "mailto:a"), (7002, "http://never.seen/")]
+    labels = []
+    for i, u in rows:
+        if i < 3000:
+            labels.append((i, int(".good.com" in u), 0))
+        elif i < 5000:
+            labels.append((i, int(i % 10 > 0), 0))
+        elif i < 5080:
+            labels.append((i, 0, 0))
+    labels += [(5000, 0, 0)] * 3                                         # repeated labels count each
+    got = {r["page_id"]: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"),
+                                                          spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert len(got) == len(rows)
+    verdict = lambda a, n: {got[a + k]["verdict"] for k in range(n)}
+    assert verdict(0, 60) == {"block"} and verdict(6000, 3) == {"block"} and got[6000]["rep_labelled"] == 0
+    assert verdict(1000, 60) == {"allow"} and verdict(6100, 3) == {"allow"} and verdict(3000, 60) == {"allow"}
+    assert verdict(5000, 80) == {"block"} and got[5100]["verdict"] == "allow" and got[5000]["rep_labelled"] == 83
+    assert {got[k]["verdict"] for k in (7000, 7001, 7002)} == {"allow"}
+    assert got[6000]["rep_mean"] > got[7002]["rep_mean"] > got[6100]["rep_mean"]
+    assert all(r["rep_low"] is not None for r in got.values())
+
+
 def water_fill(sizes, share=1.5, most=2.0):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(order)}
