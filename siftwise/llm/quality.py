@@ -5,6 +5,11 @@ lines).  ``compile_rules`` turns it into one Boolean expression over the measure
 which are built-in functions of the whole text; there is no shuffle and no state,
 so each split is judged on its own and a hot key cannot matter.
 
+The stop words are those of seven western European languages, and the bounds on word length
+are for scripts that put spaces between words: texts in other languages break ``stop_words`` as a
+rule, unspaced ones ``long_words`` too.  A corpus of such languages needs a table of its own
+(``rules``), or goes without those two rules.
+
 Repeated three-word windows are found by sorting a document's windows next to their
 positions: equal neighbours are repeats, and the words under them are counted once.
 """

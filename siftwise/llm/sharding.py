@@ -10,7 +10,8 @@ larger slack keeps more rows at home and moves fewer when a shard is added.
 Only row counts per ring place are needed to settle the overflow: a table of at
 most ``RING`` rows, whatever the data, laid round the ring on the driver.  The rows
 themselves are ranked within (place, bucket) cells, so a text that holds a third of
-all rows is spread over ``BUCKETS`` tasks.
+all rows is spread over ``ID_BUCKETS`` tasks by its rows' ids; rows that share text and
+id (or have none) are ranked in one.
 """
 
 from __future__ import annotations

@@ -118,6 +118,45 @@ def test_url_parts_rules_and_reputation(spark):
     assert url_filter.url_filter(df.where("false"), labels).count() == 0
 
 
+def test_settle_row_by_row_clockwise():
+    """Every row of every place seated on its own: home first, then the overflow clockwise, first come first served."""
+    counts = {p: (p * 7919) % 13 for p in range(0, sharding.RING, 53)}
+    counts[53] = 2500                                    # a hot key
+    for shards, slack in ((11, 0.0), (7, 0.25)):
+        total, owner = sum(counts.values()), sharding.ring_owners(shards)
+        room = [int(-(-(1 + slack) * total // shards))] * shards if slack else [total // shards + (s < total % shards) for s in range(shards)]
+        seats, want, left = Counter(), {}, {}
+        for p in sorted(counts):
+            for rank in range(counts[p]):
+                if seats[owner[p]] < room[owner[p]]:
+                    want[p, rank] = (owner[p], seats[owner[p]])
+                    seats[owner[p]] += 1
+                else:
+                    left.setdefault(p, []).append(rank)
+        walking = []
+        for step in range(2 * sharding.RING):
+            p = step % sharding.RING
+            while walking and seats[owner[p]] < room[owner[p]]:
+                want[walking.pop(0)] = (owner[p], seats[owner[p]])
+                seats[owner[p]] += 1
+            walking += [(p, rank) for rank in left.pop(p, [])]
+        got, pieces = {}, sharding.settle(counts, shards, slack)
+        for p in counts:
+            own = sorted((f, s, t) for q, f, s, t in pieces if q == p)
+            for k, (first, s, t) in enumerate(own):
+                for rank in range(first, own[k + 1][0] if k + 1 < len(own) else counts[p]):
+                    got[p, rank] = (s, t + rank - first)
+        assert got == want and len(got) == total and left == {} and not walking
+
+
+def test_sharding_seats_null_ids_and_equal_rows(spark):
+    rows = [(None, "same", "en", "s", 1, 1, "r")] * 40 + [(7, "same", "en", "s", 1, 1, "r")] * 40 + [(8, None, "en", "s", 1, 1, "r")] * 3
+    got = sharding.shard(awkward(spark, rows), 5).collect()
+    by = Counter(r["shard"] for r in got)
+    assert len(got) == 83 and max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in by.items())
+
+
 def test_url_reputation_reaches_hosts_without_labels(spark):
     """An unlabelled subdomain has its domain's reputation, an address its own."""
     def urls(host, first, n):
