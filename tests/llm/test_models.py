@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwise.llm import LLM_ORACLE, LLM_QUERIES, language, lm, packing, token_counts
+from siftwise.llm import LLM_ORACLE, LLM_QUERIES, language, lm, mixing, packing, quality, token_counts
 from siftwise.llm.tokens import byte_encoder, public_path
 
 from ..conftest import SF_SMALL
@@ -68,56 +69,58 @@ def base_log(words_, c, n, v):
     return sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words_)
 
 
-def test_lm_base_scores_and_probabilities(spark):
-    docs = awkward(spark)
-    train = [r for r in awkward_rows() if r[0] is not None and r[0] % 2]
-    model, counts = lm.train(docs.where("doc_id % 2 = 1"), head_words=40, arcs=60)
+def test_lm_blocks_and_pieces_do_not_change_scores(spark):
+    """One block and one piece, or many of both: the same counts, base scores and scores."""
+    rows = awkward_rows(3000) + [(200 + k, f"{PROSE.split()[k % 9]} rare{k % 50} the sea rare{k % 40}", "en", "s", 1, 1, "x") for k in range(120)]
+    docs = awkward(spark, rows)
+    train = F.col("doc_id").isNull() | (F.col("doc_id") % 2 == 1)
     tokens = lambda t: [*words((t or "").translate(LOWER)), ""]
-    c = Counter(w for r in train for w in tokens(r[1]))
+    c = Counter(w for r in rows if r[0] is None or r[0] % 2 for w in tokens(r[1]))
     n, v = sum(c.values()), len(c)
-    assert len(model.words) <= 41 and all(len(k) <= 60 for k in model.keys) and len(model.keys[0])
-    got = lm.score(docs, model, counts).collect()
-    want = sorted(((r[0], len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, base_log(tokens(r[1]), c, n, v))
-                   for r in awkward_rows()), key=repr)
-    have = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=repr)
-    assert [x[:4] for x in have] == [x[:4] for x in want]
-    assert [x[4] for x in have] == pytest.approx([x[4] for x in want])
-    # the automaton, walked word by word, gives the same score
-    index, size = {w: k for k, w in enumerate(model.words)}, len(model.words)
-    arc = [{int(k): x for x, k in enumerate(keys)} for keys in model.keys]
-    root = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-
-    def walk(text):
-        total, before, pair = 0.0, 0, -1
-        for w in tokens(text):
-            i = index.get(w.encode(), -1)
-            here = arc[0].get(before * size + i, -1) if before >= 0 and i >= 0 else -1
-            three = arc[1].get(pair * size + i, -1) if pair >= 0 and i >= 0 else -1
-            if three >= 0:
-                total += model.logs[1][three]
-            else:
-                total += model.backoff[1][pair] if pair >= 0 else 0.0
-                total += model.logs[0][here] if here >= 0 else (model.backoff[0][before] if before >= 0 else 0.0) + root(w)
-            before, pair = i, here
-        return total
-
-    for r in awkward_rows():
-        assert any(x["doc_id"] == r[0] and x["score"] == pytest.approx(walk(r[1])) for x in got)
-    # every state's probabilities sum to 1: kept arcs, and the root's share through the backoff weight
-    all_root = sum(10 ** root(w) for w in c) + 0.1 / (n + 0.1 * (v + 1))
-    assert all_root == pytest.approx(1)
-    for s in range(size):
-        kept = [(int(k) % size, x) for x, k in enumerate(model.keys[0]) if k // size == s]
-        p = sum(10 ** model.logs[0][x] for _, x in kept)
-        low = sum(10 ** root(model.words[w].decode()) for w, _ in kept)
-        assert p + 10 ** model.backoff[0][s] * (1 - low) == pytest.approx(1, abs=1e-6)
+    want = sorted(((r[0], len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, base_log(tokens(r[1]), c, n, v)) for r in rows), key=repr)
+    found = []
+    for block_tokens, piece_codes, parts in ((1 << 20, 1 << 21, 1), (50, 40, 5), (1, 7, 3)):
+        got = lm.score(docs.repartition(parts), train, block_tokens=block_tokens, piece_codes=piece_codes).collect()
+        have = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=repr)
+        assert [x[:4] for x in have] == [x[:4] for x in want]
+        assert [x[4] for x in have] == pytest.approx([x[4] for x in want])
+        found.append(sorted((repr(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got))
+    assert found[0] == found[1] == found[2]
+
+
+def test_lm_probabilities_of_a_state_sum_to_one():
+    """The words after a context, the end and an unknown word have probability 1 together."""
+    corpus = ["a b c", "a b d", "a b c", "b c", "c a b", "d d d a", "a b"]
+    after = ["a", "b", "c", "d", "unknown"]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in corpus:
+        w = [*t.split(), ""]
+        one.update(w), two.update(zip(["", *w], w)), three.update(zip(["", *w], w, w[1:]))
+    n, v = sum(one.values()), len(one)
+    for context in ("a b", "d", "c d", "d zz"):
+        # what a continuation adds to its context, read off the walk token by token
+        p = 0.0
+        for w in [*after, ""]:
+            tokens = ["", *context.split(), w]
+            block = {"tokens": len(tokens) - 1, "lens": np.array([len(tokens) - 1], "<i4").tobytes(), "train": b"\0",
+                     "c1": lm.planes(np.array([one[x] for x in tokens[1:]])), "c2": lm.planes(np.array([two[x] for x in zip(tokens, tokens[1:])])),
+                     "c3": lm.planes(np.array([0, *[three[x] for x in zip(tokens, tokens[1:], tokens[2:])]]))}
+            at = lm.Walk(block, n, v)
+            at.after1[0] = one[""]
+            p += 10 ** at.steps(2.0, 4.0)[-1]
+        assert p == pytest.approx(1)
 
 
 def test_lm_empty_tables(spark):
-    model, counts = lm.train(awkward(spark, []))
-    got = lm.score(awkward(spark), model, counts).collect()
-    assert len(got) == len(awkward_rows()) and all(r["n_known"] == 0 and r["score"] == r["base_score"] for r in got)
-    assert lm.score(awkward(spark, []), model, counts).count() == 0
+    got = lm.score(awkward(spark), F.lit(False)).collect()
+    assert len(got) == len(awkward_rows()) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
+    assert [r["score"] for r in got] == pytest.approx([r["base_score"] for r in got])
+    assert lm.score(awkward(spark, []), F.lit(True)).count() == 0
+
+
+def test_planes():
+    for a in (np.array([0, 0]), np.array([1, 2 ** 63, 255, 256], np.uint64), np.zeros(0, np.int64), np.arange(70000)):
+        assert lm.numbers(lm.planes(a), len(a)).tolist() == a.tolist()
 
 
 def test_token_histogram_and_limits(spark):
@@ -194,8 +197,74 @@ def test_pipeline_stages_keep_columns_and_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
 
 
+def _passes_rules(text):
+    """The quality rules, read off their table in plain Python."""
+    import re
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    seen = Counter(zip(w, w[1:], w[2:]))
+    repeat = {k + d for k, x in enumerate(zip(w, w[1:], w[2:])) if seen[x] > 1 for d in range(3)}
+    if len(w) < 50 or 100 * len(repeat) > 50 * len(w):
+        return False
+    chars = sum(map(len, w))
+    value = {"mean_word": chars / len(w), "symbol_ratio": sum(c in "#*$%&|<>" for c in text) / chars,
+             "letter_word_ratio": sum(any(c.isalpha() for c in x) for x in w) / len(w),
+             "stop_ratio": sum(x.lower() in quality.STOP_WORDS for x in w) / len(w), "dup_line_ratio": (len(lines) - len(set(lines))) / len(lines),
+             "bullet_line_ratio": sum(bool(re.match(r"[ \t]*[-*•‣●]", x)) for x in lines) / len(lines),
+             "ellipsis_line_ratio": sum(bool(re.search(r"(\.\.\.|…)[ \t\r]*$", x)) for x in lines) / len(lines)}
+    return not any(value[m] > v if bound == "max" else value[m] < v for _, m, bound, v in quality.RULES)
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """What every stage keeps, copies and packs, worked out on the rows one by one."""
+    from tokenizers import Tokenizer
+
+    from .test_pairs import linked_sets
+
+    p, o = PROSE.split(), OTHER.split()
+    texts = [" ".join(p[(k * 7 + j) % len(p)] + ("" if j % 9 else str(k)) for j in range(60 + 5 * k)) for k in range(12)]
+    texts += [" ".join(o[(k * 5 + j) % len(o)] + ("" if j % 8 else str(k)) for j in range(70 + 3 * k)) for k in range(8)]
+    texts += [texts[0], texts[0] + " end", texts[13] + " und", "# * $ " * 60, "too short", None, "", " ".join(["same words here"] * 40), "1234 5678 " * 60]
+    rows = [(i, t, ["en", "de"][12 <= i < 20 or i == 22], ["a", "b", None][i % 3], len(t) if t else None, 0, "x") for i, t in enumerate(texts)]
+    awkward(spark, rows).drop("size", "rank").write.parquet(str(tmp_path / "documents.parquet"))
+    good = [r for r in rows if _passes_rules(r[1])]
+    docs = awkward(spark, good)
+    told = {r["doc_id"]: r for r in language.identify(docs, language.fit(docs)).collect()}      # held against all paths above
+    known = [r for r in good if told[r[0]]["lang_pred"] != "und" and told[r[0]]["score"] >= language.MIN_SHARE]
+    _, component = linked_sets(known, corpus_pipeline.SIMILARITY_PCT)
+    first = [r for r in known if component[r[0]] == r[0]]
+    assert len(good) < len(rows) and len(first) < len(known) and len(first) > 10
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(awkward(spark, first)).collect()}
+    tok = Tokenizer.from_file(public_path(packing.VOCABULARY))
+    want = Counter()
+    for r in first:
+        ids = np.array(tok.encode(r[1], add_special_tokens=False).ids + [0], "<u4")
+        for k in range(-(-len(ids) // 2048)):
+            part = ids[2048 * k:2048 * k + 2048]
+            want[r[0], k, 2048 * k, len(part), zlib.crc32(part.tobytes())] += copies[r[0]]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r)[:5] for r in got) == +want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        places.sort()
+        assert all(o == sum(n for _, n in places[:k]) for k, (o, _) in enumerate(places)) and sum(n for _, n in places) <= 2048
+
+
+def test_language_of_held_out_documents(spark):
+    """The query's split and its accuracy on what it has not learned from (the small tables' labels)."""
+    got = {r["doc_id"]: r for r in LLM_QUERIES["op2_language"](spark, SF_SMALL).collect()}
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        assert got[d["doc_id"]]["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2)
+    held = [d for d in docs if got[d["doc_id"]]["held_out"] and d["lang"] and any(c.isalpha() for c in d["text"] or "")]
+    right = sum(got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held)
+    assert len(held) > 20 and right >= 0.95 * len(held)
+
+
 def test_all_queries_are_registered():
-    assert [n.split("_")[0] for n in sorted(LLM_QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(LLM_QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
     assert set(LLM_ORACLE) <= set(LLM_QUERIES)
 
 
@@ -236,3 +305,23 @@ def test_lm_query_scores_with_every_ngram(spark, tmp_path):
     assert [y for x in have for y in x[4:]] == pytest.approx([y for x in want for y in x[4:]])
     spark.createDataFrame([], awkward(spark).schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert LLM_QUERIES["op7_lm_score"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_word_encoder_equals_whole_texts():
+    """Word by word, with tails apart and a memo that starts anew, as the tokenizer alone does it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from siftwise.llm.packing import VOCABULARY
+    from siftwise.llm.textcodes import buffers
+    from siftwise.llm.tokens import WordEncoder
+
+    path = public_path(VOCABULARY)
+    plain, words = Tokenizer.from_file(path), WordEncoder(path)
+    words.MOST_WORDS = 30
+    tricky = ["it's, don't!! étÉ, Ω͜Σ. ÷, ×... «été». ñ!! Ça,va'; 'tis' x's, 3.14, 10%%% é%% “q”, ŒŸ; İ. ſ, ǆ; ΟΔΟΣ, ½! a²;",
+              "x <|endoftext|> y <|ENDOFTEXT|>, a<|endoftext|>b, <|startoftext|>.", "", " \t\n", "a" * 5000 + "." * 5000, "!!! ... ?", "日本語。 のテキスト, ok。"]
+    for texts in (tricky, [t for _, t, *_ in awkward_rows(400) if t], tricky):
+        data, offsets = buffers(pa.array(texts))
+        ids, bounds = words.encode(data, offsets, 0)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
