@@ -9,8 +9,7 @@ and two writers never touch each other's files.
 
 The rows of the log are ordered by version (one more than the highest that the writer saw)
 and run name.  A reader may ask for an older version.  A run either adds to the table or
-replaces what was there before; replaced data stays readable under its version until
-``vacuum`` is told to forget it.
+replaces what was there before; replaced data stays readable under its version.
 """
 
 from __future__ import annotations
