@@ -16,14 +16,17 @@ entry per block, however frequent, and a block then holds exactly the arcs that
 walk.  Blocks with the counts at every token are kept in the shared folder; the two mus
 (best leave-one-out likelihood of the training tokens) and the scores are passes over them.
 
-N-grams are told apart by 64-bit codes: for 10**9 distinct ones, about 0.03 pairs share a
-code by chance.  The driver gets sums.
+Blocks are made twice from the texts, to ask and to be told, rather than kept; the answers
+carry a checksum, so a table that does not read the same twice is an error, not a wrong score.
+N-grams are told apart by 56-bit codes: of 10**9 distinct ones, about 7 pairs share a code
+by chance.  The driver gets sums.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,6 +43,8 @@ MUS = [2.0 ** k for k in range(0, 21)]
 END = 0x5851F42D4C957F2D  # code of the end of a text, which is also the context of its first word
 CHUNK_BYTES = 1 << 20
 BLOCK_TOKENS = 3 << 20
+TOKEN_BYTES = 5           # of text for a token, about: sizes the pieces and the shuffle of blocks
+CODE_BITS = 56
 PIECE_CODES = 1 << 21     # asked codes of a piece, about
 SHARES = (0.4, 0.8, 1.0)  # distinct words, pairs and triples of a block per token, at most about
 
@@ -94,7 +99,10 @@ class Block:
     def asked(self):
         """For each order in turn: (ascending distinct codes, place of each token's code in them)."""
         for codes in self.ngrams():
-            yield np.unique(codes, return_inverse=True)
+            yield np.unique(codes >> U64(64 - CODE_BITS), return_inverse=True)
+
+    def checksum(self) -> int:
+        return zlib.crc32(self.index.tobytes(), zlib.crc32(self.codes.tobytes(), zlib.crc32(self.lens.tobytes())))
 
 
 def _pack(block_tokens: int, kind: str):
@@ -154,7 +162,7 @@ def _rows(batches):
 
 
 def _ask(pieces: list[int]):
-    """Blocks -> (piece, block, n, codes, counts): what a block asks of every piece (ascending codes, as
+    """Blocks -> (piece, block, n, codes, counts, checksum): what a block asks of every piece (ascending codes, as
     differences), with its training counts.  Pieces of an order are equal ranges of codes; ``pieces``: how
     many each order has."""
     base = [sum(pieces[:k]) for k in range(3)]
@@ -164,23 +172,23 @@ def _ask(pieces: list[int]):
 
         for r in _rows(batches):
             b = _block(r)
-            train = np.repeat(b.train, b.lens)
+            train, checksum = np.repeat(b.train, b.lens), b.checksum()
             for order, (codes, place) in enumerate(b.asked()):
                 counts = np.bincount(place, train, len(codes)).astype(np.int64)
-                bounds = np.searchsorted(codes, np.array([(p << 64) // pieces[order] for p in range(pieces[order])], U64))
+                bounds = np.searchsorted(codes, np.array([(p << CODE_BITS) // pieces[order] for p in range(pieces[order])], U64))
                 bounds = np.append(bounds, len(codes))
                 for p in range(pieces[order]):
                     i, j = bounds[p], bounds[p + 1]
                     if i < j:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([base[order] + p], pa.int32()), pa.array([r["block"]], pa.int64()), pa.array([int(j - i)], pa.int64()),
-                             pa.array([planes(np.diff(codes[i:j], prepend=U64(0)))], pa.binary()), pa.array([planes(counts[i:j])], pa.binary())],
-                            ["piece", "block", "n", "codes", "counts"])
+                             pa.array([planes(np.diff(codes[i:j], prepend=U64(0)))], pa.binary()), pa.array([planes(counts[i:j])], pa.binary()),
+                             pa.array([checksum], pa.int64())], ["piece", "block", "n", "codes", "counts", "checksum"])
     return run
 
 
 def _answer(words: int):
-    """(piece, block, n, codes, counts), the rows of a piece together -> (block, piece, totals, words): the
+    """(piece, block, n, codes, counts, checksum), the rows of a piece together -> (block, piece, totals, words, checksum): the
     totals of what each block asked; ``words``: number of pieces of single words, which also tell how many
     distinct training words they hold."""
     def run(batches):
@@ -194,8 +202,8 @@ def _answer(words: int):
             for r in held:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["block"]], pa.int64()), pa.array([piece], pa.int32()), pa.array([r["n"]], pa.int64()),
-                     pa.array([planes(totals[place[at:at + r["n"]]])], pa.binary()), pa.array([known], pa.int64())],
-                    ["block", "piece", "n", "totals", "words"])
+                     pa.array([planes(totals[place[at:at + r["n"]]])], pa.binary()), pa.array([known], pa.int64()), pa.array([r["checksum"]], pa.int64())],
+                    ["block", "piece", "n", "totals", "words", "checksum"])
                 at += r["n"]
 
         held: list[dict] = []
@@ -218,6 +226,8 @@ def _tell(pieces: list[int]):
 
         def told(r, answers):
             b, counts = _block(r), []
+            if any(a["checksum"] != b.checksum() for a in answers[:1]) or not answers:
+                raise RuntimeError("the texts to be scored did not read the same twice; write them to a table first")
             totals: list[list] = [[], [], []]
             for a in answers:
                 totals[next(k for k in range(3) if a["piece"] < ends[k])].append(numbers(a["totals"], a["n"]))
@@ -315,7 +325,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
 
     Null and empty texts are the end alone.  Repeated ids and rows are scored each on their
     own.  Without a training row every word is unknown and both scores are equal.  An empty
-    table gives no rows."""
+    table gives no rows.  ``docs`` is read twice and must be the same both times, as tables are."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
 
@@ -325,19 +335,19 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = d.schema["id"].dataType.simpleString()
-    packed = f"block long, tokens long, ids array<{kind}>, train binary, lens binary, codes binary, index binary"
-    blocks = kept(d.mapInArrow(_pack(block_tokens, kind), packed), "blocks")
-    n_blocks, all_tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    pieces = [max(1, math.ceil(all_tokens * share / piece_codes)) for share in SHARES]
-    asked = blocks.select("block", "tokens", "ids", "train", "lens", "codes", "index").mapInArrow(
-        _ask(pieces), "piece int, block long, n long, codes binary, counts binary")
-    answers = (asked.repartition(sum(pieces), "piece").sortWithinPartitions("piece", "block")
-               .mapInArrow(_answer(pieces[0]), "block long, piece int, n long, totals binary, words long"))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    about = size[0] / TOKEN_BYTES + size[1]
+    pieces = [max(1, math.ceil(about * share / piece_codes)) for share in SHARES]
+    pack, ask = _pack(block_tokens, kind), _ask(pieces)
+    answers = (d.mapInArrow(lambda batches: ask(pack(batches)), "piece int, block long, n long, codes binary, counts binary, checksum long")
+               .repartition(sum(pieces), "piece").sortWithinPartitions("piece", "block")
+               .mapInArrow(_answer(pieces[0]), "block long, piece int, n long, totals binary, words long, checksum long"))
+    blocks = d.mapInArrow(pack, f"block long, tokens long, ids array<{kind}>, train binary, lens binary, codes binary, index binary")
     both = blocks.withColumn("piece", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
-    told = kept(both.repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "piece")
+    told = kept(both.repartition(max(1, math.ceil(2 * about / block_tokens)), "block").sortWithinPartitions("block", "piece")
                 .mapInArrow(_tell(pieces), TOLD.format(kind=kind)), "told")
     words = told.select(F.explode("vocabulary").alias("v")).select("v.*").distinct().agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    tokens = _training_tokens(blocks)
+    tokens = _training_tokens(told)
 
     def best(mu1: float | None) -> float:
         columns = ["tokens", "train", "lens", "c1", "c2", "c3"]
@@ -352,14 +362,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _training_tokens(blocks: DataFrame) -> int:
+def _training_tokens(told: DataFrame) -> int:
     def run(batches):
         import pyarrow as pa
 
         for r in _rows(batches):
             n = np.frombuffer(r["lens"], "<i4").astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([int(n[np.frombuffer(r["train"], bool)].sum())])], ["n"])
-    return blocks.select("lens", "train").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return told.select("lens", "train").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 @query("op7_lm_score")
