@@ -80,6 +80,24 @@ def worker_memo(name: str | None, make=None):
     return memo.get(name)
 
 
+def tidied(run):
+    """A function of a task's batches that gives unused memory back when the task ends."""
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return to_the_end
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to the Python workers in batches of at most ``rows``, unless the session says otherwise:
+    the default of 10,000 rows is tens of megabytes a batch, several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def give_back() -> None:
     """Unused memory of this process to the system: Arrow's pool, and the allocator's where it is glibc's."""
     import ctypes

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, worker_memo
+from .common import read, tidied, worker_memo
 from .registry import query
 from .textcodes import U64, buffers, mix64, slices
 
@@ -149,7 +149,7 @@ class Model:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Model of all rows with a language.  The driver gets the summed counts (languages x buckets)."""
     counts = (train.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-              .mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))).toPandas()
+              .mapInArrow(tidied(_count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))).toPandas()
     langs = sorted(counts["lang"].unique())
     n = np.zeros((len(langs), BUCKETS + 256))
     n[[langs.index(x) for x in counts["lang"]], counts["slot"].to_numpy()] = counts["n"].to_numpy()
@@ -246,7 +246,7 @@ def _predict(shared, switch: float):
                      pa.array([s for _, s, _ in got], pa.float64()),
                      pa.array([[{"lang": names[l], "start": a, "end": b} for l, a, b in sp] for _, _, sp in got], span)],
                     [*batch.schema.names[:-1], "lang_pred", "score", "spans"])
-    return run
+    return tidied(run)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), switch: float = SWITCH) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import read, saved, tidied
 from .registry import query
 from .textcodes import buffers, slices
 from .tokens import public_path, word_encoder
@@ -57,7 +57,7 @@ def _pieces(path: str | None, capacity: int, end: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start),
                      pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    return run
+    return tidied(run)
 
 
 class Bins:
@@ -106,7 +106,7 @@ def _pack(capacity: int, open_bins: int):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-    return run
+    return tidied(run)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None,

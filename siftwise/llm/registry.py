@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..session import ensure_checkpoint_dir
+from .common import bounded_batches
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -15,6 +16,7 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark, sf_dir):
             ensure_checkpoint_dir(spark)
+            bounded_batches(spark)
             return fn(spark, sf_dir.rstrip("/"))
 
         LLM_QUERIES[name] = run

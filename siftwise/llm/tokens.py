@@ -29,7 +29,7 @@ class WordEncoder:
     word of its own here.  Words with ``<|`` keep their case, as a special token's string is matched before
     lower-casing.  Two of the remembered words share a code with a chance of 10**-8."""
 
-    MOST_WORDS = 1_200_000
+    MOST_WORDS = 800_000
     TAIL_BYTES = 16
     SALT = np.uint64(0xA5A5_5A5A_0F0F_F0F0)
 
