@@ -1,8 +1,10 @@
 """Connected components of a link table, as joins and aggregations (no graph on the driver).
 
-Each round every vertex takes the smallest label among itself and its neighbours,
-then the label of its label (pointer jumping), so a chain of n links needs about
-log n rounds.  Labels are kept in the shared checkpoint folder after each round.
+Each round every vertex points to the smallest among itself and its neighbours, by jumps to
+the root of its pointers, and the links are contracted: both ends are replaced by their
+roots, and links that become loops or repeats go.  A round thus sees only what the one
+before left open, and a chain of n links needs about log n jumps.  Pointers and
+contracted links are kept in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -17,22 +19,28 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``links`` (pairs of ids) -> one row per linked id: (id, component), component its
     smallest reachable id.  Pairs may repeat, in either direction.
 
-    Label messages are combined before the shuffle (``min`` per vertex), so a vertex
-    with very many links costs one row per task."""
-    both = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = saved(both.union(both.select("v", "u")).distinct())
-    labels = saved(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("component")))
+    Pointers are combined before the shuffle (``min`` per vertex), so a vertex with very
+    many links costs one row per task."""
+    ends = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    left = saved(links.where(F.col(src) != F.col(dst)).select(*ends(src, dst)).distinct())
+    labels = None
     while True:
-        told = (both.join(labels.select(F.col("id").alias("v"), "component"), "v")
-                .groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near")))
-        step = (labels.join(told, "id")
-                .select("id", F.least("component", "near").alias("next"), F.col("component").alias("was")))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("root"))
-        new = saved(step.join(jump, "next", "left")
-                    .select("id", F.least("next", F.coalesce("root", "next")).alias("component"), "was"))
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("id", "component")
-        if not changed:
+        both = left.union(left.select("v", "u"))
+        points = saved(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("component")))
+        while True:                                       # to the roots: each jump doubles what is skipped
+            ahead = points.select(F.col("id").alias("component"), F.col("component").alias("further"))
+            jumped = saved(points.join(ahead, "component").select("id", F.col("further").alias("component"), F.col("component").alias("was")))
+            points = jumped.select("id", "component")
+            if not jumped.where("component <> was").limit(1).count():
+                break
+        if labels is None:
+            labels = points
+        else:                                             # what the rounds before point to, one step further
+            on = points.select(F.col("id").alias("component"), F.col("component").alias("further"))
+            labels = saved(labels.join(on, "component", "left").select("id", F.coalesce("further", "component").alias("component")))
+        at = lambda end, to: points.select(F.col("id").alias(end), F.col("component").alias(to))
+        left = saved(left.join(at("u", "pu"), "u").join(at("v", "pv"), "v").where("pu <> pv").select(*ends("pu", "pv")).distinct())
+        if not left.limit(1).count():
             return labels
 
 

@@ -91,6 +91,20 @@ def test_drop_near_duplicates_keeps_one_of_each(spark):
     assert near_dup.near_duplicates(awkward(spark, [])).count() == 0
 
 
+def test_drop_near_duplicates_judges_rows_of_repeated_ids_apart(spark):
+    base = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"other{k}" for k in range(40))
+    third = " ".join(f"third{k}" for k in range(40))
+    rows = [(1, base, "en", "z", 1, 1, "r"), (2, base + " more", "en", "a", 1, 1, "r"), (2, other, "en", "a", 1, 1, "r"), (2, other, "en", "a", 1, 0, "q"),
+            (3, third, "en", "a", 1, 1, "r"), (3, third + " x", "en", "a", 1, 1, "r"), (4, None, "en", "a", 1, 1, "r"), (4, other + " y", "en", "a", 1, 1, "r"),
+            (5, "short", "en", "a", 1, 1, "r"), (5, "short", "en", "a", 1, 1, "r"), (None, base, "en", "a", 1, 1, "r")]
+    for parts in (1, 4):
+        left = near_dup.drop_near_duplicates(awkward(spark, rows).repartition(parts), threshold_pct=80)
+        got = sorted((tuple(r) for r in left.collect()), key=repr)
+        # of id 2 the unlinked text stays (the smaller of its equal rows), of id 4 the empty one: its other text is a copy
+        assert got == sorted([rows[0], rows[3], rows[4], rows[6], rows[8], rows[10]], key=repr)
+
+
 def test_plans_reach_their_miss_rate():
     for t in (0.8, 0.85, 0.9):
         bands, rows = near_dup.plan_bands(t)
@@ -156,3 +170,29 @@ def test_quantisation_bound_is_rigorous():
     q, s, r = embed_dup.quantise(u)
     gap = np.abs(u @ u.T - (q.astype(float) @ q.T) * s[:, None] * s)
     assert (gap <= r[:, None] + (1 + r[:, None]) * r + 1e-12).all()
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from siftwise.llm.components import components
+
+    rng = np.random.default_rng(8)
+    chain = [(k, k + 1) for k in range(100, 400)]
+    back = [(1000 - k, 999 - k) for k in range(200)]
+    star = [(2500, 2000 + k) for k in range(400)] + [(2600, 3000 + k) for k in range(50)]
+    some = [tuple(int(x) for x in rng.integers(5000, 5400, 2)) for _ in range(250)]
+    links = chain + back + star + some + [(7, 7), (9, 8), (8, 9), (9, 8), (-5, 3)]
+    ids = {i for x in links if x[0] != x[1] for i in x}
+    pairs = {frozenset(x) for x in links if x[0] != x[1]}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in ids}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
