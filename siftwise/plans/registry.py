@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import bounded_batches, ensure_checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,8 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its oracle SQL.
 
     The registered callable first makes sure the session has a checkpoint
-    folder (the cluster's shared ``spark.checkpoint.dir`` when set).
+    folder (the cluster's shared ``spark.checkpoint.dir`` when set) and sends texts to
+    Python workers in bounded batches.
     """
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
@@ -28,6 +29,7 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)
+            bounded_batches(spark)
             return fn(spark, sf_dir.rstrip("/"))
 
         QUERIES[name] = run
