@@ -196,3 +196,17 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: find(i) for i in ids}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_send_no_pointers_through_the_driver(spark, monkeypatch):
+    plans, saved = [], components.saved
+
+    def noted(df):
+        out = saved(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())       # as it was run
+        return out
+
+    monkeypatch.setattr(components, "saved", noted)
+    links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 40)]
+    components.components(spark.createDataFrame(links, "a long, b long"))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
