@@ -210,3 +210,22 @@ def test_components_send_no_pointers_through_the_driver(spark, monkeypatch):
     links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 40)]
     components.components(spark.createDataFrame(links, "a long, b long"))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_seats_of_texts_broadcast_only_ids(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "id long, text string")
+    seats = spark.createDataFrame([(k % 7, k // 3, f"wide {k}") for k in range(30)] + [(99, 0, "no text")], "id long, lead long, sketch string")
+    got = near_dup.texts_of(docs, seats)
+    assert sorted((r["id"], r["lead"], r["sketch"], r["text"]) for r in got.collect()) == sorted(
+        (k % 7, k // 3, f"wide {k}", f"text {k % 7}") for k in range(30))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and "LeftSemi" in plan.split("strategy=broadcast")[0].splitlines()[-1] and "strategy=merge" in plan
+
+
+def test_driver_is_swept_between_steps(spark, monkeypatch):
+    swept = []
+    for module in (components, near_dup):
+        monkeypatch.setattr(module, "swept", lambda s: swept.append(s))
+    rows = group_rows()[:24]
+    got = near_dup.near_duplicates(awkward(spark, rows)).count()
+    assert got == len(rows) and len(swept) >= 4
