@@ -69,7 +69,8 @@ def present(text_col, words: list[str]) -> Column:
     """Which of ``words`` a text has as tokens.  Taken once as a column of its own, it is all that
     the screens below need of the text's tokens (their ``toks``), however many lists there are."""
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.array_intersect(_tokens(text, min_len=1), F.array(*[F.lit(w) for w in words]))
+    toks = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), 0)
+    return F.array_intersect(toks, F.array(*[F.lit(w) for w in words]))
 
 
 def distinct_hits(text_col, keywords_col: Column | None = None, keywords=None, toks: Column | None = None) -> Column:
